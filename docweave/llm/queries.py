@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import exact_dedup, fertility, mixing, packing, simhash
+from docweave.llm import exact_dedup, fertility, line_dedup, mixing, packing, pii, simhash, token_counts
 from docweave.llm._spark import documents
 
 
@@ -20,6 +20,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(documents(spark, sf_dir))
+
+
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), packing.Packing(vocabulary("word_bpe_49k.json")))
 
@@ -36,16 +44,29 @@ def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_measures(documents(spark, sf_dir), fertility.Rules(vocabulary("piece_bpe_32k.model")))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_pack_sequences, op4_exact_dedup, op5_simhash, op6_fertility, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_pack_sequences, op4_exact_dedup, op5_simhash, op6_fertility, op9_personal_data, op10_mix_sources)}
 
 #: Upper-case letters A-Z and no others are lower-cased.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op2_line_dedup": """
+        WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+        w AS (SELECT doc_id, i AS line, parts[i + 1] || chr(10) || parts[i + 2] || chr(10) || parts[i + 3] AS body
+              FROM (SELECT doc_id, parts, unnest(range(0, len(parts) - 2)) AS i FROM l)),
+        o AS (SELECT doc_id, line, rank() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST, line) AS r FROM w),
+        c AS (SELECT DISTINCT doc_id, line + k AS line FROM o, (VALUES (0), (1), (2)) AS t(k) WHERE r > 1),
+        g AS (SELECT doc_id, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS removed FROM c GROUP BY doc_id)
+        SELECT l.doc_id, coalesce(len(l.parts), 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.removed, '') AS removed
+        FROM l LEFT JOIN g ON l.doc_id IS NOT DISTINCT FROM g.doc_id""",
     "op4_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
