@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import exact_dedup, fertility, line_dedup, mixing, packing, pii, simhash, token_counts
+from docweave.llm import exact_dedup, fertility, interpolation, line_dedup, mixing, packing, pii, simhash, token_counts, toxicity
 from docweave.llm._spark import documents
 
 
@@ -44,6 +44,14 @@ def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_measures(documents(spark, sf_dir), fertility.Rules(vocabulary("piece_bpe_32k.model")))
 
 
+def op7_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.scored(documents(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
@@ -52,7 +60,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_pack_sequences, op4_exact_dedup, op5_simhash, op6_fertility, op9_personal_data, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_pack_sequences, op4_exact_dedup, op5_simhash, op6_fertility, op7_interpolated_lm, op8_toxicity, op9_personal_data, op10_mix_sources)}
 
 #: Upper-case letters A-Z and no others are lower-cased.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
