@@ -141,7 +141,8 @@ def winners(docs: DataFrame, index: Directory, id_col: str, text_col: str) -> Da
             lone = bounds[:-1][(np.diff(bounds) == 1) & (sizes[bounds[:-1]] == 1)]
             lone = lone[(keys[lone] != (keys[0] if open_key is None else open_key)) & (keys[lone] != keys[-1])]
             if len(lone):  # no other row of the key: passed on as they are
-                yield part.select([*names, "_key", "_sha", "_size"]).take(pa.array(lone))
+                rows = part.select([*names, "_key", "_sha", "_size"]).take(pa.array(lone))
+                yield pa.RecordBatch.from_arrays(rows.columns, names=rows.schema.names)
             rest = np.ones(len(keys), bool)
             rest[lone] = False
             out: list[pa.RecordBatch] = []

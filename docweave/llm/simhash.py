@@ -65,14 +65,14 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp for docs of doc_id and text."""
+    """doc_id, tie, fp for docs of doc_id, tie and text."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             texts = Texts(column(part, "text"))
-            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([fingerprint(texts.text(i)) for i in range(texts.n)], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "tie"), pa.array([fingerprint(texts.text(i)) for i in range(texts.n)], pa.int64())], names=["doc_id", "tie", "fp"])
 
-    return docs.mapInArrow(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, fp long")
 
 
 def _quarter(x: np.ndarray, q: int) -> np.ndarray:
@@ -196,9 +196,9 @@ def links(classes: DataFrame) -> DataFrame:
     return spreaded.repartition("arrangement", "front").sortWithinPartitions("arrangement", "front", "rank").mapInArrow(meet, "a long, b long, na long, nb long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint, n_near, component_id."""
-    marked = written(fingerprints(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))))
+def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of docs: doc_id, tie (a hash of the text), fp, n_near, component_id."""
+    marked = written(fingerprints(docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("tie"), docs[text_col].alias("text"))))
     classes = written(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
     pairs = written(links(classes))
     near = pairs.select(F.col("a").alias("fp_near"), F.col("nb").alias("n_near")).union(pairs.select("b", "na")).groupBy("fp_near").agg(F.sum("n_near").alias("others"))
@@ -208,10 +208,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = member.join(least, "root").select(F.col("node").alias("fp_linked"), "component")
     known = classes.join(near, F.col("fp") == F.col("fp_near"), "left").join(linked, F.col("fp") == F.col("fp_linked"), "left")
     known = known.select(F.col("fp").alias("fp_known"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), F.coalesce("component", "least").alias("component_id"))
-    return marked.join(known, F.col("fp") == F.col("fp_known")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("n_near").cast("long"), "component_id")
+    return marked.join(known, F.col("fp") == F.col("fp_known")).select("doc_id", "tie", "fp", F.col("n_near").cast("long").alias("n_near"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint, n_near, component_id."""
+    return _classified(docs, id_col, text_col).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the least of its component, with all their columns."""
-    dropped = near_duplicates(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_dropped"]), "left_anti")
+    beside = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    dropped = _classified(docs, id_col, text_col).where(beside).select(F.col("doc_id").alias("_dropped"), F.col("tie").alias("_tie")).distinct()
+    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_dropped"]) & (F.xxhash64(docs[text_col]) == dropped["_tie"]), "left_anti")

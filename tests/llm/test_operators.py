@@ -1,0 +1,453 @@
+"""Each operator against a plain version over the hard cases, over no rows, and with further columns."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from corpus import SCHEMA, clashing, lower, rows, words
+
+from docweave.llm import exact_dedup, fertility, interpolation, line_dedup, mixing, packing, pii, simhash, token_counts, toxicity
+from docweave.llm.queries import vocabulary
+
+MADE = rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(MADE, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def bag(found):
+    return collections.Counter(map(tuple, found))
+
+
+def test_token_counts(docs, none):
+    pieces = set(token_counts.word_pieces(vocabulary("word_bpe_49k.json")))
+    longest = max(map(len, pieces))
+
+    def count(word):
+        symbols, at, n = (*word, token_counts.END), 0, 0
+        while at < len(symbols):
+            end = next((j for j in range(min(len(symbols), at + longest), at, -1) if symbols[at:j] in pieces), None)
+            if end is None:
+                return None
+            at, n = end, n + 1
+        return n
+
+    def row(i, text):
+        own = [count(w.encode()) for w in words(lower(text))]
+        return i, len((text or "").encode()), len(own), sum(x or 1 for x in own), own.count(None)
+
+    path = vocabulary("word_bpe_49k.json")
+    assert bag(token_counts.token_counts(docs, path).collect()) == bag(row(i, t) for i, t, *_ in MADE)
+    assert token_counts.token_counts(none, path).count() == 0
+
+
+def test_automaton_is_greedy_longest_match():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        pieces = {tuple(rng.choice(b"abc") for _ in range(rng.randint(1, 4))) + ((token_counts.END,) if rng.random() < 0.4 else ()) for _ in range(14)}
+        made = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 9))) for _ in range(30)]
+
+        def naive(word):
+            symbols, at, n = (*word, token_counts.END), 0, 0
+            while at < len(symbols):
+                end = next((j for j in range(len(symbols), at, -1) if symbols[at:j] in pieces), None)
+                if end is None:
+                    return -1
+                at, n = end, n + 1
+            return n
+
+        assert token_counts.Automaton(pieces).counts(made).tolist() == [naive(w) for w in made]
+
+
+def brute_lines(made):
+    seen = {}
+    place = lambda i, k: (i is None, i or 0, k)
+    for i, text, *_ in made:
+        parts = text.split("\n") if text is not None else []
+        for k in range(len(parts) - 2):
+            key = "\n".join(parts[k : k + 3])
+            seen[key] = min(seen.get(key, place(i, k)), place(i, k))
+    lost = collections.defaultdict(set)
+    for i, text, *_ in made:
+        parts = text.split("\n") if text is not None else []
+        for k in range(len(parts) - 2):
+            if place(i, k) > seen["\n".join(parts[k : k + 3])]:
+                lost[i] |= {k, k + 1, k + 2}
+    return lost
+
+
+def test_line_dedup(docs, none, spark):
+    made = [r for r in MADE if r[0] is not None]
+    lost = brute_lines(made)
+    plain = spark.createDataFrame(made, SCHEMA)
+    expected = bag((i, 0 if t is None else t.count("\n") + 1, len(lost[i]), ",".join(map(str, sorted(lost[i])))) for i, t, *_ in made)
+    assert bag(line_dedup.removed_lines(plain).collect()) == expected
+    assert any(lost.values())
+    left = line_dedup.deduplicated_lines(clashing(spark, made))
+    assert left.columns == clashing(spark, made).columns
+    want = bag((i, t if not lost[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost[i])) for i, t, *_ in made)
+    assert bag(left.select("doc_id", "text").collect()) == want
+    assert line_dedup.removed_lines(none).count() == 0
+    assert line_dedup.removed_lines(docs).count() == len(MADE)
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    settings = packing.Packing(path, windows=3, merged=2)
+    pieces = packing.pack(docs, settings).toPandas()
+    ids = [(i, np.array(model.encode(t or "", add_special_tokens=False).ids + [1], "<u4")) for i, t, *_ in MADE]
+    # Rows of one id can't be told apart by it, but by their ids and lengths.
+    left = collections.Counter((i, x.tobytes()) for i, x in ids)
+    assert pieces.length.sum() == sum(len(x) for _, x in ids)
+    for doc, group in pieces.groupby("doc_id"):
+        own = [x for i, x in ids if i == doc]
+        for piece in group.itertuples():
+            assert any(len(x) == piece.doc_tokens and zlib.crc32(x[piece.start : piece.start + piece.length].tobytes()) == piece.ids_crc32 for x in own)
+        if len(own) == 1:
+            ordered = group.sort_values("start")
+            assert list(ordered.start) == list(np.cumsum(ordered.length) - ordered.length)
+            assert ordered.length.sum() == len(own[0])
+    assert left
+    filled = pieces.sort_values(["sequence_id", "offset"])
+    assert (filled.groupby("sequence_id").length.cumsum() - filled.length == filled.offset).all()
+    total = filled.groupby("sequence_id").length.sum()
+    assert total.max() <= 2048 and all(x & (x - 1) == 0 for x in total)
+    assert packing.pack(none, settings).count() == 0
+
+
+def groups(made):
+    out = collections.defaultdict(list)
+    for i, text, *_ in made:
+        out[lower(text)].append(i)
+    return out
+
+
+def test_exact_dedup(docs, none, spark):
+    by_text = groups(MADE)
+    top = {t: max((i for i in own if i is not None), default=None) for t, own in by_text.items()}
+    expected = bag((i, top[lower(t)], len(by_text[lower(t)]), i == top[lower(t)], hashlib.sha256(lower(t).encode()).hexdigest()) for i, t, *_ in MADE)
+    assert bag(exact_dedup.membership(docs).collect()) == expected
+    assert bag(exact_dedup.membership(docs, capacity=2).collect()) == expected
+    left = exact_dedup.deduplicated(clashing(spark, MADE))
+    assert left.columns == clashing(spark, MADE).columns
+    found = left.select("doc_id", "text").collect()
+    assert sorted(lower(t) for _, t in found) == sorted(by_text)
+    assert all(i == top[lower(t)] for i, t in found)
+    assert exact_dedup.membership(none).count() == exact_dedup.deduplicated(none).count() == 0
+
+
+def test_exact_dedup_compares_bytes(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_key", lambda text: 7)
+    made = [(i, t, None, None, 0) for i, t in enumerate(["a", "b", "A", "c", "b"])]
+    found = exact_dedup.winners(spark.createDataFrame(made, SCHEMA).coalesce(1), exact_dedup.Directory(0, (0,)), "doc_id", "text")
+    assert sorted((r.doc_id, r._size) for r in found.select("doc_id", "_size").collect()) == [(2, 2), (3, 1), (4, 2)]
+
+
+def test_directory_splits_what_is_overfull():
+    counts = np.array([1, 1, 1, 1, 40, 1, 1, 1])
+    index = exact_dedup.Directory.grown(counts, 3)
+    owner = index.of(np.arange(8, dtype=np.uint64) << np.uint64(61))
+    assert index.depth == 3 and len({*owner[4:5]} & {*owner[:4], *owner[5:]}) == 0
+    assert all((np.diff(np.flatnonzero(owner == b)) == 1).all() for b in set(owner))
+    assert exact_dedup.Directory.grown(counts, 100).depth == 0
+
+
+def plain_fingerprint(text):
+    own = words(lower(text))
+    shingles = [" ".join(own[k : k + 3]) for k in range(max(1, len(own) - 2))] if own else []
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs, none, spark):
+    prints = [(i, plain_fingerprint(t)) for i, t, *_ in MADE]
+    value = np.array([p for _, p in prints], np.uint64)
+    near = np.bitwise_count(value[:, None] ^ value[None, :]) <= 2
+    label = np.array([math.inf if i is None else i for i, _ in prints])
+    while True:
+        new = np.array([label[n].min() for n in near])
+        if (new == label).all():
+            break
+        label = new
+    expected = bag((i, f"{p:016x}", int(n.sum()) - 1, None if c == math.inf else int(c)) for (i, p), n, c in zip(prints, near, label))
+    assert bag(simhash.near_duplicates(docs).collect()) == expected
+    left = simhash.representatives(clashing(spark, MADE))
+    assert left.columns == clashing(spark, MADE).columns
+    assert bag(left.select("doc_id").collect()) == bag((i,) for (i, _), c in zip(prints, label) if i == c or i is None and c == math.inf)
+    assert left.where("doc_id is null").count() == 1
+    assert simhash.near_duplicates(none).count() == simhash.representatives(none).count() == 0
+
+
+def test_simhash_search_finds_every_link(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    made = {int(c) for c in centre}
+    for c in centre:
+        for _ in range(30):
+            made.add(int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False)))
+    value = np.array(sorted(made), np.uint64)
+    classes = spark.createDataFrame([(int(v), 1) for v in value.view(np.int64)], "fp long, n long").repartition(5)
+    found = [(r.a, r.b) for r in simhash.links(classes).collect()]
+    signed = value.view(np.int64)
+    i, j = np.nonzero(np.triu(np.bitwise_count(value[:, None] ^ value[None, :]) <= 2, 1))
+    assert sorted(tuple(sorted(x)) for x in found) == sorted(tuple(sorted((int(signed[a]), int(signed[b])))) for a, b in zip(i, j))
+
+
+def test_search_in_small_blocks(monkeypatch):
+    monkeypatch.setattr(simhash, "_BLOCK", 50)
+    rank = np.sort(np.random.default_rng(2).choice(1 << 12, 300, replace=False).astype(np.uint64))
+    codes = simhash.gray_code(rank)
+    found = {(int(a), int(b)) for i, j in simhash.search(codes) for a, b in zip(i, j)}
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if bin(int(codes[a] ^ codes[b])).count("1") <= 2}
+    assert found == want
+    assert (simhash.gray_rank(codes) == rank).all()
+
+
+def test_fertility(docs, none, spark):
+    rules = fertility.Rules(vocabulary("piece_bpe_32k.model"))
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=rules.vocabulary)
+
+    def row(i, text):
+        own = words(text)
+        windows = collections.Counter(tuple(own[k : k + 3]) for k in range(len(own) - 2))
+        covered = {k + d for k in range(len(own) - 2) if windows[tuple(own[k : k + 3])] > 1 for d in range(3)}
+        seen, repeated = set(), 0
+        for line in (text or "").split("\n"):
+            if words(line):
+                repeated += line in seen
+                seen.add(line)
+        failed = len(own) < 50 or 100 * len(covered) > 50 * len(own)
+        ids = [x for w in own for x in model.encode(w)]
+        counts = collections.Counter(ids)
+        entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in counts.values())
+        chars = sum(map(len, own))
+        return i, len(own), chars, len(re.findall(r"[#*$%&|<>]", text or "")), repeated, len(covered), failed, len(ids), round(chars / len(ids) if ids else 0, 9), round(entropy, 6)
+
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens", "chars_per_token", "token_entropy"]
+    found = fertility.quality_measures(docs, rules).select(*names, "kept").collect()
+    assert bag((*r[:8], round(r[8], 9), round(abs(r[9]), 6)) for r in found) == bag(row(i, t) for i, t, *_ in MADE)
+    assert not any(r.kept and r.base_failed for r in found)
+    left = fertility.keep_ordinary(clashing(spark, MADE), rules)
+    assert left.columns == clashing(spark, MADE).columns
+    assert bag(left.select("doc_id").collect()) == bag((r.doc_id,) for r in found if r.kept)
+    assert fertility.quality_measures(none, rules).count() == fertility.keep_ordinary(none, rules).count() == 0
+
+
+def test_fertility_learns_a_band_by_language(spark):
+    rules = fertility.Rules(vocabulary("piece_bpe_32k.model"), least_rows=50)
+    rng = np.random.default_rng(1)
+    plain = "people town market bread children because good day house water morning little great country always between".split()
+    made = [(i, " ".join(rng.choice(plain, 80)), "en", "s", 0) for i in range(80)]
+    made.append((99, " ".join("".join(rng.choice(["bleonti", "thanere", "ndatwhsh", "erhean", "ouonha"], 3)) for _ in range(80)), "en", "s", 0))
+    made.append((98, made[-1][1], "xx", "s", 0))
+    found = {r.doc_id: r.kept for r in fertility.quality_measures(spark.createDataFrame(made, SCHEMA), rules).collect()}
+    assert not found.pop(99) and found[98] and sum(found.values()) > 75
+
+
+def test_interpolation(docs, none):
+    tokens = [(i, [*words(lower(t)), None]) for i, t, *_ in MADE]
+    train = [i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in tokens]
+    counts = collections.Counter(w for (_, own), on in zip(tokens, train) if on for w in own)
+    n, v = sum(counts.values()), len(counts)
+
+    def row(i, own):
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own)
+        return i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(own), sum(counts[w] > 0 for w in own), n, round(base, 6)
+
+    for settings in (interpolation.Interpolation(), interpolation.Interpolation(chunk_tokens=50, owner_tokens=400)):
+        found = interpolation.scored(docs, settings).collect()
+        assert bag((*r[:5], round(r.base_score, 6)) for r in found) == bag(row(*x) for x in tokens)
+        assert all(r.score < 0 for r in found)
+    assert interpolation.scored(none).count() == 0
+
+
+def test_interpolation_scores_by_the_mixture(spark):
+    made = [(i, t, None, None, 0) for i, t in enumerate(["a b a b a c", "a b", "b a b d", "", "a d a b a b"])]
+    settings = interpolation.Interpolation()
+    frame = spark.createDataFrame(made, SCHEMA).selectExpr("doc_id", "text", "doc_id != 4 AS train").coalesce(2)
+    found = {r.doc_id: r.score for r in interpolation.scores(frame, settings).collect()}
+    sentences = [(i, [*t.split(), None]) for i, t, *_ in made]
+    uni = collections.Counter(w for i, own in sentences if i != 4 for w in own)
+    two = collections.Counter(p for i, own in sentences if i != 4 for p in zip([None, *own], own))
+    n, v = sum(uni.values()), len(uni)
+    events = [(uni[a], two[a, b], uni[b]) for i, own in sentences if i != 4 for a, b in zip([None, *own], own)]
+    key = lambda e: int(sum(int(interpolation.level(np.array([x]))[0]) << s for x, s in zip(e, (32, 16, 0))))
+    cells = collections.Counter(map(key, events))
+    weights = interpolation.mixture_weights(np.array(sorted(cells)), np.array([cells[c] for c in sorted(cells)], float), n, v, settings)
+    for i, own in sentences:
+        want = 0
+        for a, b in zip([None, *own], own):
+            w = weights[int(interpolation.bucket(np.array([uni[a]]), settings)[0])]
+            want += math.log10(w[0] * two[a, b] / max(1, uni[a]) + w[1] * uni[b] / n + w[2] / (v + 1))
+        assert found[i] == pytest.approx(want)
+
+
+def test_mixture_weights_raise_the_likelihood_of_what_was_held_out():
+    cells = np.array([100 << 32 | 40 << 16 | 50, 100 << 32 | 1 << 16 | 50]) * 0 + np.array([13 << 32 | 10 << 16 | 8, 13 << 32 | 1 << 16 | 8])
+    often = interpolation.mixture_weights(cells, np.array([90.0, 10.0]), 10_000, 500, interpolation.Interpolation())
+    seldom = interpolation.mixture_weights(cells, np.array([10.0, 90.0]), 10_000, 500, interpolation.Interpolation())
+    b = int(interpolation.bucket(interpolation.middle(np.array([13])), interpolation.Interpolation())[0])
+    assert often[b, 0] > seldom[b, 0] and np.allclose(often.sum(1), 1)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    import random
+
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    bad = ["vilescum", "rottenish", "rottenly", "foulmouth"]
+    made, labels = [], []
+    for i in range(600):
+        own, toxic = [rng.choice(plain) for _ in range(rng.randint(5, 60))], i % 6 == 0
+        if toxic:
+            own[rng.randrange(len(own))] = rng.choice(bad)
+        made.append((i, " ".join(own), "en", "s", 0))
+        labels.append((i, int(toxic)))
+    made += [(700, None, None, None, None), (701, "", None, None, None), (None, "vilescum", None, None, None), (702, "ROTTENISH people", None, None, None)]
+    labels += [(700, None), (None, 1), (3, 0)]
+    return spark.createDataFrame(made, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"), dict(labels[:600])
+
+
+def test_toxicity(labelled, none, spark):
+    docs, labels, truth = labelled
+    found = toxicity.toxicity(docs, labels).collect()
+    assert len(found) == 604 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found)
+    held = [r for r in found if r.held_out and r.doc_id in truth]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in held)
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+    by_id = {r.doc_id: r for r in found}
+    assert by_id[702].predicted == 1 and by_id[None].predicted == 1 and by_id[701].predicted == by_id[700].predicted == 0
+    assert toxicity.toxicity(none, labels).count() == 0
+    assert all(r.score == 0 for r in toxicity.toxicity(docs, labels.limit(0)).collect())
+
+
+def test_block_max_search_is_exact():
+    rng = np.random.default_rng(3)
+    n, m = 500, 60
+    dense = rng.random((n, m)) * (rng.random((n, m)) < 0.15)
+    dense[7] = dense[3]
+    dense /= np.maximum(np.sqrt((dense**2).sum(1, keepdims=True)), 1e-12)
+    r, f = np.nonzero(dense)
+    index = toxicity.Index(r, f, dense[r, f], n, m, 16)
+    for q in dense[::9]:
+        features = np.flatnonzero(q)
+        near, cosine = index.nearest(features, q[features], 8)
+        want = np.lexsort((np.arange(n), -np.round(dense @ q, 12)))[:8]
+        want = want[(dense @ q)[want] > 0]
+        assert list(near) == list(want) and np.allclose(cosine, (dense @ q)[want])
+
+
+BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in enumerate(BASE):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            ok = [True, all(int(x) <= 255 for x in m.group().split(".")) if kind == 1 else True, 12 <= len(digits) <= 19 and pii.luhn(digits), 9 <= len(digits) <= 15][kind]
+            if ok:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_personal_data(spark, none):
+    import random
+
+    rng = random.Random(4)
+    made = ["".join(rng.choice("0123456789..@ab+-() _é\n") for _ in range(60)) for _ in range(400)]
+    made += ["a@b.co_x@y.com", "é 4111 1111 1111 1111, 1.2.3.4 and +49 (30) 1234-5678 x@y.z", "000.000001.255.256 0001.2.3.004", "1" * 3000, None, ""]
+    frame = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(made)], SCHEMA)
+    name = lambda found: ",".join(f"{pii.KINDS[k]}:{a}:{z}" for a, k, z in found)
+    for r in pii.personal_data(frame).collect():
+        base = plain_spans(made[r.doc_id] or "")
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == j for _, k, _ in base) for j in range(4))
+        assert r.base_sha256 == hashlib.sha256(name(base).encode()).hexdigest()
+        assert set(filter(None, name(base).split(","))) <= set(r.spans.split(","))
+    assert pii.personal_data(none).count() == 0
+
+
+def test_field_finds_other_spellings():
+    import random
+
+    field, rng = pii.trained(), random.Random(77)
+    right = 0
+    for _ in range(400):
+        text, truth = pii._example(rng)
+        right += [s for a, z in pii.regions(text) for s in field.best(text, a, z)] == truth
+    assert right >= 0.97 * 400
+    for text in ("look at this. Then dot com", "on 2020-10-12 at 10:30", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "version 1.22.33333"):
+        assert pii.spans(text, field)[1] == []
+
+
+def test_masked(spark):
+    left = pii.masked(clashing(spark, [(1, "mail x@y.com or (988) 555-2485.", None, None, 0), (2, None, None, None, 0)]))
+    assert [r.text for r in left.orderBy("doc_id").collect()] == ["mail <email> or <phone>.", None]
+
+
+def test_mixing(docs, none, spark):
+    mix = mixing.Mix(part_rows=5)
+    found = mixing.mixture(docs, mix).collect()
+    by_source = collections.Counter()
+    for _, t, _, s, _ in MADE:
+        by_source[s] += len(words(t))
+    order = sorted((s for s in by_source if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    budget, low, high = 1.5 * sum(by_source.values()), 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * by_source[s], weight[s] * level) for s in order) < budget else (low, level)
+    target = {s: min(2 * by_source[s], weight[s] * low) for s in order}
+    want = collections.Counter((i, len(words(t)), by_source[s]) for i, t, _, s, _ in MADE)
+    assert collections.Counter((r.doc_id, r["size"], r.source_size) for r in found) == want
+    taken = collections.Counter()
+    for r in found:
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source_size] += r.taken
+        assert r.target == pytest.approx(next(target[s] for s in order if by_source[s] == r.source_size))
+    assert all(abs(taken[by_source[s]] - target[s]) <= mix.block for s in order)
+    assert bag(mixing.mixture(docs.repartition(7), mix).collect()) == bag(found)
+    assert mixing.mixture(none).count() == mixing.mixed_documents(none).count() == 0
+
+
+def test_mixed_documents_are_what_the_mixture_takes(spark):
+    made = [r for r in MADE if r[0] is not None and r[0] < 150]
+    made = list({r[0]: r for r in made}.values())
+    mix = mixing.Mix(part_rows=7)
+    taken = {r.doc_id: r.taken for r in mixing.mixture(spark.createDataFrame(made, SCHEMA), mix).collect()}
+    rows = mixing.mixed_documents(clashing(spark, made), mix)
+    assert rows.columns == clashing(spark, made).columns
+    got = collections.Counter()
+    text = {i: t for i, t, *_ in made}
+    for r in rows.collect():
+        assert r.text in text[r.doc_id] and r.n_chars == len(r.text) and r["_key"] == "own _key"
+        got[r.doc_id] += len(words(r.text))
+    assert got == collections.Counter({i: n for i, n in taken.items() if n})
+
+
+def test_permutations_are_permutations():
+    for n in (1, 2, 3, 17, 64, 1000):
+        order = mixing.Permutation(n, 12345)
+        image = order(np.arange(n))
+        assert sorted(image) == list(range(n)) and (order.inverse(image) == np.arange(n)).all()
