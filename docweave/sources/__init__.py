@@ -1 +1 @@
-
+"""Readers: bytes of a document to evidence rows."""
