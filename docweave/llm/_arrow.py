@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are handled at once; bounds the working memory of a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -86,6 +86,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(begin + 1, int(np.searchsorted(at, at[begin] + limit, "right")) - 1)
             yield batch.slice(begin, end - begin)
             begin = end
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 class Words:
@@ -143,17 +145,17 @@ class WordMemo:
     length.  Beyond limit words the memo starts afresh, so its size is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 750_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.keys = np.empty(0, np.uint64)
+        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int32)
         self.ids = np.empty(0, np.int32)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """The slot of each word; start, length and ids hold what a slot has."""
+        """The slot of each word; until the next call, start, length and ids hold what a slot has."""
         codes, distinct = pd.factorize(hashes)
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
@@ -164,20 +166,21 @@ class WordMemo:
             at, known = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
         new = np.flatnonzero(~known)
         if len(new):
+            new = new[np.argsort(distinct[new])]
             first = np.full(len(distinct), -1, np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            words = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[first[new]], ends[first[new]])]
-            got = self.encode(words)
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((x for ids in got for x in ids), np.int32, int(lengths.sum()))
-            slots = np.arange(len(new)) + len(self.start)
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.ids = np.concatenate([self.ids, flat])
-            order = np.argsort(distinct[new])
-            self.keys, self.slots = (np.insert(a, at[new][order], b[order]) for a, b in ((self.keys, distinct[new]), (self.slots, slots)))
+            lengths, ids = [], []
+            for i in range(0, len(new), 20_000):
+                some = first[new[i : i + 20_000]]
+                got = self.encode([data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[some], ends[some])])
+                lengths.append(np.fromiter(map(len, got), np.int32, len(got)))
+                ids.append(np.fromiter((x for word in got for x in word), np.int32, int(lengths[-1].sum())))
+            lengths = np.concatenate(lengths)
+            begin = len(self.ids) + np.cumsum(lengths, dtype=np.int64) - lengths
+            self.ids = np.concatenate([self.ids, *ids])
+            self.keys, self.start, self.length = (np.insert(a, at[new], b) for a, b in ((self.keys, distinct[new]), (self.start, begin), (self.length, lengths)))
             at = np.searchsorted(self.keys, distinct)
-        return self.slots[at][codes]
+        return at[codes]
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
