@@ -1 +1 @@
-
+"""Operators on evidence: joins, profiles, sampling, chunking, enrichment, rendering."""
