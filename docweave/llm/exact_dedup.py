@@ -93,11 +93,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, sha binary")
 
 
-def directory(keys: DataFrame, capacity: int, max_depth: int) -> Directory:
-    counts = np.zeros(1 << max_depth, np.int64)
-    for prefix, n in keys.groupBy(F.shiftrightunsigned("key", 64 - max_depth).alias("prefix")).count().collect():
+def directory(keys: DataFrame, rows: int, capacity: int, max_depth: int) -> Directory:
+    """Looks three bits further than evenly filled buckets would need, and max_depth at most."""
+    depth = min(max_depth, max(4, (rows // capacity).bit_length() + 3))
+    counts = np.zeros(1 << depth, np.int64)
+    for prefix, n in keys.groupBy(F.shiftrightunsigned("key", 64 - depth).alias("prefix")).count().collect():
         counts[prefix] = n
-    return Directory.grown(counts, max(capacity, int(counts.sum()) >> (max_depth - 2)))
+    return Directory.grown(counts, capacity)
 
 
 def _rank(value) -> tuple:
@@ -110,7 +112,7 @@ def winners(docs: DataFrame, index: Directory, id_col: str, text_col: str) -> Da
     state = [T.StructField("_key", T.LongType()), T.StructField("_sha", T.BinaryType()), T.StructField("_size", T.LongType())]
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for batch in batches for x in slices([batch], text_col, 16 << 20)):
+        for part in slices(batches, text_col, 4 << 20):
             texts, ids = Texts(column(part, text_col)), column(part, id_col).to_pylist()
             best: dict[bytes, int] = {}
             sizes = np.zeros(texts.n, np.int64)
@@ -171,19 +173,19 @@ def winners(docs: DataFrame, index: Directory, id_col: str, text_col: str) -> Da
     return owned.drop("_bucket").mapInArrow(own, schema)
 
 
-def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, max_depth: int = 12) -> DataFrame:
+def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 16_384, max_depth: int = 18) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     keys = written(keyed(chosen))
-    groups = winners(chosen, directory(keys, capacity, max_depth), "doc_id", "text").where("_size > 1").select(F.col("doc_id").alias("_keep"), "_key", "_sha", "_size")
+    groups = winners(chosen, directory(keys, keys.count(), capacity, max_depth), "doc_id", "text").where("_size > 1").select(F.col("doc_id").alias("_keep"), "_key", "_sha", "_size")
     joined = keys.join(groups, (keys.key == groups._key) & (keys.sha == groups._sha), "left")
     keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, max_depth: int = 12) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 16_384, max_depth: int = 18) -> DataFrame:
     """The rows of docs that stay, one of each group of equal texts, with all their columns."""
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     own, text = (f"c{docs.columns.index(x)}" for x in (id_col, text_col))
-    index = directory(keyed(plain.select(F.col(own).alias("doc_id"), F.col(text).alias("text"))), capacity, max_depth)
+    index = directory(keyed(plain.select(F.col(own).alias("doc_id"), F.col(text).alias("text"))), docs.count(), capacity, max_depth)
     return winners(plain, index, own, text).select(*(F.col(c).alias(x) for c, x in zip(plain.columns, docs.columns)))
