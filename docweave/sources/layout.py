@@ -231,7 +231,7 @@ class _Reader:
         self.parsed = Parsed()
 
     def read(self, pages: list[dict], ocr: Ocr | None) -> Parsed:
-        by_page: list[list[tuple]] = []
+        by_page = []
         failed = []
         for i, page in enumerate(pages):
             why = ocr_reason(page, ocr is not None)
