@@ -4,8 +4,9 @@ Features of a text are its words, A-Z lower-cased, and their first four, five
 and six bytes, so that forms of one stem meet.  From the labelled examples
 come the features that go with the label: those whose rows have it so much
 oftener than others that, by the likelihood ratio, chance would not give one
-such among all that were looked at.  They are at most ``features``, with
-their inverse document frequencies.
+such among all that were looked at, and so that at least ``least_share`` of
+their rows have it.  They are at most ``features``, with their inverse
+document frequencies.
 
 An inverted index holds the examples' weighted vectors: the postings of a
 feature, cut into blocks of examples, each block with its greatest weight.  A
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._arrow import LOWER, Texts, Words, column, slices, span_hashes
+from docweave.llm._arrow import LOWER, Texts, Words, column, ranges, slices, span_hashes
 from docweave.llm._spark import written
 
 
@@ -45,6 +46,7 @@ class Fit:
     sample: int = 20_000
     features: int = 8_192
     least_rows: int = 3
+    least_share: float = 0.5
     margin: float = 3.0  # nats beyond the logarithm of the number of features looked at
     neighbours: int = 16
     block: int = 64
@@ -106,29 +108,30 @@ class Index:
     def nearest(self, features: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of greatest cosine above 0 with their cosines, equal ones by row."""
         low, high = self.block_starts[features], self.block_starts[features + 1]
-        lists = np.concatenate([np.arange(a, z) for a, z in zip(low, high)]) if len(features) else np.empty(0, np.int64)
+        lists = ranges(low, high - low)
         if not len(lists):
             return np.empty(0, np.int64), np.empty(0)
-        factor = np.repeat(weights, high - low)
-        bound = np.bincount(self.block_of[lists], self.block_max[lists] * factor, self.blocks)
-        some = np.flatnonzero(bound)
-        some = some[np.argsort(-bound[some], kind="stable")]
-        by_block = np.argsort(self.block_of[lists], kind="stable")
-        begins = np.searchsorted(self.block_of[lists][by_block], np.arange(self.blocks + 1))
+        factor, of = np.repeat(weights, high - low), self.block_of[lists]
+        bound = np.bincount(of, self.block_max[lists] * factor, self.blocks)
+        some = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
         best_rows, best = np.empty(0, np.int64), np.empty(0)
-        at, width = 0, 1
+        at, width = 0, 2
         while at < len(some):
-            if len(best) == k and bound[some[at]] < best[-1] - 1e-12:
-                break
-            group = some[at : at + width]
-            at, width = at + width, min(width * 2, 64)
-            picked = np.concatenate([by_block[begins[b] : begins[b + 1]] for b in group])
-            counts = self.block_begin[lists[picked] + 1] - self.block_begin[lists[picked]]
-            where = np.repeat(self.block_begin[lists[picked]] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            rows, inverse = np.unique(self.rows[where], return_inverse=True)
-            cosine = np.bincount(inverse, self.weights[where] * np.repeat(factor[picked], counts))
-            keep = rows != without
-            best_rows, best = np.concatenate([best_rows, rows[keep]]), np.concatenate([best, cosine[keep]])
+            if len(best) == k:  # what is left must be able to beat the k-th
+                width = int(np.searchsorted(-bound[some[at:]], -(best[-1] - 1e-12), "right"))
+                if not width:
+                    break
+            inside = np.zeros(self.blocks, bool)
+            inside[some[at : at + width]] = True
+            at, width = at + width, width * 4
+            picked = np.flatnonzero(inside[of])
+            begin = self.block_begin[lists[picked]]
+            counts = self.block_begin[lists[picked] + 1] - begin
+            where = ranges(begin, counts)
+            cosine = np.bincount(self.rows[where], self.weights[where] * np.repeat(factor[picked], counts))
+            rows = np.flatnonzero(cosine)
+            rows = rows[rows != without]
+            best_rows, best = np.concatenate([best_rows, rows]), np.concatenate([best, cosine[rows]])
             order = np.lexsort((best_rows, -np.round(best, 12)))[:k]
             best_rows, best = best_rows[order], best[order]
         return best_rows, best
@@ -153,21 +156,31 @@ def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
+    """The examples that have a feature, ordered so that like ones share blocks, and what votes are worth."""
+
     def __init__(self, vocabulary: Vocabulary, rows, features, weights, ids: list, labels: np.ndarray, fit: Fit):
-        self.vocabulary, self.ids, self.labels, self.fit = vocabulary, ids, labels, fit
-        self.index = Index(rows, features, weights, len(labels), len(vocabulary.hashes), fit.block)
-        filled = np.zeros(len(labels), bool)
-        filled[rows] = True
-        rest = labels[~filled]
-        self.blank = float(rest.sum() / max(1, len(rest))) if len(rest) else float(labels.mean()) if len(labels) else 0.0
-        begin = np.searchsorted(rows, np.arange(len(labels) + 1))
+        self.vocabulary, self.fit = vocabulary, fit
+        filled, row = np.unique(rows, return_inverse=True)
+        rest = np.delete(labels, filled)
+        self.blank = float(rest.mean()) if len(rest) else float(labels.mean()) if len(labels) else 0.0
+        heaviest = np.lexsort((-weights, row))  # by row its greatest weight first
+        lead = features[heaviest[np.searchsorted(row[heaviest], np.arange(len(filled)))]] if len(filled) else filled
+        order = np.lexsort((filled, lead))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        row = place[row]
+        by_row = np.argsort(row, kind="stable")
+        row, features, weights = row[by_row], features[by_row], weights[by_row]
+        self.ids, self.labels = [ids[i] for i in filled[order]], labels[filled[order]]
+        self.index = Index(row, features, weights, len(filled), len(vocabulary.hashes), fit.block)
+        begin = np.searchsorted(row, np.arange(len(filled) + 1))
         votes, truth = [], []
-        for i in np.flatnonzero(filled):
+        for i in range(len(filled)):
             part = slice(begin[i], begin[i + 1])
             near, cosine = self.index.nearest(features[part], weights[part], fit.neighbours, without=i)
             if len(near):
-                votes.append(vote(cosine, labels[near]))
-                truth.append(labels[i])
+                votes.append(vote(cosine, self.labels[near]))
+                truth.append(self.labels[i])
         self.ends, self.shares = monotone(np.array(votes), np.array(truth)) if votes else (np.empty(0), np.empty(0))
 
     def score(self, features: np.ndarray, weights: np.ndarray) -> tuple[float, list]:
@@ -207,7 +220,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     counts = sample.mapInArrow(present, "h long, a long, n long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
     share = toxic / max(1, total)
     a, n = F.col("a"), F.col("n")
-    often = written(counts.where((a >= fit.least_rows) & (a > n * share)))
+    often = written(counts.where((a >= fit.least_rows) & (a > n * share) & (a >= n * fit.least_share)))
     gain = a * F.log(a / (n * share)) + F.when(n > a, (n - a) * F.log((n - a) / (n * (1 - share)))).otherwise(0.0)
     looked_at = often.count()
     best = often.select("h", "n", gain.alias("gain")).where(F.col("gain") >= float(np.log(max(1, looked_at))) + fit.margin).orderBy(F.desc("gain"), "h").limit(fit.features).collect() if looked_at else []
