@@ -1 +1 @@
-
+"""The same readers over files as they arrive."""
