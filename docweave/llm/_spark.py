@@ -30,10 +30,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lower_ascii(text):
-    """Lower-cases A-Z and nothing else; null counts as empty."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
+def small(table: DataFrame, rows: int = 20_000) -> DataFrame:
+    """table, to be broadcast if it is known to have no more than so many rows (of a few numbers and a short name each); else joins on it shuffle.
+
+    table should be written, as it is counted first.
+    """
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ characters per token of the texts that pass the base rules, widened by
 such texts has no quartiles to speak of and is held to its script alone.
 
 The texts are scanned once; what is shuffled is a quantile summary for each
-language and task.
+language and task.  The bands are broadcast if they are few, as languages
+are; else the join on them shuffles.
 
 Null and empty texts have no words, zero measures and fail the base rule.  A
 null language is a language of its own.  Repeated rows are each judged; other
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm._arrow import SPACE, Texts, WordMemo, Words, column, pair, ranges, slices, span_hashes
-from docweave.llm._spark import written
+from docweave.llm._spark import small, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -244,7 +245,7 @@ def _judged(docs: DataFrame, rules: Rules, text_col: str, lang_col: str, dropped
 
     schema = T.StructType([f for f in docs.schema if f.name not in dropped] + [T.StructField(f"_{f.name}", f.dataType) for f in T._parse_datatype_string(DDL)])
     measured = written(docs.mapInArrow(apply, schema).withColumn("_lang", F.coalesce(F.col(lang_col), F.lit(""))))
-    joined = measured.join(_language_bands(measured, rules), F.col("_lang") == F.col("_of"), "left")
+    joined = measured.join(small(written(_language_bands(measured, rules))), F.col("_lang") == F.col("_of"), "left")
     ordinary = F.coalesce(F.col("_chars_per_token").between(F.col("_least"), F.col("_most")), F.lit(True))
     return joined.withColumn("_kept", F.col("_kept") & ordinary)
 

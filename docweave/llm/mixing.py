@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm._arrow import Texts, Words, column, ranges, slices
-from docweave.llm._spark import written
+from docweave.llm._spark import small, written
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ class Mix:
     block: int = 32
     shards: int = 64
     seed: int = 7
-    part_rows: int = 50_000
+    part_rows: int = 4_096
 
 
 class Permutation:
@@ -149,17 +149,17 @@ def targets(sources: DataFrame, mix: Mix) -> DataFrame:
 
 def placed(docs: DataFrame, source_col: str, text_col: str, id_col: str, mix: Mix, carried: bool) -> DataFrame:
     """docs with _size, _offset (words of its source before it), _total and _target of its source."""
-    small = docs.select(docs[id_col], docs[source_col], docs[text_col])
-    counted = written(sized(small, text_col, False).select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), "_size", "_tie"))
+    bare = docs.select(docs[id_col], docs[source_col], docs[text_col])
+    counted = written(sized(bare, text_col, False).select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), "_size", "_tie"))
     sources = targets(counted.groupBy("_source").agg(F.sum("_size").alias("_total"), F.count("*").alias("_rows")), mix)
     sources = written(sources.withColumn("_parts", F.ceil(F.col("_rows") / mix.part_rows).cast("long")))
     if carried:
         rows = sized(docs, text_col, True).withColumns({"_id": F.col(id_col), "_from": F.col(source_col)})
     else:
         rows = counted.withColumnRenamed("_source", "_from")
-    rows = rows.join(sources, rows["_from"].eqNullSafe(sources["_source"]))
+    rows = rows.join(small(sources), rows["_from"].eqNullSafe(sources["_source"]))
     rows = rows.withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")))
-    parts = counted.join(sources, counted["_source"].eqNullSafe(sources["_source"])).groupBy("_index", F.pmod(F.xxhash64("_id"), F.col("_parts")).alias("_part")).agg(F.sum("_size").alias("_words"))
+    parts = counted.join(small(sources), counted["_source"].eqNullSafe(sources["_source"])).groupBy("_index", F.pmod(F.xxhash64("_id"), F.col("_parts")).alias("_part")).agg(F.sum("_size").alias("_words"))
     before = Window.partitionBy("_index").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("_index").alias("_i"), F.col("_part").alias("_p"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_index", "_part").orderBy("_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
