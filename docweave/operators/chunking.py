@@ -629,21 +629,26 @@ def chunks(units: DataFrame, limits: Limits = Limits(), plan: Plan | None = None
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        out: list[dict] = []
         doc = None
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done() -> None:
             if held:
-                made = chunk_document(held, limits, plan, decide)
-                yield pa.RecordBatch.from_pylist([row_of(doc, n, c) for n, c in enumerate(made, 1)], _SCHEMA)
+                out.extend(row_of(doc, n, c) for n, c in enumerate(chunk_document(held, limits, plan, decide), 1))
                 held.clear()
 
         for batch in batches:
             for row in batch.to_pylist():
                 if row["doc_id"] != doc:
-                    yield from done()
+                    done()
                     doc = row["doc_id"]
+                    if len(out) >= 1_000:
+                        yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+                        out = []
                 held.append(evidence.unit_of(row))
-        yield from done()
+        done()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
     return units.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInArrow(apply, CHUNK)
 

@@ -236,19 +236,29 @@ def _pages(rows: DataFrame, read: Callable[[dict], dict], page: Callable[[list[d
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, held = None, []
+        out: list[tuple[int, str]] = []
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done() -> None:
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([page(held)])], names=["doc_id", "html"])
+                out.append((doc, page(held)))
                 held.clear()
 
+        def batch_of() -> pa.RecordBatch:
+            ids, pages = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pages, pa.string())], names=["doc_id", "html"])
+
         for batch in batches:
             for row in batch.to_pylist():
                 if row["doc_id"] != doc:
-                    yield from done()
+                    done()
                     doc = row["doc_id"]
+                    if len(out) >= 500:
+                        yield batch_of()
                 held.append(read(row))
-        yield from done()
+        done()
+        if out:
+            yield batch_of()
 
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInArrow(apply, "doc_id long, html string")
 

@@ -174,9 +174,9 @@ ORACLES["chunk_warnings"] = f"""WITH w AS (SELECT *, (row_number() OVER (PARTITI
     c AS (SELECT sum((n + 1) // 2 - ((n + 1) // 2) // 2) AS unknown, sum(n // 4) AS swapped FROM k)
     SELECT 'agentic_plan_unit_ids_ignored' AS type, unknown::BIGINT AS n FROM c UNION ALL SELECT 'agentic_plan_unit_ids_mismatch', swapped::BIGINT FROM c WHERE swapped > 0"""
 ORACLES["chunk_enrichment"] = """WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, concat(l_partkey, '</td><td>', l_quantity::INT, '</td><td>', l_returnflag)) AS i, * FROM lineitem),
-    c AS (SELECT doc_id, list_filter(flatten(list([l_linenumber::VARCHAR, l_partkey::VARCHAR, l_quantity::INT::VARCHAR, l_returnflag] ORDER BY i)), lambda x: length(x) >= 2)[1:4] AS v FROM r GROUP BY 1),
-    d AS (SELECT doc_id, list_filter(v, lambda x, i: list_position(v, x) = i) AS v FROM c)
-    SELECT doc_id, 'chunk-1' AS id, CASE WHEN len(v) > 0 THEN 'Lines 표 내용을 다룹니다: ' || array_to_string(v, ' / ') END AS summary, 'Lines 표에는 어떤 항목이 포함되어 있나요?' AS question, 'heuristic' AS method FROM d"""
+    c AS (SELECT doc_id, 'section: Order ' || doc_id || ' caption: Lines columns: line | part | quantity | flag ' || string_agg('row ' || i || ': line=' || l_linenumber || '; part=' || l_partkey || '; quantity=' || l_quantity::INT || '; flag=' || l_returnflag, ' ' ORDER BY i) AS said, list_filter(flatten(list([l_linenumber::VARCHAR, l_partkey::VARCHAR, l_quantity::INT::VARCHAR, l_returnflag] ORDER BY i)), lambda x: length(x) >= 2)[1:4] AS v FROM r GROUP BY 1),
+    d AS (SELECT doc_id, said, list_filter(v, lambda x, i: list_position(v, x) = i) AS v FROM c)
+    SELECT doc_id, 'chunk-1' AS id, CASE WHEN len(v) > 0 THEN 'Lines 표 내용을 다룹니다: ' || array_to_string(v, ' / ') ELSE said END AS summary, 'Lines 표에는 어떤 항목이 포함되어 있나요?' AS question, 'heuristic' AS method FROM d"""
 ORACLES["text_enrichment"] = """WITH f AS (SELECT doc_id, text, trim(regexp_replace(text, '[\\t-\\r ]+', ' ', 'g')) AS flat, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\\t-\\r ]+', ' ', 'g'))), lambda x: x <> '')[1] AS top FROM documents),
     s AS (SELECT *, CASE WHEN regexp_matches(flat, '[.!?。！？] ') THEN regexp_extract(flat, '^(.*?[.!?。！？]) ', 1) ELSE flat END AS s, CASE WHEN top IS NULL THEN '이 내용' WHEN length(top) <= 80 THEN top ELSE rtrim(left(top, 79)) || '…' END AS topic, regexp_extract_all(text, '[0-9A-Za-z가-힣]{2,}') AS w FROM f)
     SELECT doc_id, CASE WHEN length(s) <= 300 THEN s ELSE rtrim(left(s, 299)) || '…' END AS summary, array_to_string(list_slice(list_filter(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: lower(x) NOT IN ('table', 'rows', 'columns', 'context', 'row', 'col', 'chunk')), 1, 8), ' ') AS keywords, topic || '의 핵심 내용은 무엇인가요?' AS question FROM s"""

@@ -88,7 +88,10 @@ class CompoundFile:
 
 
 def build(streams: dict[str, bytes]) -> bytes:
-    """A compound file of streams, one folder deep at most; what tests and synthetic inputs are made of."""
+    """A compound file of streams, one folder deep at most; what tests and synthetic inputs are made of.
+
+    Short streams are filled with zeros up to where small ones would be kept elsewhere.
+    """
     sector, cutoff = 512, 4096
     names: list[tuple[str, int, bytes | None]] = []  # name, parent, body
     folders: dict[str, int] = {}
@@ -98,8 +101,6 @@ def build(streams: dict[str, bytes]) -> bytes:
             names.append((folder, 0, None))
             folders[folder] = len(names)
         names.append((name, folders.get(folder, 0), body.ljust(cutoff, b"\0") if len(body) < cutoff else body))
-    sizes = [len(streams[p]) for p in streams]
-    order = iter(sizes)
     fat: list[int] = []
     blocks: list[bytes] = []
 
@@ -126,7 +127,6 @@ def build(streams: dict[str, bytes]) -> bytes:
         if body is None:
             rows.append(entry(name, 1, link[i], children[i][0], 0, 0))
         else:
-            next(order)
             rows.append(entry(name, 2, link[i], none, put(body), len(body)))
     first_dir = put(b"".join(rows))
     n_fat = 1
