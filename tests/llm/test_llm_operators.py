@@ -274,7 +274,7 @@ def test_interpolation(docs, none):
         base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own)
         return i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(own), sum(counts[w] > 0 for w in own), n, round(base, 6)
 
-    for settings in (interpolation.Interpolation(), interpolation.Interpolation(chunk_tokens=50, owner_tokens=400)):
+    for settings in (interpolation.Interpolation(), interpolation.Interpolation(chunk_tokens=50, owner_bytes=2000)):
         found = interpolation.scored(docs, settings).collect()
         assert bag((*r[:5], round(r.base_score, 6)) for r in found) == bag(row(*x) for x in tokens)
         assert all(r.score < 0 for r in found)

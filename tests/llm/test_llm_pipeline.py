@@ -5,7 +5,7 @@ import collections
 import corpus_pipeline
 import numpy as np
 from corpus import lower, words
-from test_operators import plain_fingerprint
+from test_llm_operators import plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
