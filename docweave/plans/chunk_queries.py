@@ -71,13 +71,13 @@ def _faulty(window: list[dict], most: int) -> list[dict]:
 
 
 def plan_faults(spark, sf_dir):
-    rows = chunking.chunks(_lines(spark, sf_dir).where("ord = 0"), plan=_faulty)
-    return rows.select("doc_id", F.get_json_object("metadata", "$._fallback_reason").alias("reason"))
+    rows = chunking.chunks(_lines(spark, sf_dir), plan=_faulty)
+    return rows.select("doc_id", "ord", F.get_json_object("metadata", "$._fallback_reason").alias("reason"))
 
 
 def omitted_rows(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), F.lit("b1").alias("unit_id"), F.col("l_linenumber").alias("row_index")).distinct()
-    taken = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("doc_id"), F.lit("b1").alias("unit_id"), F.lit(2).alias("a"), (F.col("o_orderkey") % 3 + 2).alias("z"))
+    taken = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.lit("b1").alias("unit_id"), F.lit(2).alias("a"), (F.col("o_orderkey") % 3 + 2).alias("z"))
     return chunking.row_runs(chunking.omitted_rows(rows, taken))
 
 
@@ -153,8 +153,9 @@ ORACLES = {
     "plan_row_repairs": """WITH c AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1)
         SELECT doc_id, 1 AS ord, CASE WHEN n = 1 THEN '1' ELSE '1-2' END AS "rows", 0 AS repaired FROM c UNION ALL SELECT doc_id, 2, CASE WHEN n = 3 THEN '3' ELSE '3-' || n END, 1 FROM c WHERE n > 2""",
     "plan_unit_repairs": f"WITH l AS ({_LINES}) SELECT doc_id, count(*) AS n_units, count(*) AS n_distinct FROM l GROUP BY 1",
-    "plan_faults": f"""WITH l AS ({_LINES}) SELECT doc_id, CASE length(line) % 4 WHEN 0 THEN 'unknown unit id: ''nowhere''' WHEN 1 THEN 'duplicate unit id: b0' WHEN 2 THEN 'chunk plan item requires operations' ELSE 'context unit id must refer to a prior assigned unit: b0' END AS reason FROM l WHERE ord = 0""",
-    "omitted_rows": """WITH r AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS i FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0)), o AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r WHERE i < 2 OR i > doc_id % 3 + 2)
+    "plan_faults": f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM ({_LINES})), f AS (SELECT *, first_value(line) OVER w AS first, 'b' || first_value(ord) OVER w AS id FROM k WINDOW w AS (PARTITION BY doc_id, (k - 1) // 40 ORDER BY ord))
+        SELECT doc_id, k::INT AS ord, CASE length(first) % 4 WHEN 0 THEN 'unknown unit id: ''nowhere''' WHEN 1 THEN 'duplicate unit id: ' || id WHEN 2 THEN 'chunk plan item requires operations' ELSE 'context unit id must refer to a prior assigned unit: ' || id END AS reason FROM f""",
+    "omitted_rows": """WITH r AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS i FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)), o AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r WHERE i < 2 OR i > doc_id % 3 + 2)
         SELECT doc_id, 'b1' AS unit_id, min(i)::INT AS a, max(i)::INT AS z FROM o GROUP BY doc_id, k""",
     "headings_forward": f"""WITH l AS (SELECT *, ord // 3 AS chunk, length(line) % 3 = 0 AS h FROM ({_LINES}))
         SELECT a.doc_id, a.ord::INT AS ord, CASE WHEN a.h AND NOT EXISTS (SELECT 1 FROM l b WHERE b.doc_id = a.doc_id AND b.chunk = a.chunk AND b.ord > a.ord AND NOT b.h)

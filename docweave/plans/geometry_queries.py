@@ -26,7 +26,7 @@ def nearest_edges(spark, sf_dir):
 
 def subject_edges(spark, sf_dir):
     boxes, connectors = _boxes(spark, sf_dir), _connectors(spark, sf_dir)
-    nodes = boxes.where("node % 4 > 0").select("diagram", "node", "ord", F.col("node").alias("instance_id"))
+    nodes = boxes.select("diagram", "node", "ord", F.when(F.col("node") % 4 > 0, F.col("node")).alias("instance_id"))
     return diagrams.resolved_by_subject(connectors, nodes, diagrams.inferred_edges(boxes, connectors))
 
 
@@ -41,8 +41,8 @@ def _placed(spark, sf_dir):
 
 def containing_cells(spark, sf_dir):
     rows = _placed(spark, sf_dir)
-    cells = rows.where("box % 4 = 0").selectExpr("page", "box as cell", "x0 - 100 as x0", "top - 100 as top", "x1 + 150 as x1", "bottom + 150 as bottom")
-    return layout.containing(rows.where("box % 4 > 0").withColumnRenamed("box", "item"), cells)
+    cells = rows.selectExpr("page", "box as cell", "x0 - 100 as x0", "top - 100 as top", "x1 + 150 as x1", "bottom + 150 as bottom")
+    return layout.containing(rows.withColumnRenamed("box", "item"), cells)
 
 
 def free_bands(spark, sf_dir):
@@ -73,8 +73,8 @@ ORACLES = {
     "subject_edges": f"""WITH {_EDGES}, f AS (SELECT * FROM g WHERE from_id <> to_id), r AS (SELECT c.diagram, c.connector, s % 4 > 0 AND e % 4 > 0 AND s <> e AS ok, s, e, from_id, to_id FROM c LEFT JOIN f USING (diagram, connector))
         SELECT diagram, connector, CASE WHEN ok AND ok IS NOT NULL THEN s ELSE from_id END AS from_id, CASE WHEN ok AND ok IS NOT NULL THEN e ELSE to_id END AS to_id, CASE WHEN ok AND ok IS NOT NULL THEN 'parsed_subject_ids' ELSE 'inferred_geometry' END AS confidence FROM r WHERE coalesce(ok, false) OR from_id IS NOT NULL""",
     "loose_connectors": f"WITH {_EDGES} SELECT diagram, connector FROM c WHERE connector NOT IN (SELECT connector FROM g WHERE from_id <> to_id)",
-    "containing_cells": f"""WITH p AS ({_P}), c AS (SELECT page, box AS cell, x0 - 100 AS x0, top - 100 AS top, x1 + 150 AS x1, bottom + 150 AS bottom FROM p WHERE box % 4 = 0),
-        j AS (SELECT p.page, p.box AS item, cell, row_number() OVER (PARTITION BY p.box ORDER BY (c.x1 - c.x0) * (c.bottom - c.top), cell) AS k FROM p JOIN c ON p.page = c.page AND p.x0 >= c.x0 - 2 AND p.x1 <= c.x1 + 2 AND p.top >= c.top - 2 AND p.bottom <= c.bottom + 2 WHERE p.box % 4 > 0)
+    "containing_cells": f"""WITH p AS ({_P}), c AS (SELECT page, box AS cell, x0 - 100 AS x0, top - 100 AS top, x1 + 150 AS x1, bottom + 150 AS bottom FROM p),
+        j AS (SELECT p.page, p.box AS item, cell, row_number() OVER (PARTITION BY p.box ORDER BY (c.x1 - c.x0) * (c.bottom - c.top), cell) AS k FROM p JOIN c ON p.page = c.page AND p.x0 >= c.x0 - 2 AND p.x1 <= c.x1 + 2 AND p.top >= c.top - 2 AND p.bottom <= c.bottom + 2)
         SELECT page, item, cell FROM j WHERE k = 1""",
     "free_bands": f"""WITH p AS ({_P}), w AS (SELECT page, coalesce(max(bottom) OVER (PARTITION BY page ORDER BY top, bottom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, top AS z FROM p UNION ALL SELECT page, max(bottom), 1000.0 FROM p GROUP BY 1)
         SELECT page, a AS top, z AS bottom FROM w WHERE z > a + 2""",

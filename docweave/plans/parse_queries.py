@@ -74,7 +74,7 @@ def assets_resolved(spark, sf_dir):
 def asset_orphans(spark, sf_dir):
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     references = parts.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("img-000"), F.col("p_size") % 3).alias("asset_id"))
-    known = parts.where("p_size % 3 < 2").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("img-000"), F.col("p_size") % 2).alias("id"))
+    known = parts.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("img-000"), F.col("p_size") % 2).alias("id"))
     return assets.orphans(references, known)
 
 
@@ -135,7 +135,7 @@ def corpus_summary(spark, sf_dir):
 
 
 def review_rollup(spark, sf_dir):
-    found = _read(synthetic.image_pages(spark, sf_dir).where("doc_id % 4 = 0"))
+    found = _read(synthetic.image_pages(spark, sf_dir))
     flags = profiles.review_flags(profiles.document_summaries(evidence.units(found), evidence.assets(found), evidence.warnings(found)))
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("size"), F.col("p_size") % 3).alias("band"))
     results = parts.join(flags, "doc_id", "left").select("doc_id", "band", F.when(F.col("flags").isNull(), "parse_error").otherwise("ok").alias("status"), F.coalesce("flags", F.lit("")).alias("flags"))
@@ -160,7 +160,7 @@ ORACLES = {
     "html_images": """SELECT p_partkey AS doc_id, CASE p_partkey % 4 WHEN 0 THEN 'asset' ELSE 'warning' END AS kind, CASE p_partkey % 4 WHEN 0 THEN 'img-0001' WHEN 1 THEN 'html_image_data_uri_invalid' WHEN 2 THEN 'html_image_mime_unsupported' ELSE 'html_image_external_reference' END AS name,
         CASE p_partkey % 4 WHEN 0 THEN sha256(p_name) ELSE 'medium' END AS detail FROM part""",
     "assets_resolved": "SELECT p_partkey AS doc_id, 'b1' AS id, 'img-0001' AS asset_id, p_type AS caption, 's3://evidence/' || left(sha256(p_name), 8) || '/assets/img-0001.png' AS uri, strlen(p_name)::BIGINT AS bytes, 'image/png' AS mime FROM part WHERE p_partkey % 4 = 0",
-    "asset_orphans": "SELECT p_partkey AS doc_id, 'img-000' || p_size % 3 AS asset_id FROM part WHERE p_size % 3 = 2 OR p_size % 3 <> p_size % 2",
+    "asset_orphans": "SELECT p_partkey AS doc_id, 'img-000' || p_size % 3 AS asset_id FROM part WHERE p_size % 3 <> p_size % 2",
     "text_units": """WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) AS n FROM documents WHERE text <> ''),
         k AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
         t AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN bare LIKE '#%' THEN 'heading' WHEN bare LIKE '|%' THEN 'table' ELSE 'text' END AS type FROM k),
