@@ -10,8 +10,10 @@ scored by the counts of all the others, itself deleted.
 Counts are never gathered in one place:
 
 1.  Texts become chunks of about ``chunk_tokens`` tokens: the distinct words
-    (64-bit hashes) and, for each token, the word's number.  They are written
-    once.
+    (64-bit hashes) and, for each token, the word's number.  A chunk is known
+    by a hash of what is in it.  Chunks are made twice, once to ask and once
+    to be answered, which takes less than keeping them; an input whose rows
+    come differently the second time fails the job.
 2.  A chunk asks for the counts of its distinct words and pairs.  A request
     is a sorted list of hashes with the chunk's own counts, cut by ranges of
     hashes; a range has one owner task, which adds up what all chunks have
@@ -34,10 +36,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -52,7 +56,7 @@ END_HASH = np.uint64(0x5EED0FE2D0C5A11D)
 @dataclass(frozen=True)
 class Interpolation:
     chunk_tokens: int = 1 << 21
-    owner_tokens: int = 1 << 22
+    owner_bytes: int = 24 << 20  # of text for each owner of counts
     rounds: int = 60
     buckets: int = 40
 
@@ -92,15 +96,36 @@ class _Chunk:
 
     def __init__(self, vocabulary: np.ndarray, index: np.ndarray, lengths: np.ndarray, train: np.ndarray):
         self.vocabulary, self.index = vocabulary, index  # sorted hashes; a word number per token
-        self.lengths = lengths
-        self.trained = np.repeat(train, lengths)
-        end = np.searchsorted(vocabulary, END_HASH)
-        self.before = np.concatenate([[end], index[:-1]])  # each text but the first follows an end token
-        self.pairs, self.pair = np.unique(pair(vocabulary[self.before], vocabulary[index]), return_inverse=True)
-
-    def requests(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Sorted hashes and training counts of the words, and of the pairs."""
-        return [(self.vocabulary, np.bincount(self.index[self.trained], minlength=len(self.vocabulary))), (self.pairs, np.bincount(self.pair[self.trained], minlength=len(self.pairs)))]
+        self.lengths, self.trained = lengths, np.repeat(train, lengths)
+        self.end = int(np.searchsorted(vocabulary, END_HASH))
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """The word before each token; each text but the first follows an end token."""
+        return np.concatenate([np.array([self.end], self.index.dtype), self.index[:-1]])
+
+    @cached_property
+    def _paired(self) -> tuple[np.ndarray, np.ndarray]:
+        codes, distinct = pd.factorize(pair(self.vocabulary[self.before], self.vocabulary[self.index]))
+        order = np.argsort(distinct)
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order))
+        return distinct[order], place[codes]
+
+    @property
+    def pairs(self) -> np.ndarray:
+        """Sorted hashes of the distinct pairs."""
+        return self._paired[0]
+
+    @property
+    def pair(self) -> np.ndarray:
+        """A pair number per token."""
+        return self._paired[1]
+
+    def requests(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Sorted hashes and training counts of the words, then of the pairs."""
+        for hashes, numbers in ((self.vocabulary, self.index), (self.pairs, self.pair)):
+            yield hashes, np.bincount(numbers[self.trained], minlength=len(hashes)).astype(np.uint32)
 
 
 def _ranges(hashes: np.ndarray, owners: int) -> np.ndarray:
@@ -109,67 +134,75 @@ def _ranges(hashes: np.ndarray, owners: int) -> np.ndarray:
     return np.searchsorted(of, np.arange(owners + 1, dtype=np.uint64))
 
 
+def _chunked(batches: Iterator[pa.RecordBatch], settings: Interpolation) -> Iterator[tuple[int, pa.Array, _Chunk, np.ndarray]]:
+    """Name, ids, content and training marks of each chunk of a task's rows (doc_id, text, train)."""
+    place, number, tokens = TaskContext.get().partitionId(), 0, 0
+    ids, train, lengths, hashes = [], [], [], []
+
+    def chunk() -> tuple[int, pa.Array, _Chunk, np.ndarray]:
+        codes, distinct = pd.factorize(np.concatenate(hashes))
+        hashes.clear()
+        order = np.argsort(distinct)
+        place_of = np.empty(len(order), np.uint32)
+        place_of[order] = np.arange(len(order))
+        index, vocabulary, on = place_of[codes], distinct[order], np.concatenate(train)
+        name = xxhash.xxh64(index.tobytes(), seed=place << 20 | number)
+        name.update(vocabulary.tobytes())
+        made = name.intdigest() >> 1, pa.concat_arrays(ids), _Chunk(vocabulary, index, np.concatenate(lengths), on), on
+        for held in (ids, train, lengths):
+            held.clear()
+        return made
+
+    for part in slices(batches, "text"):
+        words = Words(Texts(column(part, "text")))
+        n = part.num_rows
+        of = np.empty(len(words.starts) + n, np.uint64)
+        is_end = np.zeros(len(of), bool)
+        is_end[words.of[1:] + np.arange(n)] = True
+        of[is_end], of[~is_end] = END_HASH, words.hashes(lower=True)
+        hashes.append(of)
+        ids.append(column(part, "doc_id"))
+        train.append(column(part, "train").to_numpy(zero_copy_only=False).astype(bool))
+        lengths.append(words.counts + 1)
+        tokens += len(of)
+        if tokens >= settings.chunk_tokens:
+            yield chunk()
+            number, tokens = number + 1, 0
+    if tokens:
+        yield chunk()
+
+
 def chunks(docs: DataFrame, settings: Interpolation) -> DataFrame:
-    """Chunks of docs (doc_id, text, train)."""
+    """Chunks of docs (doc_id, text, train) as rows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, number, tokens = TaskContext.get().partitionId() << 32, 0, 0
-        ids, train, lengths, hashes, kinds = [], [], [], [], None
-
-        def chunk() -> pa.RecordBatch:
-            codes, distinct = pd.factorize(np.concatenate(hashes))
-            order = np.argsort(distinct)
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order))
-            values = [pa.array([base + number], pa.int64()), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(kinds)), pa.array([np.concatenate(train)], pa.list_(pa.bool_())), pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([squeezed_sorted(distinct[order])], pa.binary()), pa.array([squeezed(place[codes])], pa.binary()), pa.array([tokens], pa.int64())]
-            for held in (ids, train, lengths, hashes):
-                held.clear()
-            return pa.RecordBatch.from_arrays(values, names=["chunk", "ids", "train", "lengths", "vocabulary", "tokens", "n"])
-
-        for part in slices(batches, "text"):
-            words = Words(Texts(column(part, "text")))
-            kinds = column(part, "doc_id").type
-            n = part.num_rows
-            of = np.empty(len(words.starts) + n, np.uint64)
-            is_end = np.zeros(len(of), bool)
-            is_end[words.of[1:] + np.arange(n)] = True
-            of[is_end], of[~is_end] = END_HASH, words.hashes(lower=True)
-            hashes.append(of)
-            ids.append(column(part, "doc_id"))
-            train.append(column(part, "train").to_numpy(zero_copy_only=False).astype(bool))
-            lengths.append(words.counts + 1)
-            tokens += len(of)
-            if tokens >= settings.chunk_tokens:
-                yield chunk()
-                number, tokens = number + 1, 0
-        if tokens:
-            yield chunk()
+        for name, ids, chunk, train in _chunked(batches, settings):
+            values = [pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([train], pa.list_(pa.bool_())), pa.array([chunk.lengths], pa.list_(pa.int64())), pa.array([squeezed_sorted(chunk.vocabulary)], pa.binary()), pa.array([squeezed(chunk.index.astype(np.uint32))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(values, names=["chunk", "ids", "train", "lengths", "vocabulary", "tokens"])
 
-    return docs.mapInArrow(apply, f"chunk long, ids array<{kind}>, train array<boolean>, lengths array<bigint>, vocabulary binary, tokens binary, n long")
+    return docs.mapInArrow(apply, f"chunk long, ids array<{kind}>, train array<boolean>, lengths array<bigint>, vocabulary binary, tokens binary")
 
 
 def _opened(batch: pa.RecordBatch, i: int) -> _Chunk:
-    lists = [np.array(column(batch, c)[i].as_py()) for c in ("lengths", "train")]
-    return _Chunk(restored_sorted(column(batch, "vocabulary")[i].as_py()), restored(column(batch, "tokens")[i].as_py(), np.uint32).astype(np.int64), *lists)
+    lengths, train = (np.array(column(batch, c)[i].as_py()) for c in ("lengths", "train"))
+    return _Chunk(restored_sorted(column(batch, "vocabulary")[i].as_py()), restored(column(batch, "tokens")[i].as_py(), np.uint32), lengths, train)
 
 
 ANSWER = ["chunk", "part", "owner", "counts"]
 
 
-def answers(chunked: DataFrame, owners: int) -> DataFrame:
-    """For each chunk, part (1: words, 2: pairs) and owner, the counts of what was asked, in order; as part 3 of no chunk, each owner's tokens and distinct words."""
+def answers(docs: DataFrame, owners: int, settings: Interpolation) -> DataFrame:
+    """For each chunk of docs, part (1: words, 2: pairs) and owner, the counts of what was asked, in order; as part 3 of no chunk, each owner's tokens and distinct words."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number = column(batch, "chunk")[i].as_py()
-                for part, (hashes, counts) in enumerate(_opened(batch, i).requests(), 1):
-                    cut = _ranges(hashes, owners)
-                    rows = [(o, squeezed_sorted(hashes[cut[o] : cut[o + 1]]), squeezed(counts[cut[o] : cut[o + 1]].astype(np.uint32))) for o in range(owners) if cut[o] < cut[o + 1]]
-                    o, h, c = zip(*rows)
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.full(n, part, np.int32)), pa.array(o, pa.int32()), pa.array(h, pa.binary()), pa.array(c, pa.binary())], names=["chunk", "part", "owner", "hashes", "counts"])
+        for number, _, chunk, _ in _chunked(batches, settings):
+            for part, (hashes, counts) in enumerate(chunk.requests(), 1):
+                cut = _ranges(hashes, owners)
+                rows = [(o, squeezed_sorted(hashes[cut[o] : cut[o + 1]]), squeezed(counts[cut[o] : cut[o + 1]])) for o in range(owners) if cut[o] < cut[o + 1]]
+                o, h, c = zip(*rows)
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.full(n, part, np.int32)), pa.array(o, pa.int32()), pa.array(h, pa.binary()), pa.array(c, pa.binary())], names=["chunk", "part", "owner", "hashes", "counts"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, asked = None, []
@@ -199,7 +232,7 @@ def answers(chunked: DataFrame, owners: int) -> DataFrame:
                 asked.append((chunk, restored_sorted(h), restored(c, np.uint32)))
         yield from answered()
 
-    requests = chunked.mapInArrow(ask, "chunk long, part int, owner int, hashes binary, counts binary")
+    requests = docs.mapInArrow(ask, "chunk long, part int, owner int, hashes binary, counts binary")
     routed = requests.repartition(owners, "owner").sortWithinPartitions("owner", "part")
     return routed.mapInArrow(answer, "chunk long, part int, owner int, counts binary")
 
@@ -219,6 +252,8 @@ def counted(chunked: DataFrame, answered: DataFrame, owners: int, kind: str) ->
         chunk, row, got = None, None, {1: [], 2: []}
 
         def resolved() -> pa.RecordBatch:
+            if any(len(got[k]) != len(filled(x)) - 1 for k, x in ((1, chunk.vocabulary), (2, chunk.pairs))):
+                raise RuntimeError("a chunk was not answered: the input's rows came differently when they were read again")
             words, pairs = (np.concatenate([_counted(b, z - a) for b, a, z in zip(got[k], cut, cut[1:])]) for k, cut in ((1, filled(chunk.vocabulary)), (2, filled(chunk.pairs))))
             c2, c1, c12 = words[chunk.index], words[chunk.before], pairs[chunk.pair]
             begins = np.cumsum(chunk.lengths) - chunk.lengths
@@ -297,10 +332,10 @@ def mixture_weights(cells: np.ndarray, sizes: np.ndarray, tokens: int, distinct:
 def scores(docs: DataFrame, settings: Interpolation = Interpolation()) -> DataFrame:
     """One row per row of docs (doc_id, text, train): doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunked = written(chunks(docs.select("doc_id", "text", "train"), settings))
-    total = chunked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // settings.owner_tokens)
-    resolved = written(counted(chunked, answers(chunked, owners), owners, kind))
+    docs = docs.select("doc_id", "text", "train")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // settings.owner_bytes)
+    resolved = written(counted(chunks(docs, settings), answers(docs, owners, settings), owners, kind))
     tokens, distinct = (int(x or 0) for x in resolved.where("totals is not null").agg(F.sum(F.col("totals")[0]), F.sum(F.col("totals")[1])).first())
     histogram = _cells(resolved)
     weights = mixture_weights(np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], float), tokens, distinct, settings)
