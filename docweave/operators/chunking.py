@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import plain, text as t
 from docweave.sources import evidence
+from docweave.sources.spread import by_document
 
 Plan = Callable[[list[dict], int], Any]
 Merge = Callable[[dict, dict, int], Any]
@@ -650,7 +651,7 @@ def chunks(units: DataFrame, limits: Limits = Limits(), plan: Plan | None = None
         if out:
             yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
-    return units.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInArrow(apply, CHUNK)
+    return by_document(units, "ord").mapInArrow(apply, CHUNK)
 
 
 def fallback_chunks(units: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from docweave.operators import diagrams
 from docweave.operators.chunking import chunk_from
 from docweave.sources import evidence
+from docweave.sources.spread import by_document
 
 _STYLE = "body{font-family:sans-serif;margin:2rem auto;max-width:70rem}section{border:1px solid #ccc;margin:1rem 0;padding:1rem}table{border-collapse:collapse}td,th{border:1px solid #999;padding:.2rem .5rem}.canvas{position:relative}.canvas>div{position:absolute;border:1px solid #555;overflow:hidden}pre{white-space:pre-wrap}"
 _PLACED = frozenset(["", "label", "rectangle", "rect", "ellipse", "textbox", "box", "group", "container", "polygon", "shape"])
@@ -260,7 +261,7 @@ def _pages(rows: DataFrame, read: Callable[[dict], dict], page: Callable[[list[d
         if out:
             yield batch_of()
 
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInArrow(apply, "doc_id long, html string")
+    return by_document(rows, "ord").mapInArrow(apply, "doc_id long, html string")
 
 
 def unit_pages(units: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ from docweave.operators import chunking, enrichment
 from docweave.plans import synthetic
 from docweave.sources import evidence
 from docweave.sources.registry import default_readers
+from docweave.sources.spread import spread
 
 
 def _lines(spark, sf_dir) -> DataFrame:
     """A unit per line of each document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line")).where("line <> ''")
     common = F.to_json(F.struct(F.struct(F.lit("text").alias("chunk_kind"), F.array().cast("array<string>").alias("section_path"), F.lit("plain").alias("display_format")).alias("common")))
     return rows.select("doc_id", "ord", F.concat(F.lit("b"), F.col("ord")).alias("id"), F.lit("text").alias("type"), F.lit("plain").alias("format"), F.col("line").alias("source_text"), F.col("line").alias("content"), F.array().cast("array<string>").alias("section_path"), common.alias("metadata"))
@@ -107,7 +108,7 @@ def table_splits(spark, sf_dir):
 
 
 def text_enrichment(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     rules = enrichment.text_rules(F.col("text"))
     return docs.select("doc_id", rules["summary"].alias("summary"), F.array_join(rules["keywords"], " ").alias("keywords"), rules["questions"][0].alias("question"))
 

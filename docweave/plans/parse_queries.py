@@ -11,6 +11,7 @@ from docweave.operators import assets, profiles
 from docweave.plans import synthetic
 from docweave.sources import evidence, markdown
 from docweave.sources.registry import default_readers
+from docweave.sources.spread import spread
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def _read(docs: DataFrame) -> DataFrame:
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return _read(pages.select(F.col("page_id").alias("doc_id"), F.lit(".html").alias("suffix"), F.col("html").alias("content")))
 
 

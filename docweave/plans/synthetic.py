@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.sources import compound, hwp5
+from docweave.sources.spread import by_document
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +31,7 @@ def order_pages(spark, sf_dir: str) -> DataFrame:
     row = "concat('<tr><td>', l_linenumber, '</td><td>', l_partkey, '</td><td>', cast(l_quantity as int), '</td><td>', l_returnflag, '</td></tr>')"
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(joined(row, "l_linenumber").alias("rows"))
     html = F.concat(F.lit("<html><body><main><h1>Order "), F.col("l_orderkey"), F.lit("</h1><table><caption>Lines</caption><tr><th>line</th><th>part</th><th>quantity</th><th>flag</th></tr>"), F.col("rows"), F.lit("</table></main></body></html>"))
-    return lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(".html").alias("suffix"), html.alias("content"))
+    return by_document(lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(".html").alias("suffix"), html.alias("content")))
 
 
 def region_page(spark, sf_dir: str) -> DataFrame:
