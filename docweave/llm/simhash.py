@@ -7,7 +7,9 @@ holds each class once, with its number of texts.
 Two fingerprints that differ in at most two bits agree on at least two of
 four 16-bit quarters.  For each of the six pairs of quarters the fingerprint
 is rearranged with that pair in front, and classes that agree there meet in
-one task.  The task sorts them by the rank of the rearranged bits in the
+one task.  Should more than ``HOT`` classes share a front, they are split once
+more: of three parts of the other 32 bits at least one is equal too, so each
+class goes to three smaller groups.  The task sorts them by the rank of the rearranged bits in the
 reflected Gray code, so that neighbours share long bit patterns, and factors
 those out: the upper node of a group is the shared front, below it are nodes
 for 8, 16 and 24 further bits, and the leaves.  A search walks pairs of nodes
@@ -32,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm._arrow import Texts, column, ranges, slices
-from docweave.llm._spark import written
+from docweave.llm._spark import small, written
 from docweave.llm.components import components
 
 RADIUS = 2
 SEED = 42
 WORDS = 3
 ARRANGEMENTS = [[*front, *(q for q in range(4) if q not in front)] for front in combinations(range(4), 2)]
+HOT = 1 << 20
+_PARTS = ((0, 11), (11, 11), (22, 10))  # shift and width of the three parts of the bits behind a front
 _STEPS = (32, 24, 16, 8, 0)  # bits below the nodes of each level
 _BLOCK = 1 << 20  # pairs of nodes that are expanded at once
 
@@ -166,25 +170,31 @@ def links(classes: DataFrame) -> DataFrame:
 
         def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             for k, order in enumerate(ARRANGEMENTS):
-                own = rows[:, rows[0] == k]
-                codes, n = gray_code(own[2].view(np.uint64)), own[3]
-                fp = _restored(codes, order)
-                for i, j in search(codes):
-                    apart = fp[i] ^ fp[j]
-                    new = np.ones(len(i), bool)
-                    for earlier in ARRANGEMENTS[:k]:
-                        new &= (_quarter(apart, earlier[0]) | _quarter(apart, earlier[1])) != 0
-                    i, j = i[new], j[new]
-                    if len(i):
-                        a, b = fp[i].view(np.int64), fp[j].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, n[i], n[j])], names=["a", "b", "na", "nb"])
+                for part in range(-1, len(_PARTS)):
+                    own = rows[:, (rows[0] == k) & (rows[4] == part)]
+                    codes, n = gray_code(own[2].view(np.uint64)), own[3]
+                    fp = _restored(codes, order)
+                    # Groups of one front but different parts must not look like one front.
+                    bounds = np.flatnonzero(own[5, 1:] != own[5, :-1]) + 1 if part >= 0 else []
+                    for at, codes_of in zip([0, *bounds], np.split(codes, bounds)):
+                        for i, j in search(codes_of):
+                            apart, behind = fp[at + i] ^ fp[at + j], codes_of[i] ^ codes_of[j]
+                            new = np.ones(len(i), bool)
+                            for earlier in ARRANGEMENTS[:k]:
+                                new &= (_quarter(apart, earlier[0]) | _quarter(apart, earlier[1])) != 0
+                            for shift, width in _PARTS[: max(part, 0)]:
+                                new &= (behind >> np.uint64(shift)) & np.uint64((1 << width) - 1) != 0
+                            i, j = at + i[new], at + j[new]
+                            if len(i):
+                                a, b = fp[i].view(np.int64), fp[j].view(np.int64)
+                                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, n[i], n[j])], names=["a", "b", "na", "nb"])
 
         for batch in batches:
-            rows = np.stack([column(batch, c).to_numpy().astype(np.int64) for c in ("arrangement", "front", "rank", "n")])
+            rows = np.stack([column(batch, c).to_numpy().astype(np.int64) for c in ("arrangement", "front", "rank", "n", "part", "value")])
             if not rows.shape[1]:
                 continue
             held.append(rows)
-            last = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
+            last = np.flatnonzero((rows[[0, 1, 4, 5]] != rows[[0, 1, 4, 5], -1][:, None]).any(0))
             if len(last):  # all groups but the last are complete
                 cut = last[-1] + 1
                 yield from found(np.concatenate([*held[:-1], rows[:, :cut]], axis=1))
@@ -193,7 +203,17 @@ def links(classes: DataFrame) -> DataFrame:
             yield from found(np.concatenate(held, axis=1))
 
     spreaded = classes.select("fp", "n").mapInArrow(spread, "arrangement int, front long, rank long, n long")
-    return spreaded.repartition("arrangement", "front").sortWithinPartitions("arrangement", "front", "rank").mapInArrow(meet, "a long, b long, na long, nb long")
+    if classes.count() > HOT:  # else no front can be shared by more
+        hot = written(spreaded.groupBy("arrangement", "front").count().where(F.col("count") > HOT).select("arrangement", "front", F.lit(True).alias("hot")))
+        code = F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", 1))
+        thrice = F.array(*(F.struct(F.lit(k).alias("part"), F.shiftrightunsigned(code, shift).bitwiseAND((1 << width) - 1).alias("value")) for k, (shift, width) in enumerate(_PARTS)))
+        once = F.array(F.struct(F.lit(-1).alias("part"), F.lit(-1).cast("long").alias("value")))
+        marked = spreaded.join(small(hot), ["arrangement", "front"], "left").withColumn("p", F.explode(F.when(F.col("hot"), thrice).otherwise(once)))
+        grouped = marked.select("arrangement", "front", "rank", "n", "p.part", "p.value")
+    else:
+        grouped = spreaded.withColumns({"part": F.lit(-1), "value": F.lit(-1).cast("long")})
+    keys = ("arrangement", "front", "part", "value")
+    return grouped.repartition(*keys).sortWithinPartitions(*keys, "rank").mapInArrow(meet, "a long, b long, na long, nb long")
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -196,13 +196,17 @@ def test_simhash(docs, none, spark):
     assert simhash.near_duplicates(none).count() == simhash.representatives(none).count() == 0
 
 
-def test_simhash_search_finds_every_link(spark):
+@pytest.mark.parametrize("hot", [1 << 20, 20])
+def test_simhash_search_finds_every_link(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     made = {int(c) for c in centre}
     for c in centre:
         for _ in range(30):
             made.add(int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False)))
+    for _ in range(200):  # many of one front
+        made.add(int(centre[0]) ^ sum(1 << int(b) for b in rng.choice(30, rng.integers(1, 6), replace=False)))
     value = np.array(sorted(made), np.uint64)
     classes = spark.createDataFrame([(int(v), 1) for v in value.view(np.int64)], "fp long, n long").repartition(5)
     found = [(r.a, r.b) for r in simhash.links(classes).collect()]
