@@ -29,13 +29,22 @@ def ratio(part: Column, whole: Column, digits: int = 3) -> Column:
 
 def table_profiles(units: DataFrame) -> DataFrame:
     """One row per table unit: its size, blanks, spans, score and flags."""
-    cell = evidence.cells(units)
-    blank = (F.trim("text") == "") & (F.col("n_children") == 0)
-    counts = cell.groupBy("doc_id", "id").agg(F.count("*").alias("cells"), F.count_if(blank).alias("blank_cells"), F.count_if((F.col("rowspan") > 1) | (F.col("colspan") > 1)).alias("span_cells"), F.count_if(F.col("rowspan") > 1).alias("rowspan_cells"), F.count_if(F.col("colspan") > 1).alias("colspan_cells"), F.sum("n_children").alias("nested_children"))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    shape = evidence.tables(units).select("doc_id", "id", size("t.columns").alias("columns"), size("t.header_rows").alias("header_rows"), size("t.rows").alias("rows"))
-    zero = {c: 0 for c in ("cells", "blank_cells", "span_cells", "rowspan_cells", "colspan_cells", "nested_children")}
-    both = shape.join(counts, ["doc_id", "id"], "left").fillna(zero)
+    rows = lambda name: F.coalesce(f"t.{name}", F.array())
+    every = F.flatten(F.transform(F.concat(rows("header_rows"), rows("rows")), lambda r: r["cells"]))
+    nested = lambda c: F.coalesce(F.json_array_length(c["children"]), F.lit(0))
+    wide, tall = (lambda c: F.coalesce(c["colspan"], F.lit(1)) > 1), (lambda c: F.coalesce(c["rowspan"], F.lit(1)) > 1)
+    n = lambda fits: F.size(F.filter("every", fits)).cast("long")
+    both = evidence.tables(units).withColumn("every", every).select(
+        "doc_id",
+        "id",
+        *(F.size(rows(x)).cast("long").alias(x) for x in ("columns", "header_rows", "rows")),
+        F.size("every").cast("long").alias("cells"),
+        n(lambda c: (F.trim(c["text"]) == "") & (nested(c) == 0)).alias("blank_cells"),
+        n(lambda c: wide(c) | tall(c)).alias("span_cells"),
+        n(tall).alias("rowspan_cells"),
+        n(wide).alias("colspan_cells"),
+        F.aggregate("every", F.lit(0), lambda acc, c: acc + nested(c)).cast("long").alias("nested_children"),
+    )
     c = F.col
     return both.withColumn("blank_ratio", ratio(c("blank_cells"), c("cells"))).withColumns({"score": c("columns") + c("cells") - c("blank_cells") + 2 * c("span_cells"), "flags": table_flags(c("columns"), c("cells"), c("blank_ratio"), c("span_cells"))})
 

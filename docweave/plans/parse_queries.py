@@ -12,6 +12,7 @@ from docweave.plans import synthetic
 from docweave.sources import evidence, markdown
 from docweave.sources.registry import default_readers
 from docweave.sources.spread import spread
+from docweave.sources.store import written
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -125,18 +126,18 @@ def table_profiles(spark, sf_dir):
 
 
 def document_summaries(spark, sf_dir):
-    found = _read(synthetic.order_pages(spark, sf_dir).union(synthetic.image_pages(spark, sf_dir).selectExpr("doc_id + 100000000", "suffix", "content")))
+    found = written(_read(synthetic.order_pages(spark, sf_dir).union(synthetic.image_pages(spark, sf_dir).selectExpr("doc_id + 100000000", "suffix", "content"))))
     rows = profiles.document_summaries(evidence.units(found), evidence.assets(found), evidence.warnings(found))
     return rows.select("doc_id", "n_units", "n_table", "n_image", "total_cells", "total_rows", "asset_count", "asset_bytes", "n_warnings", "warning_types")
 
 
 def corpus_summary(spark, sf_dir):
-    found = _read(synthetic.order_pages(spark, sf_dir))
+    found = written(_read(synthetic.order_pages(spark, sf_dir)))
     return profiles.corpus_summary(profiles.document_summaries(evidence.units(found), evidence.assets(found), evidence.warnings(found)))
 
 
 def review_rollup(spark, sf_dir):
-    found = _read(synthetic.image_pages(spark, sf_dir))
+    found = written(_read(synthetic.image_pages(spark, sf_dir)))
     flags = profiles.review_flags(profiles.document_summaries(evidence.units(found), evidence.assets(found), evidence.warnings(found)))
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("size"), F.col("p_size") % 3).alias("band"))
     results = parts.join(flags, "doc_id", "left").select("doc_id", "band", F.when(F.col("flags").isNull(), "parse_error").otherwise("ok").alias("status"), F.coalesce("flags", F.lit("")).alias("flags"))
