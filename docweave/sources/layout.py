@@ -114,7 +114,8 @@ class _Page:
         made = {"caption": None, "columns": columns, "rows": [{"index": k, "cells": x} for k, x in enumerate(rows, 1)]}
         if heads:
             made["header_rows"] = [{"index": k, "cells": x} for k, x in enumerate(heads, 1)]
-        return page_tables.repair(made)
+        text = crop(self.page, (0.0, 0.0, self.page["width"], self.page["height"])) if page_tables.is_contents(made) else ""
+        return page_tables.repair(made, text)
 
     def around(self, cell: layout.Box, inner: list[layout.Box]) -> str:
         """A cell's text without that of the tables in it."""

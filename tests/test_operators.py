@@ -212,6 +212,25 @@ def test_page_rules():
     assert page_texts.text_parts("□ 하나\n둘\n- 셋") == ["□ 하나", "둘\n- 셋"]
 
 
+def page_table_of(heads, rows):
+    table = page_tables.from_lines(rows, heads)
+    table["header_rows"] = [{"index": 1, "cells": [page_tables.simple(f"c{i}", h) for i, h in enumerate(heads, 1)]}]
+    return table
+
+
+def test_page_table_promotions():
+    contents = page_table_of(["번호", "제목", "페이지"], [["", "첫 장", ""], ["2", "둘째", "9"]])
+    page_tables.repair(contents, "1 첫장 3\n2 둘째 9\nother")
+    assert [[c["text"] for c in r["cells"]] for r in contents["rows"]] == [["1", "첫 장", "3"], ["2", "둘째", "9"]]
+    codes = page_table_of(["질병코드", "", ""], [["A00", "B01.2", "C10~C12"], ["x", "y", "z"]])
+    page_tables.repair(codes)
+    assert [c["text"] for c in codes["columns"]] == ["질병코드 / A00", "질병코드 / B01.2", "질병코드 / C10~C12"] and len(codes["rows"]) == 1 and codes["header_rows"][0]["cells"][0]["colspan"] == 3
+    scans = page_table_of(["구분", "EDI코드"], [["단일 기본 초음파 복합", "EB401 EB402"], ["진단 초음파 눈 주위", "EB411 EB412"], ["a 특수 초음파 b c", "EB901 EB902"]])
+    page_tables.repair(scans)
+    assert [[c["text"] for c in r["cells"]] for r in scans["rows"]] == [["기본 초음파", "단일", "EB401"], ["복합", "EB402"], ["진단 초음파", "안구", "EB411"], ["안와", "EB412"], ["특수 초음파", "a", "EB901"], ["b c", "EB902"]]
+    assert scans["rows"][0]["cells"][0]["rowspan"] == 2
+
+
 def test_assets_are_put_and_resolved(spark, tmp_path):
     page = b"<table><tr><th>a</th></tr><tr><td><img src='data:image/png;base64,aGk='></td></tr></table>"
     docs = spark.createDataFrame([(1, ".html", page)], "doc_id long, suffix string, content binary")
