@@ -145,7 +145,7 @@ class WordMemo:
     length.  Beyond limit words the memo starts afresh, so its size is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 750_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_200_000):
         self.encode, self.limit = encode, limit
         self.clear()
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._arrow import Texts, WordMemo, Words, column, ranges, slices
+from docweave.llm._arrow import LOWER, Texts, WordMemo, Words, column, ranges, slices, span_hashes
 from docweave.llm._spark import written
 
 
@@ -54,20 +54,42 @@ def _memo(path: str) -> WordMemo:
 
         model = Tokenizer.from_file(path)
         model.encode_special_tokens = True
-        _memos[path] = WordMemo(lambda words: [x.ids for x in model.encode_batch(words, add_special_tokens=False)])
+        _memos[path] = WordMemo(lambda words: [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)])
     return _memos[path]
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = True
+
+
+def pretokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges that the tokeniser never merges over, and for each text its range of them.
+
+    Besides at white space it cuts between an ASCII letter and an ASCII mark
+    (the apostrophe aside), so that a word is one with and without a comma.
+    """
+    words, data = Words(texts), texts.data
+    letter, mark = _LETTER[data], _MARK[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = letter[1:] & mark[:-1] | mark[1:] & letter[:-1]
+    begins, stops = cut.copy(), cut
+    begins[words.starts], stops[words.ends] = True, True
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(stops), np.searchsorted(starts, texts.offsets)
+
+
 def token_ids(texts: Texts, memo: WordMemo) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, and where each text's begin and end.
 
-    The tokeniser drops white space and never merges over it, so a text has
-    the ids of its words.
+    The tokeniser lower-cases, so the memo may know words with A-Z lower-cased.
     """
-    words = Words(texts)
-    slots = memo(texts.data, words.starts, words.ends, words.hashes())
+    starts, ends, of = pretokens(texts)
+    lower = LOWER[texts.data]
+    slots = memo(lower, starts, ends, span_hashes(lower, starts, ends))
     lengths = memo.length[slots]
-    return memo.ids[ranges(memo.start[slots], lengths)], np.concatenate([[0], np.cumsum(lengths)])[words.of]
+    return memo.ids[ranges(memo.start[slots], lengths)], np.concatenate([[0], np.cumsum(lengths)])[of]
 
 
 class _Windows:
