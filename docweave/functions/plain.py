@@ -6,8 +6,10 @@ import json
 import re
 from typing import Any
 
-FORM = r"[\[(][^\])]*별지\s*제?\s*[0-9]+(?:[-‐‑–—][0-9]+)?\s*호(?:\s*서식)?[^\])]*[\])]"
-_BACK_PAGE = re.compile(r"\(?\s*(?:뒷면|뒤\s*쪽|을지|앞면|앞\s*쪽)\s*\)?")
+_DASH, _COUNT = "[‐‑–—-]", "[0-9]{1,9}"
+FORM = rf"[\[(][^\])]*별지\s*(?:제\s*)?{_COUNT}(?:{_DASH}{_COUNT})?\s*호(?:\s*서식)?[^\])]*[\])]"
+_SIDE = r"\d{2,3}\s*m{1,3}"
+_BACK_PAGE = re.compile(r"\(?\s*(?:[앞뒤]\s*쪽|앞면|뒷면|을지)\s*\)?")
 _HEADING = re.compile(rf"\d{{1,2}}\.\s+\S|[가-힣]\.\s+\S|{FORM}\s*$|{FORM}\s*[^.?!]{{1,60}}$")
 STOPS = frozenset("table rows columns context row col chunk".split())
 
@@ -18,11 +20,11 @@ def flat(text: Any) -> str:
 
 def clipped(text: str, limit: int) -> str:
     text = text.strip()
-    return text if len(text) <= limit else text[: limit - 1] + "…"
+    return f"{text[: limit - 1]}…" if len(text) > limit else text
 
 
 def clipped_clean(text: str, limit: int) -> str:
-    return text if len(text) <= limit else text[: max(0, limit - 1)].rstrip() + "…"
+    return f"{text[: max(0, limit - 1)].rstrip()}…" if len(text) > limit else text
 
 
 def tokens(text: str) -> int:
@@ -43,7 +45,7 @@ def topic(text: str) -> str:
 
 
 def flat_summary(text: str) -> str:
-    return text.strip().replace("\n", " ")[:500]
+    return " ".join(text.strip().split("\n"))[:500]
 
 
 def first_sentence(text: str) -> str:
@@ -86,12 +88,12 @@ def starts_case(text: str) -> bool:
 
 def ends_form(text: str) -> bool:
     text = flat(text)
-    return any(x in text for x in ("신문용지", "일반용지", "재활용품", "g/m", "g/㎡")) and bool(re.search(r"[0-9]{2,3}\s*m{1,3}\s*[×xX]\s*[0-9]{2,3}\s*m{1,3}", text))
+    return bool(re.search("신문용지|일반용지|재활용품|g/m|g/㎡", text) and re.search(rf"{_SIDE}\s*[xX×]\s*{_SIDE}", text))
 
 
 def is_question_label(label: str) -> bool:
     low = label.lower()
-    return "질의" in label or "질문" in label or low in ("q", "qa", "q&a", "question") or low.startswith("q ")
+    return "질의" in label or "질문" in label or low in "q qa q&a question".split() or low.startswith("q ")
 
 
 def texts_in(value: Any) -> str:

@@ -10,10 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
-FORM = r"[\[(][^\])]*별지[{s}]*제?[{s}]*[0-9]+(?:[-‐‑–—][0-9]+)?[{s}]*호(?:[{s}]*서식)?[^\])]*[\])]".replace("{s}", SPACE)
-BACK_PAGE = r"^\(?[{s}]*(?:뒷면|뒤[{s}]*쪽|을지|앞면|앞[{s}]*쪽)[{s}]*\)?$".replace("{s}", SPACE)
+_DASH, _COUNT = "[‐‑–—-]", "[0-9]{1,9}"
+FORM = rf"[\[(][^\])]*별지[{SPACE}]*(?:제[{SPACE}]*)?{_COUNT}(?:{_DASH}{_COUNT})?[{SPACE}]*호(?:[{SPACE}]*서식)?[^\])]*[\])]"
+BACK_PAGE = r"^\(?[{s}]*(?:[앞뒤][{s}]*쪽|앞면|뒷면|을지)[{s}]*\)?$".replace("{s}", SPACE)
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-STOP_KEYWORDS = ("table", "rows", "columns", "context", "row", "col", "chunk")
+STOP_KEYWORDS = tuple("table rows columns context row col chunk".split())
 
 
 def strip(c: Column) -> Column:
@@ -98,7 +99,7 @@ def clean_question(c: Column) -> Column:
 
 def is_question_label(c: Column) -> Column:
     low = F.lower(c)
-    return F.contains(c, F.lit("질의")) | F.contains(c, F.lit("질문")) | low.isin("q", "qa", "q&a", "question") | F.startswith(low, F.lit("q "))
+    return F.contains(c, F.lit("질의")) | F.contains(c, F.lit("질문")) | low.isin(*"q qa q&a question".split()) | F.startswith(low, F.lit("q "))
 
 
 def looks_like_heading(c: Column) -> Column:
@@ -134,7 +135,8 @@ def starts_case(c: Column) -> Column:
 def ends_form(c: Column) -> Column:
     text, s = normalize_space(c), f"[{SPACE}]*"
     paper = text.rlike("신문용지|일반용지|재활용품|g/m|g/㎡")
-    return text.rlike(rf"[0-9]{{2,3}}{s}m{{1,3}}{s}[×xX]{s}[0-9]{{2,3}}{s}m{{1,3}}") & paper
+    side = f"[0-9]{{2,3}}{s}m{{1,3}}"
+    return text.rlike(f"{side}{s}[xX×]{s}{side}") & paper
 
 
 def heading_stripped(c: Column) -> Column:

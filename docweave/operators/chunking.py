@@ -78,12 +78,11 @@ def column_label(columns: list[dict], name: Any) -> str:
 
 def table_text(table: dict) -> str:
     columns = table.get("columns", [])
-    lines = [f"table: {len(columns)} columns"]
-    if columns:
-        lines.append("columns: " + " | ".join(str(c.get("text", "")).strip() for c in columns))
+    labels = [str(c.get("text", "")).strip() for c in columns]
+    lines = [f"table: {len(labels)} columns", *([f"columns: {' | '.join(labels)}"] if labels else [])]
     for row in table.get("rows", []):
         values = [f"{column_label(columns, c.get('column_id'))}={x}" for c in row.get("cells", []) if (x := str(c.get("text", "")).strip())]
-        lines.append(f"row {row.get('index', '?')}: {'; '.join(values)}")
+        lines += [f"row {row.get('index', '?')}: " + "; ".join(values)]
     return "\n".join(lines)
 
 
@@ -212,7 +211,7 @@ def checked_ranges(value: Any) -> list[list[int]]:
         raise BadPlan("include_rows requires row_ranges")
     for r in value:
         if not (isinstance(r, list) and len(r) == 2 and all(type(x) is int for x in r) and r[0] <= r[1]):
-            raise BadPlan("row range must be [start, end] ints with start <= end")
+            raise BadPlan("row ranges are pairs of ints, the first not above the second")
     return [list(r) for r in value]
 
 

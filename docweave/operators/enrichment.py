@@ -15,6 +15,7 @@ from docweave.operators.chunking import _SCHEMA, CHUNK, chunk_from, ranges_label
 from docweave.sources.evidence import dumped
 
 Enrich = Callable[[dict], Any]
+_ASKED = ("의 핵심 내용은 무엇인가요?", "에서 확인해야 할 기준이나 조건은 무엇인가요?")
 RESERVE = 256  # tokens of an answer, for each chunk of a batch
 
 
@@ -87,7 +88,7 @@ def by_rules(chunk: dict) -> dict:
             asked = [f"{subject or '이 표'} 표에는 어떤 항목이 포함되어 있나요?", f"{subject or '이 표'} 표의 주요 기준이나 값은 무엇인가요?"]
         return {"summary": plain.clipped_clean(summary, 300), "keywords": words, "questions": asked}
     topic = title_of(chunk) or plain.topic(source) or "이 내용"
-    return {"summary": plain.first_sentence(source), "keywords": words, "questions": [f"{topic}의 핵심 내용은 무엇인가요?", f"{topic}에서 확인해야 할 기준이나 조건은 무엇인가요?"]}
+    return {"summary": plain.first_sentence(source), "keywords": words, "questions": [topic + asks for asks in _ASKED]}
 
 
 def _with(chunk: dict, found: dict, method: str, warning: str | None = None) -> dict:
@@ -187,7 +188,7 @@ def enrich(chunks: DataFrame, call: Enrich | None = None, batch: Callable[[list[
 def text_rules(source: Column, title: Column | None = None) -> dict[str, Column]:
     """The rules for chunks of text, as columns."""
     topic = F.coalesce(F.nullif(t.normalize_space(title), F.lit("")) if title is not None else F.lit(None), F.nullif(t.topic(source), F.lit("")), F.lit("이 내용"))
-    return {"summary": t.first_sentence(source), "keywords": t.keywords_without_stops(source), "questions": F.array(F.concat(topic, F.lit("의 핵심 내용은 무엇인가요?")), F.concat(topic, F.lit("에서 확인해야 할 기준이나 조건은 무엇인가요?")))}
+    return {"summary": t.first_sentence(source), "keywords": t.keywords_without_stops(source), "questions": F.array(*(F.concat(topic, F.lit(asks)) for asks in _ASKED))}
 
 
 __all__ = ["batches_of", "by_rules", "checked", "enrich", "enriched", "enriched_batch", "needs", "payload", "text_rules"]

@@ -7,9 +7,9 @@ import re
 from docweave.operators import page_tables
 
 _PAGE_NUMBER = re.compile(r"^[^\S\n]*(?:-[^\S\n]*)?\d+(?:[^\S\n]*-)?[^\S\n]*$", re.M)
-_REVISION = re.compile(r"(개정\s+[’']?\d{2,4}\.\d{1,2}\.\d{1,2}\.)(?:\s+(고시\s+제\d{4}-\d+호))?(?:\s+\(([^)]*시행)\))?\s*(.*)")
+_REVISION = [re.compile(x) for x in (r"개정\s+[’']?\d{2,4}(?:\.\d{1,2}){2}\.", r"\s+고시\s+제\d{4}-\d+호", r"\s+\([^)]*시행\)")]
 _NUMBERED = re.compile(r"\d+\.\s+")
-_ITEM = re.compile(r"[■□○〇\-ㆍ․*※]|\d+\.\s|\(?\d+\)|[가-힣]\.\s|제\d+조(?:의\d+)?\(")
+_ITEM = re.compile(r"[■□○〇\-ㆍ․*※]|\d+\.\s|\(?\d+\)|[가-힣]\.\s|제\d+조(의\d+)?[(]")
 
 
 def clean(text: str | None) -> str:
@@ -18,7 +18,7 @@ def clean(text: str | None) -> str:
 
 
 def is_artifact(text: str) -> bool:
-    return bool(re.fullmatch(r"INSID[A-Za-z0-9_:.-]+", text.strip()))
+    return re.fullmatch(r"INSID[\w:.-]+", text.strip(), re.ASCII) is not None
 
 
 def _flowed(lines: list[str]) -> str:
@@ -27,11 +27,11 @@ def _flowed(lines: list[str]) -> str:
 
 def notice(lines: list[str]) -> list[str] | None:
     """A ministry's notice: its paragraphs end in 다., dates and signatures stand alone."""
-    if not lines or not lines[0].startswith("보건복지부 고시 "):
+    if not "".join(lines[:1]).startswith("보건복지부 고시 "):
         return None
     out, held = [lines[0]], []
     for x in lines[1:]:
-        alone = re.fullmatch(r"\d{4}년\s+\d{1,2}월\s+\d{1,2}일", x) or x == "보건복지부 장관" or x.endswith("일부개정")
+        alone = re.fullmatch(r"\d{4}년(?:\s+\d{1,2}[월일]){2}", x) or x == "보건복지부 장관" or x.endswith("일부개정")
         if not alone:
             held.append(x)
         if held and (alone or x.endswith("다.")):
@@ -65,10 +65,10 @@ def letter_end(lines: list[str]) -> list[str] | None:
     """The last lines of a letter, cut before each of their fields."""
 
     def cut(line: str) -> list[str]:
-        at = sorted(i for m in ("수신자", "주무관", "주주관", "주관", "시행", "접수", "우", "전화") if (i := line.find(f" {m} ")) > 0)
+        at = sorted(i for m in "수신자 주무관 주주관 주관 시행 접수 우 전화".split() if (i := line.find(f" {m} ")) > 0)
         return [p for a, z in zip([0, *(i + 1 for i in at)], [*at, len(line)]) if (p := line[a:z].strip())]
 
-    if len(lines) > 1 and lines[0] == "보건복지부" and lines[1].startswith("수신자"):
+    if lines[:1] == ["보건복지부"] and "".join(lines[1:2]).startswith("수신자"):
         return [p for x in lines for p in cut(x)]
     if len(lines) == 1 and lines[0].startswith("보건복지부 수신자 ") and " 시행 " in lines[0] and " 전화 " in lines[0]:
         return cut(lines[0])
@@ -128,10 +128,14 @@ def revision_parts(text: str) -> list[tuple[str, object]] | None:
     at = lines.index("관련 근거")
     rows = []
     for x in lines[at + 1 :]:
-        m = _REVISION.fullmatch(x)
-        if not m:
+        if not _REVISION[0].match(x):
             break
-        rows.append([(g or "").strip() for g in m.groups()])
+        values = []
+        for pattern in _REVISION:  # day, notice, day of effect, each where it is given
+            m = pattern.match(x)
+            values.append(m[0].strip().strip("()") if m else "")
+            x = x[m.end() :] if m else x
+        rows.append([*values, x.strip()])
     if len(rows) < 2:
         return None
     heads = ["개정일", "고시", "시행일", "관련 근거"]

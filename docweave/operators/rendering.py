@@ -16,7 +16,7 @@ from docweave.sources import evidence
 from docweave.sources.spread import by_document
 
 _STYLE = "body{font-family:sans-serif;margin:2rem auto;max-width:70rem}section{border:1px solid #ccc;margin:1rem 0;padding:1rem}table{border-collapse:collapse}td,th{border:1px solid #999;padding:.2rem .5rem}.canvas{position:relative}.canvas>div{position:absolute;border:1px solid #555;overflow:hidden}pre{white-space:pre-wrap}"
-_PLACED = frozenset(["", "label", "rectangle", "rect", "ellipse", "textbox", "box", "group", "container", "polygon", "shape"])
+_PLACED = frozenset(["", *"box container ellipse group label polygon rect rectangle shape textbox".split()])
 _SHOWN_METADATA = frozenset("source_unit_ids source_units context_unit_ids operations title common _boundary_merges _fallback_reason _warnings _rejected_plan _needs_enrichment".split())
 
 

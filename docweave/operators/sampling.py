@@ -15,7 +15,7 @@ from docweave.functions import text as t
 
 KIB = 1024
 BANDS = (("small", 0, 100 * KIB), ("medium", 100 * KIB, 512 * KIB), ("large", 512 * KIB, 2048 * KIB), ("xlarge", 2048 * KIB, 20480 * KIB))
-QUANTILES = (0.1, 0.3, 0.5, 0.7, 0.9)
+QUANTILES = tuple(k / 10 for k in (1, 3, 5, 7, 9))
 
 
 def listing(lines: DataFrame, suffix: str, line_col: str = "line") -> DataFrame:

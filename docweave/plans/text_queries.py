@@ -79,7 +79,7 @@ def _flat(x: str) -> str:
 
 _DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 _WORDS = "regexp_extract_all(text, '[0-9A-Za-z가-힣]{2,}')"
-_FORM = r"[\[(][^\])]*별지\s*제?\s*[0-9]+(?:[-‐‑–—][0-9]+)?\s*호(?:\s*서식)?[^\])]*[\])]"
+_FORM = r"[\[(][^\])]*별지\s*(제\s*)?[0-9]{1,9}([‐‑–—-][0-9]{1,9})?\s*호(\s*서식)?[^\])]*[\])]"
 
 ORACLES = {
     "token_estimate": r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]{1,4}|[^\s\x0bA-Za-z0-9_]'))::BIGINT AS tokens FROM documents",

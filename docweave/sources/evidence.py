@@ -44,6 +44,11 @@ class Parsed:
         self.warnings.append({"type": kind, "severity": severity, **more})
 
 
+def child(kind: str, form: str, content: Any, **more: Any) -> dict:
+    """What a cell holds besides text."""
+    return {"type": kind, "format": form, "content": content, **more}
+
+
 Reader = Callable[[bytes], Parsed]
 
 COLUMNS = "doc_id long, kind string, ord int, id string, type string, format string, source_text string, content string, section_path array<string>, metadata string, data binary, mime string, ext string"

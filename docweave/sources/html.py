@@ -16,10 +16,10 @@ from html.parser import HTMLParser
 from docweave.sources.evidence import Parsed
 
 _VOID = frozenset("area base basefont bgsound br col command embed frame hr image img input isindex keygen link menuitem meta nextid param source spacer track wbr".split())
-_SKIPPED_AREAS = ("btnarea", "filebox", "popfooter", "popheader", "popupfooter", "popupheader")
+_SKIPPED_AREAS = "popupheader popupfooter popheader popfooter filebox btnarea".split()
 _HEADING = re.compile("h[1-6]")
 _DATA_URI = re.compile(r"data:([^;,]+);base64,(.*)", re.I | re.S)
-_EXTENSIONS = {"image/gif": "gif", "image/jpeg": "jpg", "image/png": "png", "image/webp": "webp"}
+_EXTENSIONS = {"image/jpeg": "jpg", **{f"image/{x}": x for x in ("png", "gif", "webp")}}
 
 
 class Element:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from docweave.operators import diagrams, grid
 from docweave.operators.grid import GridCell
 from docweave.sources.compound import CompoundFile
-from docweave.sources.evidence import Parsed
+from docweave.sources.evidence import Parsed, child
 from docweave.sources.hwpx import mime_of
 
 BIN_DATA, PARA_TEXT, CONTROL, LIST, SHAPE, TABLE, LINE, PICTURE = 0x12, 0x43, 0x47, 0x48, 0x4C, 0x4D, 0x4E, 0x55
@@ -355,7 +355,7 @@ class _Section:
     def put(self, block, as_diagram: Callable[[], dict]) -> None:
         cell = self.in_cell()
         if cell:
-            cell.children.append({"type": "diagram", "format": "structured_diagram", "content": as_diagram()})
+            cell.children.append(child("diagram", "structured_diagram", as_diagram()))
         else:
             self.blocks.append(block)
 
@@ -381,7 +381,7 @@ class _Section:
             return
         cell = self.in_cell()
         if cell:
-            cell.children.append({"type": "image", "format": "asset_ref", "content": {"asset_id": found.asset, "caption": None}, "metadata": found.metadata})
+            cell.children.append(child("image", "asset_ref", {"asset_id": found.asset, "caption": None}, metadata=found.metadata))
         else:
             self.blocks.append(found)
 
@@ -391,7 +391,7 @@ class _Section:
         if not table.filled:
             return
         if self.tables and self.tables[-1].open:
-            self.tables[-1].open.children.append({"type": "table", "format": "structured_table", "content": table.content()})
+            self.tables[-1].open.children.append(child("table", "structured_table", table.content()))
         elif not self.tables:
             lone = table.lone()
             self.blocks.append(Text(lone) if lone else table)

@@ -14,7 +14,7 @@ from xml.etree import ElementTree
 
 from docweave.operators import diagrams, grid
 from docweave.operators.grid import GridCell, any_of
-from docweave.sources.evidence import Parsed
+from docweave.sources.evidence import Parsed, child
 
 NODES = frozenset("rect roundRect ellipse arc polygon curve container shapeObject textBox textbox".split())
 CONNECTORS = frozenset("line connectLine arc curve polygon".split())
@@ -107,11 +107,11 @@ class _Reader:
                 if warning not in self.parsed.warnings:
                     self.parsed.warnings.append(warning)
             elif name in NODES and (text := self.shape_text(e)):
-                nodes.append({"id": f"n{len(nodes) + 1}", "shape_type": name, "text": text, "bbox": self.bbox(e), "metadata": {"source": "hwpx_drawing_text"}})
+                nodes.append({"shape_type": name, "text": text, "id": f"n{len(nodes) + 1}", "bbox": self.bbox(e), "metadata": {"source": "hwpx_drawing_text"}})
             elif name in CONNECTORS and (b := self.bbox(e, flat=True)):
                 kind = "line" if name == "connectLine" else name
                 ends = self.ends(e) or diagrams.line_ends(b["x"], b["y"], b["width"], b["height"])
-                connectors.append({"id": f"c{len(connectors) + 1}", "type": kind, "bbox": b, "points": ends, "arrow": self.arrow(e), "metadata": {"source": f"hwpx_{kind}"}})
+                connectors.append({"type": kind, "id": f"c{len(connectors) + 1}", "points": ends, "bbox": b, "arrow": self.arrow(e), "metadata": {"source": f"hwpx_{kind}"}})
         if len(nodes) == 1 and not connectors:
             return nodes[0]["text"]
         if not nodes:
@@ -138,7 +138,7 @@ class _Reader:
         points = [{"x": x, "y": y} for p in e.iter() if local(p) in ("pt", "point") and (x := _number(p, "x")) is not None and (y := _number(p, "y")) is not None]
         if len(points) >= 2:
             return points
-        sides = [(_number(e, *xs), _number(e, *ys)) for xs, ys in ((("x1", "startX", "fromX"), ("y1", "startY", "fromY")), (("x2", "endX", "toX"), ("y2", "endY", "toY")))]
+        sides = [(_number(e, *xs), _number(e, *ys)) for xs, ys in ((f"x{n} {word}X {to}X".split(), f"y{n} {word}Y {to}Y".split()) for n, word, to in ((1, "start", "from"), (2, "end", "to")))]
         return [{"x": x, "y": y} for x, y in sides] if all(v is not None for side in sides for v in side) else []
 
     @staticmethod
@@ -172,19 +172,19 @@ class _Reader:
             for p in _named(lists, "p"):
                 nested = _within(p, "tbl")
                 if nested is not None:
-                    children.append({"type": "table", "format": "structured_table", "content": self.table(nested)})
+                    children.append(child("table", "structured_table", self.table(nested)))
                     continue
                 drawn = self.drawing(p)
                 if isinstance(drawn, str):
                     texts.append(drawn)
                     continue
                 if drawn is not None:
-                    children.append({"type": "diagram", "format": "structured_diagram", "content": drawn})
+                    children.append(child("diagram", "structured_diagram", drawn))
                     continue
                 for pic in (d for d in p.iter() if local(d) == "pic"):
                     name = self.picture(pic)
                     if name:
-                        children.append({"type": "image", "format": "asset_ref", "content": {"asset_id": name, "caption": None}})
+                        children.append(child("image", "asset_ref", {"asset_id": name, "caption": None}))
                 if text := self.text(p):
                     texts.append(text)
         return GridCell(own("rowAddr", "cellAddr", 0, row), own("colAddr", "cellAddr", 0, column), own("rowSpan", "cellSpan", 1, 1), own("colSpan", "cellSpan", 1, 1), " ".join(texts), children)

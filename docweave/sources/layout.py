@@ -172,7 +172,7 @@ class _Page:
                 b = box(s)
                 if layout.inside(b, around, 3.0) and max(b[2] - b[0], b[3] - b[1]) >= 10:
                     points = [{"x": p[0], "y": p[1]} for p in s.get("pts", [])] or [{"x": float(s.get("x0", 0)), "y": float(s.get("top", 0))}, {"x": float(s.get("x1", 0)), "y": float(s.get("bottom", 0))}]
-                    connectors.append({"id": f"c{len(connectors) + 1}", "type": kind, "bbox": placed(b), "points": points, "arrow": bool(s.get("arrow")), "metadata": {"source": f"pdf_vector_{kind}"}})
+                    connectors.append({"type": kind, "id": f"c{len(connectors) + 1}", "bbox": placed(b), "points": points, "arrow": bool(s.get("arrow")), "metadata": {"source": f"pdf_vector_{kind}"}})
         return diagrams.structured(nodes, diagrams.edges_between(nodes, connectors, []), connectors)
 
     def segments(self) -> list[tuple]:

@@ -13,7 +13,7 @@ from docweave.streaming import files
 
 
 def text_unit(name, said, **common):
-    return {"id": name, "type": "text", "format": "plain", "source": {"kind": "text", "text": said}, "content": said, "metadata": {"common": {"section_path": [], **common}}}
+    return {"type": "text", "id": name, "content": said, "format": "plain", "source": {"text": said, "kind": "text"}, "metadata": {"common": {"section_path": [], **common}}}
 
 
 def table_unit(name, n, spanning=False, words="b{}"):
@@ -22,8 +22,8 @@ def table_unit(name, n, spanning=False, words="b{}"):
         first = {"column_id": "c1", "text": f"a{k}", "rowspan": n if spanning else 1, "colspan": 1, "children": []}
         second = {"column_id": "c2", "text": words.format(k), "rowspan": 1, "colspan": 1, "children": []}
         rows.append({"index": k, "cells": [second] if spanning and k > 1 else [first, second]})
-    content = {"caption": None, "columns": [{"id": "c1", "text": "A"}, {"id": "c2", "text": "B"}], "rows": rows}
-    return {"id": name, "type": "table", "format": "structured_table", "source": {"kind": "table", "text": "T"}, "content": content, "metadata": {"common": {"section_path": ["S"]}}}
+    content = {"rows": rows, "caption": None, "columns": [{"id": f"c{i}", "text": x} for i, x in enumerate("AB", 1)]}
+    return {"type": "table", "id": name, "content": content, "format": "structured_table", "source": {"text": "T", "kind": "table"}, "metadata": {"common": {"section_path": ["S"]}}}
 
 
 def ids(chunks):
