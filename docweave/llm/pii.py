@@ -6,7 +6,8 @@ number without its country code, digits grouped otherwise) are segments that
 a semi-Markov conditional random field scores as wholes.
 
 A text is searched for places with enough digits, or with an at and a dot in
-some spelling; each becomes a short run of tokens.  The field gives every
+some spelling; each becomes a run of tokens, however long: entities may stand
+side by side, with nothing but blanks or marks between them.  The field gives every
 segment of a run, up to ``LONGEST`` tokens, a score for each kind from
 features of the whole span: its shape, its digit groups, checksums and
 ranges, and its neighbours.  A dynamic programme over the ends of segments
@@ -40,6 +41,7 @@ from docweave.llm._arrow import column, slices
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 LONGEST = 17
+_BLOCK = 1024  # tokens whose segments are held at a time
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -110,7 +112,7 @@ def regions(text: str) -> list[tuple[int, int]]:
     """Where the field looks: ranges of text with some context, apart from each other."""
     found = []
     if _DIGIT.search(text):
-        found += [m.span() for m in _NUMBER.finditer(text) if 7 <= sum("0" <= c <= "9" for c in m.group()) <= 24]
+        found += [m.span() for m in _NUMBER.finditer(text) if sum("0" <= c <= "9" for c in m.group()) >= 7]
     if _SPELT_MARKS.search(text):
         found += [m.span() for m in _SPELT.finditer(text)]
     merged: list[list[int]] = []
@@ -189,45 +191,60 @@ class Field:
     def lattice(self, text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
         """Token edges of text[begin:end], and its segments (first edge, last edge, feature indices) that can be entities."""
         edges = [begin, *(m.end() for m in _TOKEN.finditer(text, begin, end))]
+        return edges, self.segments(text, edges, 0, len(edges) - 1)
+
+    def segments(self, text: str, edges: list[int], first: int, last: int) -> list[tuple[int, int, list[int]]]:
+        """The segments of a lattice that begin at the edges first to last - 1."""
+        tokens = [text[a:z] for a, z in zip(edges[first:], edges[first + 1 : last + LONGEST])]
+        n_digits = [len(x) if "0" <= x[0] <= "9" else 0 for x in tokens]
+        blank = [x[0].isspace() for x in tokens]
+        letter = [x[0].isalpha() for x in tokens]
         segments = []
-        for i in range(len(edges) - 1):
+        for i in range(first, last):
+            if blank[i - first]:
+                continue
+            n, letters, at = 0, False, False
             for j in range(i + 1, min(len(edges), i + LONGEST + 1)):
-                span = text[edges[i] : edges[j]]
-                if span[0].isspace() or span[-1].isspace() or len(span) < 7:
+                k = j - 1 - first
+                n += n_digits[k]
+                letters = letters or letter[k]
+                at = at or letters or tokens[k] == "@"  # else no address is spelt
+                if blank[k] or edges[j] - edges[i] < 7:
                     continue
-                n = sum("0" <= c <= "9" for c in span)
-                if not (7 <= n <= 19 and not any(c.isalpha() for c in span)) and not _SPELT.fullmatch(span):
+                if not (7 <= n <= 19 and not letters) and not (at and _SPELT.fullmatch(text[edges[i] : edges[j]])):
                     continue
                 segments.append((i, j, [self.names[f] for f in _features(text, edges[i], edges[j]) if f in self.names]))
-        return edges, segments
+        return segments
 
     def scores(self, segments: list) -> np.ndarray:
         return np.array([self.weights[f].sum(0) for _, _, f in segments]).reshape(-1, len(KINDS))
 
     def best(self, text: str, begin: int, end: int) -> list[tuple[int, int, int]]:
-        edges, segments = self.lattice(text, begin, end)
-        if not segments:
-            return []
-        scores = self.scores(segments)
-        kinds = scores.argmax(1)
-        by_end: dict[int, list[int]] = {}
-        for s, (_, j, _) in enumerate(segments):
-            by_end.setdefault(j, []).append(s)
-        value, choice = [0.0] * len(edges), [-1] * len(edges)
-        for j in range(1, len(edges)):
-            value[j] = value[j - 1]
-            for s in by_end.get(j, ()):
-                v = value[segments[s][0]] + scores[s, kinds[s]]
-                if v > value[j]:
-                    value[j], choice[j] = v, s
+        edges = [begin, *(m.end() for m in _TOKEN.finditer(text, begin, end))]
+        value, choice = [0.0] + [-np.inf] * (len(edges) - 1), [(-1, -1)] * len(edges)
+        for first in range(0, len(edges) - 1, _BLOCK):  # runs may be of any length
+            last = min(first + _BLOCK, len(edges) - 1)
+            segments = self.segments(text, edges, first, last)
+            scores = self.scores(segments)
+            kinds = scores.argmax(1).tolist()
+            s = 0
+            for i in range(first, last):
+                if i and value[i - 1] >= value[i]:
+                    value[i], choice[i] = value[i - 1], (-1, -1)
+                while s < len(segments) and segments[s][0] == i:
+                    j, v = segments[s][1], value[i] + scores[s, kinds[s]]
+                    if v > value[j]:
+                        value[j], choice[j] = v, (i, kinds[s])
+                    s += 1
         out, j = [], len(edges) - 1
+        if j and value[j - 1] >= value[j]:
+            choice[j] = (-1, -1)
         while j > 0:
-            s = choice[j]
-            if s < 0:
+            i, kind = choice[j]
+            if i < 0:
                 j -= 1
             else:
-                i = segments[s][0]
-                out.append((edges[i], int(kinds[s]), edges[j]))
+                out.append((edges[i], kind, edges[j]))
                 j = i
         return out[::-1]
 

@@ -405,6 +405,37 @@ def test_field_finds_other_spellings():
         assert pii.spans(text, field)[1] == []
 
 
+def test_field_finds_entities_side_by_side():
+    import random
+
+    field, rng = pii.trained(), random.Random(5)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    card = lambda: next(x for x in iter(lambda: "4" + d(15), "") if pii.luhn(x))
+    phone = lambda: f"({rng.choice('23456789')}{d(2)}) {d(3)}-{d(4)}"
+    for make, kind in ((card, 2), (phone, 3)):
+        for mark in (" ", " / "):
+            for n in (2, 3, 600):  # the last goes over several blocks
+                own = [make() for _ in range(n)]
+                text, truth = "see " + mark.join(own) + " and", []
+                for x in own:
+                    a = text.index(x, truth[-1][2] if truth else 0)
+                    truth.append((a, kind, a + len(x)))
+                assert len(set(truth) & set(pii.spans(text, field)[1])) >= 0.95 * n, (text, kind)
+    assert pii.spans("13 2353820953013740 9184550997810 720808 " + "1" * 3000, field) == ([], [])
+    text = "7536784127813050 4845168114407329"
+    assert pii.spans(text, field)[1] == [(0, 2, 16), (17, 2, 33)]
+
+
+def test_field_is_the_same_in_small_blocks(monkeypatch):
+    import random
+
+    field, rng = pii.trained(), random.Random(6)
+    texts = [" ".join(pii._example(rng)[0] for _ in range(4)) for _ in range(60)]
+    whole = [field.best(t, 0, len(t)) for t in texts]
+    monkeypatch.setattr(pii, "_BLOCK", 3)
+    assert [field.best(t, 0, len(t)) for t in texts] == whole and any(whole)
+
+
 def test_masked(spark):
     left = pii.masked(clashing(spark, [(1, "mail x@y.com or (988) 555-2485.", None, None, 0), (2, None, None, None, 0)]))
     assert [r.text for r in left.orderBy("doc_id").collect()] == ["mail <email> or <phone>.", None]
