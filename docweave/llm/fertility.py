@@ -12,12 +12,16 @@ taken over its words:
 
 Two bands say what is ordinary.  A wide one per script is a parameter.  A
 narrow one per language is learned from the whole corpus: the quartiles of
-characters per token of the texts that pass the base rules, widened by
-``spread`` times their distance.  A language with fewer than ``least_rows``
-such texts has no quartiles to speak of and is held to its script alone.
+characters per token of the texts that pass the base rules and their script's
+band, widened by ``spread`` times their distance.  Few texts tell where their
+quartiles lie, but hardly how far apart: with n of them, under ``least_rows``,
+the distance is n / ``least_rows`` parts their own and for the rest the mean
+of the script's languages, by their texts, to which the width of the script's
+band is added as if it were that of one more text.  So no band is switched on or off at any number of
+rows, and a language that is hardly seen is not held to where others lie.
 
 The texts are scanned once; what is shuffled is a quantile summary for each
-language and task.  The bands are broadcast if they are few, as languages
+language, script and task.  The bands are broadcast if they are few, as languages
 are; else the join on them shuffles.
 
 Null and empty texts have no words, zero measures and fail the base rule.  A
@@ -227,11 +231,17 @@ def measure(batch: pa.RecordBatch, text: str, rules: Rules) -> list[pa.Array]:
     return [pa.array(v, f.type) for v, f in zip(values, MEASURES)]
 
 
-def _language_bands(measured: DataFrame, rules: Rules) -> DataFrame:
-    """By language: least and most characters per token; a row for each language with enough texts."""
-    summary = measured.where(F.col("_kept")).groupBy("_lang").agg(F.percentile_approx("_chars_per_token", [0.25, 0.75], 1000).alias("_q"), F.count("*").alias("_rows"))
-    low, high = F.col("_q")[0], F.col("_q")[1]
-    return summary.where(F.col("_rows") >= rules.least_rows).select(F.col("_lang").alias("_of"), (low - rules.spread * (high - low)).alias("_least"), (high + rules.spread * (high - low)).alias("_most"))
+def _quartiles(measured: DataFrame, *by: str) -> DataFrame:
+    """Low and high quartile of characters per token, and number, of the texts that may be learned from."""
+    summary = measured.where("_kept").groupBy(*by).agg(F.percentile_approx("_chars_per_token", [0.25, 0.75], 1000).alias("_q"), F.count("*").alias("_rows"))
+    return summary.select(*by, F.col("_q")[0].alias("_low"), F.col("_q")[1].alias("_high"), "_rows")
+
+
+def _script_distances(measured: DataFrame, rules: Rules) -> DataFrame:
+    """By script: the mean distance of quartiles within a language, the script's band being one more text."""
+    width = F.create_map(*(F.lit(x) for name in _names for x in (name, float(rules.bands[name].most_chars - rules.bands[name].least_chars))))
+    sums = _quartiles(measured, "_script", "_lang").groupBy("_script").agg(F.sum((F.col("_high") - F.col("_low")) * F.col("_rows")).alias("_sum"), F.sum("_rows").alias("_n"))
+    return sums.select(F.col("_script").alias("_by"), ((F.col("_sum") + width[F.col("_script")]) / (F.col("_n") + 1)).alias("_distance"))
 
 
 def _judged(docs: DataFrame, rules: Rules, text_col: str, lang_col: str, dropped: tuple[str, ...] = ()) -> DataFrame:
@@ -245,8 +255,11 @@ def _judged(docs: DataFrame, rules: Rules, text_col: str, lang_col: str, dropped
 
     schema = T.StructType([f for f in docs.schema if f.name not in dropped] + [T.StructField(f"_{f.name}", f.dataType) for f in T._parse_datatype_string(DDL)])
     measured = written(docs.mapInArrow(apply, schema).withColumn("_lang", F.coalesce(F.col(lang_col), F.lit(""))))
-    joined = measured.join(small(written(_language_bands(measured, rules))), F.col("_lang") == F.col("_of"), "left")
-    ordinary = F.coalesce(F.col("_chars_per_token").between(F.col("_least"), F.col("_most")), F.lit(True))
+    joined = measured.join(small(written(_quartiles(measured, "_lang").withColumnRenamed("_lang", "_of"))), F.col("_lang") == F.col("_of"), "left")
+    joined = joined.join(F.broadcast(written(_script_distances(measured, rules))), F.col("_script") == F.col("_by"), "left")  # as many rows as scripts
+    own = F.least(F.col("_rows") / F.lit(max(1, rules.least_rows)), F.lit(1.0))
+    reach = rules.spread * (own * (F.col("_high") - F.col("_low")) + (1 - own) * F.col("_distance"))
+    ordinary = F.coalesce(F.col("_chars_per_token").between(F.col("_low") - reach, F.col("_high") + reach), F.lit(True))
     return joined.withColumn("_kept", F.col("_kept") & ordinary)
 
 

@@ -268,6 +268,17 @@ def test_fertility_learns_a_band_by_language(spark):
     assert not found.pop(99) and found[98] and sum(found.values()) > 75
 
 
+def test_fertility_does_not_switch_at_a_number_of_rows(spark):
+    rng = np.random.default_rng(1)
+    plain = "people town market bread children because good day house water morning little great country always between".split()
+    junk = " ".join("".join(rng.choice(["bleonti", "thanere", "ndatwhsh", "erhean", "ouonha"], 3)) for _ in range(80))
+    made = [(i, " ".join(rng.choice(plain, 80)), "en" if i < 60 else "xx", "s", 0) for i in range(68)]
+    frame = spark.createDataFrame([*made, (98, junk, "xx", "s", 0), (99, junk, "en", "s", 0)], SCHEMA)  # 61 and 9 of the texts pass the base rules
+    for least_rows in (61, 62, 200):
+        found = {r.doc_id: r for r in fertility.quality_measures(frame, fertility.Rules(vocabulary("piece_bpe_32k.model"), least_rows=least_rows)).collect()}
+        assert not found.pop(98).kept and not found.pop(99).kept and all(r.kept for r in found.values())
+
+
 def test_interpolation(docs, none):
     tokens = [(i, [*words(lower(t)), None]) for i, t, *_ in MADE]
     train = [i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in tokens]
