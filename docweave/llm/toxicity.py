@@ -4,8 +4,8 @@ Features of a text are its words, A-Z lower-cased, and their first four, five
 and six bytes, so that forms of one stem meet.  From the labelled examples
 come the features that go with the label: those whose rows have it so much
 oftener than others that, by the likelihood ratio, chance would not give one
-such among all that were looked at, and so that at least ``least_share`` of
-their rows have it.  They are at most ``features``, with their inverse
+such among all that were looked at.  Of these, those stay of whose rows at
+least ``least_share`` have it.  They are at most ``features``, with their inverse
 document frequencies.
 
 An inverted index holds the examples' weighted vectors: the postings of a
@@ -220,10 +220,10 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     counts = sample.mapInArrow(present, "h long, a long, n long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
     share = toxic / max(1, total)
     a, n = F.col("a"), F.col("n")
-    often = written(counts.where((a >= fit.least_rows) & (a > n * share) & (a >= n * fit.least_share)))
+    often = written(counts.where((a >= fit.least_rows) & (a > n * share)))
     gain = a * F.log(a / (n * share)) + F.when(n > a, (n - a) * F.log((n - a) / (n * (1 - share)))).otherwise(0.0)
     looked_at = often.count()
-    best = often.select("h", "n", gain.alias("gain")).where(F.col("gain") >= float(np.log(max(1, looked_at))) + fit.margin).orderBy(F.desc("gain"), "h").limit(fit.features).collect() if looked_at else []
+    best = often.where(a >= n * fit.least_share).select("h", "n", gain.alias("gain")).where(F.col("gain") >= float(np.log(max(1, looked_at))) + fit.margin).orderBy(F.desc("gain"), "h").limit(fit.features).collect() if looked_at else []
     vocabulary = Vocabulary(np.array([r[0] for r in best], np.int64).view(np.uint64), np.array([np.log((1 + total) / (1 + r[1])) + 0.1 for r in best]))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -357,6 +357,20 @@ def test_toxicity(labelled, none, spark):
     assert all(r.score == 0 for r in toxicity.toxicity(docs, labels.limit(0)).collect())
 
 
+def test_toxicity_counts_all_features_looked_at(spark):
+    # "odd" is in three toxic rows and no other: too little among the sixty words looked at, of which few rows are toxic.
+    own = [[] for _ in range(1000)]  # the first hundred are toxic
+    for k in range(60):
+        for i in [*range(k, k + 4), *range(200 + k, 206 + k)]:
+            own[i].append(f"w{k:02}")
+    for i in range(90, 93):
+        own[i].append("odd")
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(own)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(1000)], "doc_id long, toxic int")
+    cut, whole = (set(toxicity.fitted(docs, labels, toxicity.Fit(least_share=x)).vocabulary.hashes.tolist()) for x in (0.5, 0.0))
+    assert cut <= whole == set()
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     n, m = 500, 60
