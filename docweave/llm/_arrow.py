@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that are handled at once; bounds the working memory of a task.
 SLICE_BYTES = 1 << 20
@@ -23,21 +24,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C13 | 3
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            _powers[name] = np.multiply.accumulate(factors)
-    return _powers["up"][:n], _powers["down"]
+#: Ranges of more bytes than this are hashed one by one.
+_SHORT = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -114,22 +103,51 @@ class Words:
         return span_hashes(LOWER[self.data] if lower else self.data, self.starts, self.ends)
 
 
+class _Lanes:
+    """Bytes as little-endian 64-bit values that may begin at any of them."""
+
+    def __init__(self, data: np.ndarray):
+        padded = np.zeros(len(data) + 16, np.uint8)
+        padded[: len(data)] = data
+        self.whole = padded[: len(padded) // 8 * 8].view(np.uint64)
+
+    def __call__(self, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Up to eight bytes from each place on, of which lengths tells how many count."""
+        word, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        low = self.whole[word] >> shift
+        high = (self.whole[word + 1] << (np.uint64(63) - shift)) << np.uint64(1)
+        return (low | high) & _MASKS[np.minimum(lengths, 8)]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges that are in order: polynomials over random values for bytes."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, "right")))
-        low, high = int(starts[i]), int(ends[j - 1])
-        up, down = _power(high - low + 1)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_TABLE[data[low:high]] * up[:-1], out=sums[1:])
-        s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
-        i = j
+    """64-bit hashes of byte ranges: eight bytes at a time are mixed into them."""
+    lengths = ends - starts
+    out = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D)
+    lanes, some = _Lanes(data), np.flatnonzero(lengths <= _SHORT)
+    for k in range(0, _SHORT, 8):
+        some = some[lengths[some] > k]
+        if not len(some):
+            break
+        out[some] = mix(out[some] ^ lanes(starts[some] + k, lengths[some] - k)) * np.uint64(0x9FB21C651E98DF25)
+    for i in np.flatnonzero(lengths > _SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].data, 20240229)
     return mix(out)
 
 
+def same_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, other: np.ndarray, at: np.ndarray, other_lengths: np.ndarray) -> np.ndarray:
+    """Whether each range of data has the bytes of the range of other beside it."""
+    same, left, right = lengths == other_lengths, _Lanes(data), _Lanes(other)
+    some = np.flatnonzero(same & (lengths <= _SHORT))
+    for k in range(0, _SHORT, 8):
+        some = some[lengths[some] > k]
+        if not len(some):
+            break
+        same[some] &= left(starts[some] + k, lengths[some] - k) == right(at[some] + k, lengths[some] - k)
+    for i in np.flatnonzero(same & (lengths > _SHORT)).tolist():
+        same[i] = np.array_equal(data[starts[i] : starts[i] + lengths[i]], other[at[i] : at[i] + lengths[i]])
+    return same
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, ..., start + length - 1 of each range, one after the other."""
     ends = np.cumsum(lengths)
@@ -137,22 +155,66 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+class _Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.empty(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            room = np.empty(max(len(self.room) * 3 // 2, self.n + len(values)), self.room.dtype)
+            room[: self.n] = self.all
+            self.room = room
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class WordMemo:
     """Token ids by word, so that each distinct word is tokenised once in a worker.
 
     Tokenisers that never merge over white space give a text the ids of its
-    words, one after the other.  Words are known by their 64-bit hash and
-    length.  Beyond limit words the memo starts afresh, so its size is bounded.
+    words, one after the other.  Words are found by their 64-bit hash and
+    compared byte by byte; one that shares its hash with another has a place
+    of its own.  Beyond limit words or limit_bytes of them the memo starts
+    afresh, so its size is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_200_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_200_000, limit_bytes: int = 64 << 20):
+        self.encode, self.limit, self.limit_bytes = encode, limit, limit_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int32)
-        self.ids = np.empty(0, np.int32)
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted hashes; the slot of each
+        self._start, self._length, self._ids = _Growing(np.int64), _Growing(np.int32), _Growing(np.int32)
+        self._bytes, self._at, self._size = _Growing(np.uint8), _Growing(np.int64), _Growing(np.int64)
+        self.twins: dict[bytes, int] = {}  # slots of words whose hash another word has
+
+    start = property(lambda self: self._start.all)
+    length = property(lambda self: self._length.all)
+    ids = property(lambda self: self._ids.all)
+
+    def _enter(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The new slots of new words."""
+        first = len(self._start)
+        for i in range(0, len(starts), 20_000):
+            s, e = starts[i : i + 20_000], ends[i : i + 20_000]
+            got = self.encode([data[a:z].tobytes().decode("utf-8", "replace") for a, z in zip(s, e)])
+            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            self._start.add(len(self._ids) + np.cumsum(lengths) - lengths)
+            self._length.add(lengths)
+            self._ids.add(np.fromiter((x for word in got for x in word), np.int32, int(lengths.sum())))
+            self._at.add(len(self._bytes) + np.cumsum(e - s) - (e - s))
+            self._size.add(e - s)
+            self._bytes.add(data[ranges(s, e - s)])
+        return np.arange(first, len(self._start))
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The slot of each word; until the next call, start, length and ids hold what a slot has."""
@@ -161,7 +223,7 @@ class WordMemo:
         known = np.zeros(len(distinct), bool)
         if len(self.keys):
             known = self.keys[np.minimum(at, len(self.keys) - 1)] == distinct
-        if not known.all() and len(self.keys) + (~known).sum() > self.limit:
+        if len(self._start) and (not known.all() and len(self._start) + (~known).sum() > self.limit or len(self._bytes) > self.limit_bytes):
             self.clear()
             at, known = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
         new = np.flatnonzero(~known)
@@ -169,18 +231,17 @@ class WordMemo:
             new = new[np.argsort(distinct[new])]
             first = np.full(len(distinct), -1, np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            lengths, ids = [], []
-            for i in range(0, len(new), 20_000):
-                some = first[new[i : i + 20_000]]
-                got = self.encode([data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[some], ends[some])])
-                lengths.append(np.fromiter(map(len, got), np.int32, len(got)))
-                ids.append(np.fromiter((x for word in got for x in word), np.int32, int(lengths[-1].sum())))
-            lengths = np.concatenate(lengths)
-            begin = len(self.ids) + np.cumsum(lengths, dtype=np.int64) - lengths
-            self.ids = np.concatenate([self.ids, *ids])
-            self.keys, self.start, self.length = (np.insert(a, at[new], b) for a, b in ((self.keys, distinct[new]), (self.start, begin), (self.length, lengths)))
+            slots = self._enter(data, starts[first[new]], ends[first[new]])
+            self.keys, self.slots = (np.insert(a, at[new], b) for a, b in ((self.keys, distinct[new]), (self.slots, slots)))
             at = np.searchsorted(self.keys, distinct)
-        return at[codes]
+        out = self.slots[at][codes] if len(codes) else np.empty(0, np.int64)
+        same = same_spans(data, starts, ends - starts, self._bytes.all, self._at.all[out], self._size.all[out])
+        for i in np.flatnonzero(~same).tolist():
+            word = data[starts[i] : ends[i]].tobytes()
+            if word not in self.twins:
+                self.twins[word] = int(self._enter(data, starts[i : i + 1], ends[i : i + 1])[0])
+            out[i] = self.twins[word]
+        return out
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -12,7 +12,8 @@ A word is closed by an end mark, which pieces that only end words contain.  A
 word that the vocabulary cannot cut counts as one unknown token.
 
 Distinct words are counted once per worker, many words abreast, one byte of
-each at a time; a text's count is the sum over its words.  One scan, no
+each at a time; words of more than ``ALONE`` bytes are walked one by one.  A
+text's count is the sum over its words.  One scan, no
 shuffle.  Null and empty texts have no words and no tokens; repeated rows are
 each counted; other columns are not read.
 """
@@ -22,6 +23,8 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame
 from docweave.llm._arrow import LOWER, Texts, WordMemo, Words, column, slices
 
 END = 256
+ALONE = 128
 _FANOUT = 257
 
 
@@ -77,8 +81,36 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.children[at], -1)
 
+    @cached_property
+    def _edges(self) -> tuple[dict[int, int], list[int], list[int]]:
+        return dict(zip(self.keys.tolist(), self.children.tolist())), self.link.tolist(), self.popped.tolist()
+
+    def count(self, word: bytes) -> int:
+        """Tokens of a word, -1 if the vocabulary can't cut it."""
+        edges, link, popped = self._edges
+        state, n = 0, 0
+        for symbol in chain(word, (END,)):
+            while (child := edges.get(state * _FANOUT + symbol)) is None:
+                n += popped[state]
+                state = link[state]
+                if state < 0:
+                    return -1
+            state = child
+        while state > 0:
+            n += popped[state]
+            state = link[state]
+        return n if state == 0 else -1
+
     def counts(self, words: list[bytes]) -> np.ndarray:
-        """Tokens of each word, negative (-1) if the vocabulary can't cut it."""
+        """Tokens of each word, -1 for those that the vocabulary can't cut."""
+        out = np.empty(len(words), np.int64)
+        short = [i for i, w in enumerate(words) if len(w) <= ALONE]
+        out[short] = self._abreast([words[i] for i in short])
+        for i in set(range(len(words))).difference(short):
+            out[i] = self.count(words[i])
+        return out
+
+    def _abreast(self, words: list[bytes]) -> np.ndarray:
         order = np.argsort([-len(w) for w in words], kind="stable")
         lengths = np.array([len(words[i]) for i in order], np.int64)
         flat = np.frombuffer(b"".join(words[i] for i in order), np.uint8).astype(np.int64)
