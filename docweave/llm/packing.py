@@ -10,7 +10,8 @@ with padding.  What a task has open at its end is merged: the leftovers of
 short stretch into sequences whose lengths are powers of two, which need no
 padding.
 
-A document's ids are those of its text, then one end id; a null text is
+A document's ids are those that the tokeniser file gives to its text, added
+tokens that occur in it included, then one end id; a null text is
 empty.  Ids are carried only for leftovers; every other piece leaves its task
 as a row of numbers.  A task's memory is its windows and one slice of texts.
 Repeated rows are packed each, under their id.  An empty table has no
@@ -19,10 +20,13 @@ sequences.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._arrow import LOWER, Texts, WordMemo, Words, column, ranges, slices, span_hashes
+from docweave.llm._arrow import LOWER, SPACE, Texts, WordMemo, Words, column, ranges, slices, span_hashes
 from docweave.llm._spark import written
 
 
@@ -44,52 +48,85 @@ class Packing:
 
 
 PIECE = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-_memos: dict[str, WordMemo] = {}
-
-
-def _memo(path: str) -> WordMemo:
-    if path not in _memos:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
-        _memos[path] = WordMemo(lambda words: [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)])
-    return _memos[path]
-
-
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, bool)
 _MARK[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = True
+#: Rules of a tokeniser file under which a text's ids are those of the stretches that pretokens() cuts, A-Z lower-cased.
+_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def pretokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pretokens(texts: Texts, added: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte ranges that the tokeniser never merges over, and for each text its range of them.
 
     Besides at white space it cuts between an ASCII letter and an ASCII mark
-    (the apostrophe aside), so that a word is one with and without a comma.
+    (the apostrophe aside), so that a word is one with and without a comma,
+    and around what matches added, which is never cut itself.
     """
     words, data = Words(texts), texts.data
     letter, mark = _LETTER[data], _MARK[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[1:-1] = letter[1:] & mark[:-1] | mark[1:] & letter[:-1]
     begins, stops = cut.copy(), cut
+    if added is not None and added.search(data.tobytes()):
+        for i in range(texts.n):
+            for m in added.finditer(texts.text(i)):
+                a, z = m.start() + texts.offsets[i], m.end() + texts.offsets[i]
+                for edges in (begins, stops):
+                    edges[a + 1 : z] = False
+                    edges[[a, z]] = True
+        space = np.append(SPACE[data], True)
+        begins &= ~space
+        begins[texts.offsets[1:][np.diff(texts.offsets) > 0]] = False  # words.starts says whether one begins there
+        before = np.append(True, space[:-1])
+        before[texts.offsets] = True
+        stops &= ~before
     begins[words.starts], stops[words.ends] = True, True
     starts = np.flatnonzero(begins)
     return starts, np.flatnonzero(stops), np.searchsorted(starts, texts.offsets)
 
 
-def token_ids(texts: Texts, memo: WordMemo) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, and where each text's begin and end.
+class Tokenizer:
+    """The ids that a tokeniser file gives to texts.
 
-    The tokeniser lower-cases, so the memo may know words with A-Z lower-cased.
+    Files with the rules above are asked for distinct stretches only, each
+    once in a worker; with others every text is tokenised as a whole.
     """
-    starts, ends, of = pretokens(texts)
-    lower = LOWER[texts.data]
-    slots = memo(lower, starts, ends, span_hashes(lower, starts, ends))
-    lengths = memo.length[slots]
-    return memo.ids[ranges(memo.start[slots], lengths)], np.concatenate([[0], np.cumsum(lengths)])[of]
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer as Model
+
+        self.model = Model.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        added = rules["added_tokens"]
+        split = (rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        plain = all(not (x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"]) and " " not in x["content"] for x in added)
+        known = (rules["normalizer"] or {}).get("normalizers") == list(_NORMALIZERS) and split[0].get("pattern") == {"Regex": _SPLIT}
+        self.memo = WordMemo(self._encoded) if plain and known and not rules["post_processor"] else None
+        # Of those that begin at one place the longest is found.
+        self.added = re.compile(b"|".join(re.escape(x["content"].encode()) for x in sorted(added, key=lambda x: -len(x["content"])))) if added else None
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin and end."""
+        if self.memo is None:
+            found = self._encoded([texts.text(i).decode() for i in range(texts.n)])
+            return np.array([x for ids in found for x in ids], np.int32), np.cumsum([0, *map(len, found)])
+        starts, ends, of = pretokens(texts, self.added)
+        lower = LOWER[texts.data]
+        slots = self.memo(lower, starts, ends, span_hashes(lower, starts, ends))
+        lengths = self.memo.length[slots]
+        return self.memo.ids[ranges(self.memo.start[slots], lengths)], np.concatenate([[0], np.cumsum(lengths)])[of]
+
+
+@cache
+def tokenizer(path: str) -> Tokenizer:
+    return Tokenizer(path)
 
 
 class _Windows:
@@ -142,7 +179,7 @@ def pack(docs: DataFrame, packing: Packing, id_col: str = "doc_id", text_col: st
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        windows, memo, doc_type = _Windows(packing, task << 36), _memo(packing.vocabulary), None
+        windows, tokens, doc_type = _Windows(packing, task << 36), tokenizer(packing.vocabulary), None
 
         def with_ids(batch: pa.RecordBatch, ids: list[bytes | None]) -> pa.RecordBatch:
             n = batch.num_rows
@@ -151,7 +188,7 @@ def pack(docs: DataFrame, packing: Packing, id_col: str = "doc_id", text_col: st
         for part in slices(batches, "text"):
             own = column(part, "doc_id")
             doc_type = own.type
-            ids, of = token_ids(Texts(column(part, "text")), memo)
+            ids, of = tokens(Texts(column(part, "text")))
             ids = ids.astype("<u4")
             for i, doc in enumerate(own.to_pylist()):
                 windows.add(doc, np.append(ids[of[i] : of[i + 1]], np.uint32(packing.end_id)))
