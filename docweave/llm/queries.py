@@ -67,14 +67,14 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 ORACLES = {
     "op2_line_dedup": """
-        WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
-        w AS (SELECT doc_id, i AS line, parts[i + 1] || chr(10) || parts[i + 2] || chr(10) || parts[i + 3] AS body
-              FROM (SELECT doc_id, parts, unnest(range(0, len(parts) - 2)) AS i FROM l)),
-        o AS (SELECT doc_id, line, rank() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST, line) AS r FROM w),
-        c AS (SELECT DISTINCT doc_id, line + k AS line FROM o, (VALUES (0), (1), (2)) AS t(k) WHERE r > 1),
-        g AS (SELECT doc_id, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS removed FROM c GROUP BY doc_id)
+        WITH l AS (SELECT doc_id, substr(md5(text), 1, 15) AS tie, string_split(text, chr(10)) AS parts FROM documents),
+        w AS (SELECT doc_id, tie, i AS line, parts[i + 1] || chr(10) || parts[i + 2] || chr(10) || parts[i + 3] AS body
+              FROM (SELECT doc_id, tie, parts, unnest(range(0, len(parts) - 2)) AS i FROM l)),
+        o AS (SELECT doc_id, tie, line, rank() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST, tie, line) AS r FROM w),
+        c AS (SELECT DISTINCT doc_id, tie, line + k AS line FROM o, (VALUES (0), (1), (2)) AS t(k) WHERE r > 1),
+        g AS (SELECT doc_id, tie, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS removed FROM c GROUP BY doc_id, tie)
         SELECT l.doc_id, coalesce(len(l.parts), 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.removed, '') AS removed
-        FROM l LEFT JOIN g ON l.doc_id IS NOT DISTINCT FROM g.doc_id""",
+        FROM l LEFT JOIN g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.tie IS NOT DISTINCT FROM g.tie""",
     "op4_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
