@@ -1,29 +1,31 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Features of a text are its words, A-Z lower-cased, and their first four, five
-and six bytes, so that forms of one stem meet.  From the labelled examples
-come the features that go with the label: those whose rows have it so much
-oftener than others that, by the likelihood ratio, chance would not give one
-such among all that were looked at.  Of these, those stay of whose rows at
-least ``least_share`` have it.  They are at most ``features``, with their inverse
-document frequencies.
-
-An inverted index holds the examples' weighted vectors: the postings of a
-feature, cut into blocks of examples, each block with its greatest weight.  A
-query adds up these maxima by block, looks into blocks from the most
-promising on, and stops at the first whose bound is below the k-th best
-cosine found; the neighbours are exact.
-
-Neighbours vote with the weight of their closeness.  A vote becomes a score
-by the share of the label among training examples of like votes, made
-monotone (pool adjacent violators), each example having voted without itself.
-A text without any feature gets the share among such examples.
+and six bytes, so that forms of one stem meet.  Every feature of the labelled
+examples counts, but for those of fewer than ``least_rows`` examples and
+stop words, which more than ``most_share`` of them have.  A feature weighs its
+inverse document frequency; one that goes with either label so much oftener
+that, by the likelihood ratio, chance would not give one such among all that
+were looked at, weighs ``sharpened`` times that and is never a stop word.
+
+An inverted index holds the vectors of all examples, of both labels: the
+postings of a feature, cut into blocks of examples, each block with its
+greatest weight.  A query adds up these maxima by block, looks into blocks
+from the most promising on, and stops at the first whose bound is below the
+k-th best cosine found; the neighbours are exact.
+
+Neighbours vote for their label with the weight of their closeness.  A vote
+becomes a score by the share of the label among training examples of like
+votes, made monotone (pool adjacent violators), each example having voted
+without itself.  The ids of the nearest three are the evidence.  A text
+without any feature gets the share among such examples and has no evidence.
 
 The model is fitted on at most ``sample`` labelled rows, chosen by a hash of
-their ids, and has at most ``features`` features and ``sample`` vectors: that
-bounds what is sent to the tasks.  All texts are scored whole, in one scan
-without a shuffle.  Null and empty texts have no feature.  Null labels and
-ids are not learned from; a row labelled twice is toxic if one label says so.
+their ids; of rows that share an id one is learned from, that with the least
+hash of its text.  This bounds the vectors and features that are sent to the
+tasks.  All texts are scored whole, in one scan without a shuffle.  Null and
+empty texts have no feature.  Null labels and ids are not learned from; a row
+labelled twice is toxic if one label says so.  Repeated rows are each scored.
 Without any label every score is 0.
 """
 
@@ -43,13 +45,13 @@ from docweave.llm._spark import written
 
 @dataclass(frozen=True)
 class Fit:
-    sample: int = 20_000
-    features: int = 8_192
+    sample: int = 4_096
     least_rows: int = 3
-    least_share: float = 0.5
+    most_share: float = 0.05
+    sharpened: float = 4.0
     margin: float = 3.0  # nats beyond the logarithm of the number of features looked at
     neighbours: int = 16
-    block: int = 64
+    block: int = 128
     prefixes: tuple[int, ...] = (4, 5, 6)
 
 
@@ -68,11 +70,11 @@ def text_features(texts: Texts, prefixes: tuple[int, ...]) -> tuple[np.ndarray,
 
 
 class Vocabulary:
-    """The chosen features: their hashes, ordered, and weights."""
+    """The features: their hashes, ordered, their weights, and which of them go with a label."""
 
-    def __init__(self, hashes: np.ndarray, idf: np.ndarray):
+    def __init__(self, hashes: np.ndarray, idf: np.ndarray, telling: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.idf = hashes[order], idf[order]
+        self.hashes, self.idf, self.telling = hashes[order], idf[order], telling[order]
         self.first = np.zeros(1 << 16, bool)  # by leading bits: spares most words the search
         self.first[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
 
@@ -95,7 +97,7 @@ class Index:
 
     def __init__(self, rows: np.ndarray, features: np.ndarray, weights: np.ndarray, n_rows: int, n_features: int, block: int):
         order = np.lexsort((rows, features))
-        self.rows, self.weights, self.block, self.n_rows = rows[order], weights[order], block, n_rows
+        self.rows, self.weights, self.block, self.n_rows = rows[order].astype(np.int32), weights[order], block, n_rows
         self.starts = np.searchsorted(features[order], np.arange(n_features + 1))
         self.blocks = -(-n_rows // block)
         key = features[order] * max(1, self.blocks) + self.rows // block
@@ -144,15 +146,16 @@ def vote(cosine: np.ndarray, labels: np.ndarray) -> float:
 
 
 def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Upper ends of ranges of votes, and the share of the label in each, never falling."""
+    """Mean votes of pools of like votes, and the share of the label in each, never falling."""
     order = np.argsort(votes, kind="stable")
-    pools: list[list[float]] = []  # upper end, labels, rows
-    for v, y in zip(votes[order], labels[order]):
-        pools.append([v, float(y), 1.0])
-        while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]):
-            v2, y2, n2 = pools.pop()
-            pools[-1] = [v2, pools[-1][1] + y2, pools[-1][2] + n2]
-    return np.array([p[0] for p in pools]), np.array([(p[1] + 0.5 * 0.1) / (p[2] + 0.1) for p in pools])
+    pools: list[list[float]] = []  # greatest vote, sum of votes, labels, rows
+    for v, y in zip(votes[order].tolist(), labels[order].tolist()):
+        pools.append([v, v, float(y), 1.0])
+        while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]):
+            top, total, y2, n2 = pools.pop()
+            pools[-1] = [top, pools[-1][1] + total, pools[-1][2] + y2, pools[-1][3] + n2]
+    # Half of one imagined tenth of a row has the label.
+    return np.array([p[1] / p[3] for p in pools]), np.maximum.accumulate([(p[2] + 0.05) / (p[3] + 0.1) for p in pools])
 
 
 class Model:
@@ -168,42 +171,44 @@ class Model:
         order = np.lexsort((filled, lead))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        row = place[row]
-        by_row = np.argsort(row, kind="stable")
-        row, features, weights = row[by_row], features[by_row], weights[by_row]
         self.ids, self.labels = [ids[i] for i in filled[order]], labels[filled[order]]
-        self.index = Index(row, features, weights, len(filled), len(vocabulary.hashes), fit.block)
-        begin = np.searchsorted(row, np.arange(len(filled) + 1))
-        votes, truth = [], []
-        for i in range(len(filled)):
-            part = slice(begin[i], begin[i + 1])
-            near, cosine = self.index.nearest(features[part], weights[part], fit.neighbours, without=i)
-            if len(near):
-                votes.append(vote(cosine, self.labels[near]))
-                truth.append(self.labels[i])
-        self.ends, self.shares = monotone(np.array(votes), np.array(truth)) if votes else (np.empty(0), np.empty(0))
+        self.place = {x: i for i, x in enumerate(self.ids)}
+        self.index = Index(place[row], features, weights, len(filled), len(vocabulary.hashes), fit.block)
+        self.calibrate(np.empty(0), np.empty(0))
+
+    def calibrate(self, votes: np.ndarray, truth: np.ndarray) -> None:
+        self.knots, self.shares = monotone(votes, truth) if len(votes) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+
+    def vote(self, features: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float | None, list]:
+        """The vote on a vector, and the ids of the neighbours behind it, nearest first."""
+        near, cosine = self.index.nearest(features, weights, self.fit.neighbours, without)
+        return (vote(cosine, self.labels[near]), [self.ids[i] for i in near]) if len(near) else (None, [])
 
     def score(self, features: np.ndarray, weights: np.ndarray) -> tuple[float, list]:
-        """The score of a vector, and the ids of the neighbours behind it."""
-        near, cosine = self.index.nearest(features, weights, self.fit.neighbours)
-        if not len(near):
-            return self.blank, []
-        v = vote(cosine, self.labels[near])
-        if not len(self.ends):
-            return v, [self.ids[i] for i in near[:3]]
-        return float(self.shares[min(np.searchsorted(self.ends, v), len(self.ends) - 1)]), [self.ids[i] for i in near[:3]]
+        v, near = self.vote(features, weights)
+        return (self.blank, []) if v is None else (float(np.interp(v, self.knots, self.shares)), near[:3])
 
 
 def fold(doc_id, n: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def telling(a: np.ndarray, n: np.ndarray, share: float, margin: float) -> np.ndarray:
+    """Of features that n rows have, a of them toxic: whose rows have the label, or lack it, more often than chance lets one of so many features do."""
+    if not 0 < share < 1:
+        return np.zeros(len(n), bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(a > 0, a * np.log(a / (n * share)), 0.0) + np.where(n > a, (n - a) * np.log((n - a) / (n * (1 - share))), 0.0)
+    return gain >= np.log(max(1, len(n))) + margin
+
+
 def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     """The model of the labels (doc_id, toxic) for docs (doc_id, text); both without rows that must not be learned from."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.sample)
     # The chosen ids are at most fit.sample rows of two numbers.
-    sample = written(docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), "id"))
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), "id")
+    sample = written(rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     prefixes = fit.prefixes
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,45 +223,60 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
 
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     counts = sample.mapInArrow(present, "h long, a long, n long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
-    share = toxic / max(1, total)
-    a, n = F.col("a"), F.col("n")
-    often = written(counts.where((a >= fit.least_rows) & (a > n * share)))
-    gain = a * F.log(a / (n * share)) + F.when(n > a, (n - a) * F.log((n - a) / (n * (1 - share)))).otherwise(0.0)
-    looked_at = often.count()
-    best = often.where(a >= n * fit.least_share).select("h", "n", gain.alias("gain")).where(F.col("gain") >= float(np.log(max(1, looked_at))) + fit.margin).orderBy(F.desc("gain"), "h").limit(fit.features).collect() if looked_at else []
-    vocabulary = Vocabulary(np.array([r[0] for r in best], np.int64).view(np.uint64), np.array([np.log((1 + total) / (1 + r[1])) + 0.1 for r in best]))
+    table = counts.where(F.col("n") >= fit.least_rows).toArrow()
+    h, a, n = (table.column(c).to_numpy() for c in ("h", "a", "n"))
+    tells = telling(a, n, toxic / max(1, total), fit.margin)
+    stays = tells | (n <= max(fit.least_rows, fit.most_share * total))
+    h, n, tells = h[stays], n[stays], tells[stays]
+    idf = (np.log((1 + total) / (1 + n)) + 0.1) * np.where(tells, fit.sharpened, 1.0)
+    vocabulary = Vocabulary(h.view(np.uint64), idf, tells)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as many features as the sample has
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            row, feature, weight = vocabulary.vectors(Texts(column(part, "text")), prefixes)
+            row, feature, weight = sent.value.vectors(Texts(column(part, "text")), prefixes)
             cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-            lists = [[x[a:z].tolist() for a, z in zip(cut, cut[1:])] for x in (feature, weight)]
-            yield pa.RecordBatch.from_arrays([column(part, "id"), column(part, "label"), pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(pa.float64()))], names=["id", "label", "features", "weights"])
+            packed = [[x[i:j].tobytes() for i, j in zip(cut, cut[1:])] for x in (feature.astype(np.int32), weight)]
+            yield pa.RecordBatch.from_arrays([column(part, "id"), column(part, "label"), *(pa.array(x, pa.binary()) for x in packed)], names=["id", "label", "features", "weights"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.select("id", "label", "text").mapInArrow(vectors, f"id {kind}, label int, features array<bigint>, weights array<double>").collect()
-    rows.sort(key=lambda r: (r[0], r[2]))
-    lengths = [len(r[2]) for r in rows]
-    features = np.array([x for r in rows for x in r[2]], np.int64)
-    weights = np.array([x for r in rows for x in r[3]], float)
-    return Model(vocabulary, np.repeat(np.arange(len(rows)), lengths), features, weights, [r[0] for r in rows], np.array([r[1] for r in rows], float), fit)
+    rows = sample.select("id", "label", "text").mapInArrow(vectors, f"id {kind}, label int, features binary, weights binary").collect()
+    rows.sort(key=lambda r: r[0])
+    features, weights = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in ((2, np.int32), (3, np.float64)))
+    model = Model(vocabulary, np.repeat(np.arange(len(rows)), [len(r[2]) // 4 for r in rows]), features.astype(np.int64), weights, [r[0] for r in rows], np.array([r[1] for r in rows], float), fit)
+    whole = docs.sparkSession.sparkContext.broadcast(model)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = whole.value
+        for part in slices(batches, "text"):
+            found = [model.vote(f, w, model.place.get(i, -1))[0] for i, (f, w) in zip(column(part, "id").to_pylist(), _each(model, part))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), column(part, "label")], names=["vote", "label"])
+
+    voted = sample.select("id", "label", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(votes, "vote double, label int").where("vote is not null").toArrow()
+    model.calibrate(voted.column("vote").to_numpy(), voted.column("label").to_numpy())
+    return model
+
+
+def _each(model: Model, part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The features and weights of each text of a batch."""
+    row, feature, weight = model.vocabulary.vectors(Texts(column(part, "text")), model.fit.prefixes)
+    cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+    for i, j in zip(cut, cut[1:]):
+        yield feature[i:j], weight[i:j]
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, score, predicted, evidence (ids of the nearest examples)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit.sample and fit.features
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # as large as the sample
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for part in slices(batches, "text"):
-            row, feature, weight = model.vocabulary.vectors(Texts(column(part, "text")), model.fit.prefixes)
-            cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-            score, evidence = np.full(part.num_rows, model.blank), [""] * part.num_rows
-            for i in np.flatnonzero(np.diff(cut)):
-                score[i], near = model.score(feature[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]])
-                evidence[i] = ",".join(map(str, near))
-            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(evidence)], names=["doc_id", "score", "predicted", "evidence"])
+            found = [model.score(*x) for x in _each(model, part)]
+            score = np.array([x for x, _ in found])
+            evidence = [",".join(map(str, near)) for _, near in found]
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(evidence, pa.string())], names=["doc_id", "score", "predicted", "evidence"])
 
     return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, score double, predicted int, evidence string")
 

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from corpus import SCHEMA, clashing, lower, rows, words
 
-from docweave.llm import exact_dedup, fertility, interpolation, line_dedup, mixing, packing, pii, simhash, token_counts, toxicity
+from docweave.llm import _spark, exact_dedup, fertility, interpolation, line_dedup, mixing, packing, pii, queries, simhash, token_counts, toxicity
 from docweave.llm.queries import vocabulary
 
 MADE = rows()
@@ -70,39 +70,98 @@ def test_automaton_is_greedy_longest_match():
                 at, n = end, n + 1
             return n
 
-        assert token_counts.Automaton(pieces).counts(made).tolist() == [naive(w) for w in made]
+        automaton = token_counts.Automaton(pieces)
+        assert automaton.counts(made).tolist() == [automaton.count(w) for w in made] == [naive(w) for w in made]
+    automaton = token_counts.Automaton({(97,), (97, 97), (97, token_counts.END)})
+    assert automaton.counts([b"a" * 200_001, b"a" * 5, b"a" * 2000 + b"b"]).tolist() == [100_001, 3, -1]
+
+
+def tie(text):
+    return hashlib.md5(text.encode()).hexdigest()[:15] if text is not None else ""
 
 
 def brute_lines(made):
+    """The lines that each (id, text) loses."""
     seen = {}
-    place = lambda i, k: (i is None, i or 0, k)
-    for i, text, *_ in made:
-        parts = text.split("\n") if text is not None else []
-        for k in range(len(parts) - 2):
-            key = "\n".join(parts[k : k + 3])
-            seen[key] = min(seen.get(key, place(i, k)), place(i, k))
+    place = lambda i, text, k: (i is None, i or 0, tie(text), k)
+    found = [(i, text, k, "\n".join(parts[k : k + 3])) for i, text, *_ in made if text is not None for parts in [text.split("\n")] for k in range(len(parts) - 2)]
+    for i, text, k, body in found:
+        seen[body] = min(seen.get(body, place(i, text, k)), place(i, text, k))
     lost = collections.defaultdict(set)
-    for i, text, *_ in made:
-        parts = text.split("\n") if text is not None else []
-        for k in range(len(parts) - 2):
-            if place(i, k) > seen["\n".join(parts[k : k + 3])]:
-                lost[i] |= {k, k + 1, k + 2}
+    for i, text, k, body in found:
+        if place(i, text, k) > seen[body]:
+            lost[i, text] |= {k, k + 1, k + 2}
     return lost
 
 
-def test_line_dedup(docs, none, spark):
-    made = [r for r in MADE if r[0] is not None]
+def check_lines(spark, made):
     lost = brute_lines(made)
-    plain = spark.createDataFrame(made, SCHEMA)
-    expected = bag((i, 0 if t is None else t.count("\n") + 1, len(lost[i]), ",".join(map(str, sorted(lost[i])))) for i, t, *_ in made)
+    plain = spark.createDataFrame(made, SCHEMA).repartition(3)
+    expected = bag((i, 0 if t is None else t.count("\n") + 1, len(lost[i, t]), ",".join(map(str, sorted(lost[i, t])))) for i, t, *_ in made)
     assert bag(line_dedup.removed_lines(plain).collect()) == expected
-    assert any(lost.values())
     left = line_dedup.deduplicated_lines(clashing(spark, made))
     assert left.columns == clashing(spark, made).columns
-    want = bag((i, t if not lost[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost[i])) for i, t, *_ in made)
+    want = bag((i, t if not lost[i, t] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost[i, t])) for i, t, *_ in made)
     assert bag(left.select("doc_id", "text").collect()) == want
-    assert line_dedup.removed_lines(none).count() == 0
-    assert line_dedup.removed_lines(docs).count() == len(MADE)
+    return lost
+
+
+def test_line_dedup(none, spark):
+    assert any(check_lines(spark, MADE).values())
+    assert line_dedup.removed_lines(none).count() == line_dedup.deduplicated_lines(none).count() == 0
+
+
+def test_line_dedup_leaves_other_rows_of_an_id_alone(spark):
+    shared = "p\nq\nr"
+    made = [(i, t, None, None, 0) for i, t in ((1, shared), (None, shared + "\nx"), (None, "one\ntwo\nthree\nfour"), (9, "five\nsix\nseven"), (9, shared), (9, "a\n" + shared), (9, "a\n" + shared), (7, "x\nx\nx\nx\nx"))]
+    lost = check_lines(spark, made)
+    assert not lost[None, "one\ntwo\nthree\nfour"] and not lost[9, "five\nsix\nseven"] and lost[7, made[-1][1]] == {1, 2, 3, 4}
+
+
+def test_joined_spreads_heavy_keys(spark):
+    rows = spark.range(3000).selectExpr("id", "if(id < 2000, 1, if(id < 2500, null, id)) AS k")
+    groups = rows.groupBy("k").count().withColumnRenamed("k", "g").where("g is null or g != 2700")
+    found = {r.id: (r.g, r["count"]) for r in _spark.joined(rows, groups, {"k": "g"}, "count", "id", least=100, most=10).collect()}
+    assert len(found) == 3000
+    assert all(v == ((1, 2000) if i < 2000 else (None, 500) if i < 2500 else (None, None) if i == 2700 else (i, 1)) for i, v in found.items())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_agrees_with_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    want = con.sql(queries.ORACLES[name])
+    columns = sorted(found.columns)
+    assert columns == sorted(want.columns)
+    assert bag(found.select(*columns).collect()) == bag(want.project(",".join(columns)).fetchall())
+
+
+def test_word_memo_compares_bytes():
+    from docweave.llm import _arrow
+
+    memo = _arrow.WordMemo(lambda words: [list(w.encode()) for w in words], limit=60)
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        own = [bytes(rng.choice(list(b"abc"), rng.choice([1, 2, 3, 70]))) for _ in range(20)]
+        data = np.frombuffer(b"".join(own), np.uint8)
+        ends = np.cumsum([len(w) for w in own])
+        starts = ends - [len(w) for w in own]
+        slots = memo(data, starts, ends, np.array([len(w) % 3 for w in own], np.uint64))  # hashes that collide
+        got = [bytes(memo.ids[memo.start[s] : memo.start[s] + memo.length[s]].astype(np.uint8)) for s in slots]
+        assert got == own
+
+
+def test_words_of_two_letters_keep_apart():
+    from docweave.llm import _arrow
+
+    signs = [bin(i).count("1") % 2 for i in range(4096)]
+    for n in (8, 64, 1024, 4096):
+        own = [bytes(97 + k for k in signs[:n]), bytes(98 - k for k in signs[:n])]
+        hashes = _arrow.span_hashes(np.frombuffer(b"".join(own), np.uint8), np.array([0, n]), np.array([n, 2 * n]))
+        assert hashes[0] != hashes[1]
 
 
 def test_packing(docs, none):
@@ -110,7 +169,6 @@ def test_packing(docs, none):
 
     path = vocabulary("word_bpe_49k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     settings = packing.Packing(path, windows=3, merged=2)
     pieces = packing.pack(docs, settings).toPandas()
     ids = [(i, np.array(model.encode(t or "", add_special_tokens=False).ids + [1], "<u4")) for i, t, *_ in MADE]
@@ -133,6 +191,29 @@ def test_packing(docs, none):
     assert packing.pack(none, settings).count() == 0
 
 
+def test_packing_takes_the_ids_of_the_tokeniser():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from docweave.llm._arrow import Texts
+
+    path, rng = vocabulary("word_bpe_49k.json"), random.Random(1)
+    atoms = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "\n", "a", "B", "é", "don't", "'s", "1", "23", "x.y", ">", "\u0338", "\u3000", "日本", "ß", "!!", "\x0b"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["a <|endoftext|> b"]
+    signs = [bin(i).count("1") % 2 for i in range(4096)]
+    texts += ["".join(x[k] for k in signs[:n]) for n in (1024, 4096) for x in ("ab", "ba")]
+    model = Tokenizer.from_file(path)
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    made = packing.Tokenizer(path)
+    assert made.memo is not None and want[3000] == [320, 49407, 321]
+    for _ in range(2):
+        ids, of = made(Texts(pa.array(texts)))
+        assert [ids[a:z].tolist() for a, z in zip(of, of[1:])] == want
+        made.memo = None  # and with whole texts
+
+
 def groups(made):
     out = collections.defaultdict(list)
     for i, text, *_ in made:
@@ -367,8 +448,70 @@ def test_toxicity_counts_all_features_looked_at(spark):
         own[i].append("odd")
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(own)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 100)) for i in range(1000)], "doc_id long, toxic int")
-    cut, whole = (set(toxicity.fitted(docs, labels, toxicity.Fit(least_share=x)).vocabulary.hashes.tolist()) for x in (0.5, 0.0))
-    assert cut <= whole == set()
+    vocabulary = toxicity.fitted(docs, labels).vocabulary
+    assert len(vocabulary.hashes) == 61 and not vocabulary.telling.any()
+
+
+def test_toxicity_is_that_of_the_nearest_examples(labelled, spark):
+    docs, labels, _ = labelled
+    fit = toxicity.Fit(neighbours=5, least_rows=2, most_share=0.3)
+    text = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    label = {}
+    for i, toxic in labels.collect():
+        if i is not None and toxic is not None and zlib.crc32(str(i).encode()) % 4 != 2 and i in text:
+            label[i] = max(toxic, label.get(i, 0))
+
+    def features(t):
+        own = words(lower(t))
+        return collections.Counter(own + [f"{n}:{w[:n]}" for n in (4, 5, 6) for w in own if len(w) > n])
+
+    has, n, total = {i: features(text[i]) for i in label}, collections.Counter(), len(label)
+    for own in has.values():
+        n.update(set(own))
+    a = collections.Counter(f for i, own in has.items() if label[i] for f in own)
+    looked = [f for f in n if n[f] >= 2]
+    share, weight = sum(label.values()) / total, {}
+    for f in looked:
+        gain = (a[f] * math.log(a[f] / (n[f] * share)) if a[f] else 0) + ((n[f] - a[f]) * math.log((n[f] - a[f]) / (n[f] * (1 - share))) if n[f] > a[f] else 0)
+        tells = gain >= math.log(len(looked)) + 3
+        if tells or n[f] <= 0.3 * total:
+            weight[f] = (math.log((1 + total) / (1 + n[f])) + 0.1) * (4 if tells else 1)
+    assert any(w > 4 * (math.log(total) + 0.1) / 2 for w in weight.values())
+
+    def vector(own):
+        v = {f: (1 + math.log(c)) * weight[f] for f, c in own.items() if f in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / norm for f, x in v.items()}
+
+    examples = {i: vector(own) for i, own in has.items()}
+
+    def vote(v, without=None):
+        cosine = sorted(((-round(sum(x * e.get(f, 0) for f, x in v.items()), 12), i) for i, e in examples.items() if i != without))
+        near = [(-c, i) for c, i in cosine if c < 0][:5]
+        w = [1 / (1.05 - min(c, 1)) for c, _ in near]
+        return (sum(x * label[i] for x, (_, i) in zip(w, near)) / sum(w), [i for _, i in near]) if near else (None, [])
+
+    own = [(vote(v, i)[0], label[i]) for i, v in examples.items()]
+    voted = [x for x in own if x[0] is not None]
+    knots, shares = toxicity.monotone(np.array([v for v, _ in voted]), np.array([float(y) for _, y in voted]))
+    assert all(np.diff(knots) > 0) and all(np.diff(shares) >= 0)
+    close = 0
+    found = toxicity.toxicity(docs.where("doc_id is not null"), labels, fit).collect()
+    for r in found:
+        v, near = vote(vector(features(text[r.doc_id])))
+        if v is None:
+            assert r.evidence == ""
+        else:  # equal cosines may come in another order
+            close += abs(r.score - np.interp(v, knots, shares)) < 1e-9 and {*map(int, r.evidence.split(","))} == set(near[:3])
+    assert close >= 0.95 * len(found)
+
+
+def test_toxicity_learns_from_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"word{i} here") for i in range(50)] + [(2, "other here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.fitted(docs, labels, toxicity.Fit(least_rows=1, most_share=1.0))
+    assert sorted(model.ids) == [1, 2]
+    assert toxicity.scored(docs, model).count() == 51
 
 
 def test_block_max_search_is_exact():
