@@ -649,6 +649,59 @@ def test_mixed_documents_are_what_the_mixture_takes(spark):
     assert got == collections.Counter({i: n for i, n in taken.items() if n})
 
 
+def test_mixture_takes_what_the_shards_draw(docs):
+    mix = mixing.Mix(part_rows=5, block=8, shards=6)
+    pieces = mixing.blocks_taken(docs, mix).toPandas()
+    size = collections.Counter()
+    for _, t, _, s, _ in MADE:
+        size[s] += len(words(t))
+    per_shard = collections.Counter()
+    held = {}
+    for source, own in pieces.groupby("source", dropna=False):
+        source = source if isinstance(source, str) else None
+        n = -(-size[source] // mix.block)
+        order = mixing.Permutation(n, mixing._key(mix.seed, source))
+        slots = own.groupby("slot")[["block", "shard"]].first()
+        assert list(slots.index) == list(range(len(slots)))
+        assert list(slots.block) == [int(order(np.array([j % n]))[0]) for j in slots.index]  # slots and blocks meet by index
+        assert list(slots.shard) == sorted(slots.shard)  # numbered through the shards
+        full = own.groupby("slot").n_words.sum()
+        assert all(x == mix.block or slots.block[j] == n - 1 for j, x in full.items())
+        per_shard.update(slots.shard)
+        held[source] = len(slots)
+    assert max(per_shard.values()) - min(per_shard.values()) <= 1
+    # The counts of the shards are those of the draws.
+    order = sorted((s for s in held if s is not None), key=lambda s: s.encode()) + [None] * (None in held)
+    draws = mixing.drawn(np.array([held[s] for s in order]), mixing._evenly(sum(held.values()), mix.shards), mixing._key(mix.seed, "0"))
+    for k, source in enumerate(order):
+        own = pieces[pieces.source.isna()] if source is None else pieces[pieces.source == source]
+        assert own.groupby("shard").slot.nunique().reindex(range(mix.shards), fill_value=0).tolist() == draws[:, k].tolist()
+    taken = collections.Counter()
+    for r in mixing.mixture(docs, mix).collect():
+        taken[r.doc_id] += r.taken
+    want = pieces.groupby("doc_id", dropna=False).n_words.sum()
+    assert {None if i != i else int(i): int(n) for i, n in want.items()} == {i: n for i, n in taken.items() if n}
+
+
+def test_draws_give_out_what_there_is():
+    left, sizes = np.array([5, 0, 1000, 37]), mixing._evenly(1042, 10)
+    counts = mixing.drawn(left, sizes, 3)
+    assert (counts.sum(0) == left).all() and (counts.sum(1) == sizes).all() and len({*counts[:, 2]}) > 3
+    assert (mixing.drawn(left, sizes, 4) != counts).any()
+
+
+def test_mixing_of_many_sources_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_GROUP", 3)
+    made = [(i, "w " * (i % 40), None, f"s{i % 11:02}", 0) for i in range(400)]
+    found = mixing.mixture(spark.createDataFrame(made, SCHEMA), mixing.Mix(block=4, shards=5)).collect()
+    taken, target = collections.Counter(), {}
+    for r in found:
+        assert r.taken <= 2 * r["size"]
+        taken[made[r.doc_id][3]] += r.taken
+        target[made[r.doc_id][3]] = r.target
+    assert len(found) == 400 and all(abs(taken[s] - target[s]) <= 4 for s in target)
+
+
 def test_permutations_are_permutations():
     for n in (1, 2, 3, 17, 64, 1000):
         order = mixing.Permutation(n, 12345)
