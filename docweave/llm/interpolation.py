@@ -10,15 +10,18 @@ scored by the counts of all the others, itself deleted.
 Counts are never gathered in one place:
 
 1.  Texts become chunks of about ``chunk_tokens`` tokens: the distinct words
-    (64-bit hashes) and, for each token, the word's number.  A chunk is known
-    by a hash of what is in it.  Chunks are made twice, once to ask and once
-    to be answered, which takes less than keeping them; an input whose rows
-    come differently the second time fails the job.
+    (64-bit hashes) and, for each token, the word's number.  Chunks are
+    written once, packed, so whatever order rows come in when the input is
+    read again does not matter.
 2.  A chunk asks for the counts of its distinct words and pairs.  A request
     is a sorted list of hashes with the chunk's own counts, cut by ranges of
     hashes; a range has one owner task, which adds up what all chunks have
     and answers each in the order of its request.  A word that makes up a
-    third of all tokens is one entry per chunk.
+    third of all tokens is one entry per chunk.  Beyond ``fan`` owners,
+    chunks ask in groups: the requests of a group for one of about sqrt(owners)
+    wider ranges are merged, asked once, and the answers handed back.  So the
+    number of requests grows with the chunks times the square root of the
+    owners, and each stays thousands of entries long.
 3.  Answers meet their chunk, which then knows the counts behind each token.
     These are written, with a histogram of the deleted counts whose cells
     (two for each doubling of a count) bound its size.
@@ -28,8 +31,8 @@ Counts are never gathered in one place:
 Words are maximal runs without white space, A-Z lower-cased; one end token
 closes a text and is the context of the next one's first word.  Null and
 empty texts are an end token.  Rows with a null id are never training rows.
-Repeated rows count and are scored each.  Without training rows all tokens
-are unseen and every score is 0.
+Repeated rows count and are scored each.  Without training rows the unseen
+part, one token, has all probability, and every score is 0.
 """
 
 from __future__ import annotations
@@ -41,7 +44,6 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -59,6 +61,7 @@ class Interpolation:
     owner_bytes: int = 24 << 20  # of text for each owner of counts
     rounds: int = 60
     buckets: int = 40
+    fan: int = 4096
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -146,9 +149,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], settings: Interpolation) -> Iter
         place_of = np.empty(len(order), np.uint32)
         place_of[order] = np.arange(len(order))
         index, vocabulary, on = place_of[codes], distinct[order], np.concatenate(train)
-        name = xxhash.xxh64(index.tobytes(), seed=place << 20 | number)
-        name.update(vocabulary.tobytes())
-        made = name.intdigest() >> 1, pa.concat_arrays(ids), _Chunk(vocabulary, index, np.concatenate(lengths), on), on
+        made = place << 32 | number, pa.concat_arrays(ids), _Chunk(vocabulary, index, np.concatenate(lengths), on), on
         for held in (ids, train, lengths):
             held.clear()
         return made
@@ -192,48 +193,108 @@ def _opened(batch: pa.RecordBatch, i: int) -> _Chunk:
 ANSWER = ["chunk", "part", "owner", "counts"]
 
 
-def answers(docs: DataFrame, owners: int, settings: Interpolation) -> DataFrame:
-    """For each chunk of docs, part (1: words, 2: pairs) and owner, the counts of what was asked, in order; as part 3 of no chunk, each owner's tokens and distinct words."""
+REQUEST = "chunk long, part int, owner int, hashes binary, counts binary"
+
+
+def _request_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["chunk", "part", "owner", "hashes", "counts"])
+
+
+def _cut(asker: int, part: int, hashes: np.ndarray, counts: np.ndarray, owners: int) -> list[tuple]:
+    """The requests for sorted hashes, one for each owner of some."""
+    cut = _ranges(hashes, owners)
+    return [(asker, part, int(o), squeezed_sorted(hashes[cut[o] : cut[o + 1]]), squeezed(counts[cut[o] : cut[o + 1]].astype(np.uint64))) for o in np.flatnonzero(np.diff(cut))]
+
+
+def requests(chunked: DataFrame, owners: int) -> DataFrame:
+    """What each chunk asks: part (1: words, 2: pairs), owner, sorted hashes and their counts in the chunk."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, chunk, _ in _chunked(batches, settings):
-            for part, (hashes, counts) in enumerate(chunk.requests(), 1):
-                cut = _ranges(hashes, owners)
-                rows = [(o, squeezed_sorted(hashes[cut[o] : cut[o + 1]]), squeezed(counts[cut[o] : cut[o + 1]])) for o in range(owners) if cut[o] < cut[o + 1]]
-                o, h, c = zip(*rows)
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.full(n, part, np.int32)), pa.array(o, pa.int32()), pa.array(h, pa.binary()), pa.array(c, pa.binary())], names=["chunk", "part", "owner", "hashes", "counts"])
+        for batch in batches:
+            for i, name in enumerate(column(batch, "chunk").to_pylist()):
+                for part, (hashes, counts) in enumerate(_opened(batch, i).requests(), 1):
+                    yield _request_rows(_cut(name, part, hashes, counts, owners))
+
+    return chunked.select("chunk", "train", "lengths", "vocabulary", "tokens").mapInArrow(ask, REQUEST)
+
+
+def grouped_answers(asked: DataFrame, ranges: int, groups: int) -> DataFrame:
+    """answers() of requests for wide ranges, asked by groups of chunks."""
+    keys = ("group", "owner", "part")
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups)))
+    tasks = max(groups, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (group, owner, part), rows in _runs(batches, keys):
+            hashes, codes = np.unique(np.concatenate([restored_sorted(r["hashes"]) for r in rows]), return_inverse=True)
+            counts = np.bincount(codes, np.concatenate([restored(r["counts"], np.uint64) for r in rows]), len(hashes))
+            yield _request_rows(_cut(group << 24 | owner, part, hashes, counts, ranges * ranges))
+
+    def hand_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, owner, part), rows in _runs(batches, keys):
+            requested = [(r["chunk"], restored_sorted(r["hashes"])) for r in rows if r["hashes"] is not None]
+            known = np.unique(np.concatenate([h for _, h in requested]))
+            cut = np.unique(_ranges(known, ranges * ranges))
+            counts = np.concatenate([_counted(r["counts"], z - a) for r, a, z in zip((r for r in rows if r["hashes"] is None), cut, cut[1:])])
+            made = [(chunk, part, owner, squeezed(counts[np.searchsorted(known, h)].astype(np.uint64))) for chunk, h in requested]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=ANSWER)
+
+    merged = asked.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(merge, REQUEST)
+    found = written(answers(merged, ranges * ranges))
+    of = found.where("part != 3").select(F.shiftright("chunk", 24).alias("group"), F.col("chunk").bitwiseAND((1 << 24) - 1).cast("int").alias("owner"), "part", F.col("owner").alias("within"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("hashes"), "counts")
+    both = asked.select("group", "owner", "part", F.lit(-1).alias("within"), "chunk", "hashes", F.lit(None).cast("binary").alias("counts")).union(of)
+    back = both.repartition(tasks, *keys).sortWithinPartitions(*keys, "within").mapInArrow(hand_back, "chunk long, part int, owner int, counts binary")
+    return back.union(found.where("part = 3"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows that follow each other with the same keys."""
+    at, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in keys)
+            if key != at and held:
+                yield at, held
+                held = []
+            at = key
+            held.append(row)
+    if held:
+        yield at, held
+
+
+def answers(asked: DataFrame, owners: int) -> DataFrame:
+    """For each request, by its chunk, part and owner, the counts of what was asked, in order; as part 3 of no chunk, each owner's tokens and distinct words."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, asked = None, []
+        at, asked_of = None, []
 
         def row(chunk: int, part: int, counts: np.ndarray) -> tuple:
             return chunk, part, at[0], squeezed(counts)
 
         def answered() -> Iterator[pa.RecordBatch]:
-            if not asked:
+            if not asked_of:
                 return
-            hashes = np.concatenate([h for _, h, _ in asked])
+            hashes = np.concatenate([h for _, h, _ in asked_of])
             codes, distinct = pd.factorize(hashes)
-            total = np.bincount(codes, np.concatenate([c for _, _, c in asked]), len(distinct)).astype(np.uint64)
+            total = np.bincount(codes, np.concatenate([c for _, _, c in asked_of]), len(distinct)).astype(np.uint64)
             each = total[codes]
-            ends = np.cumsum([len(h) for _, h, _ in asked])
-            rows = [row(chunk, at[1], each[z - len(h) : z].astype(np.uint32 if total.max() < 1 << 32 else np.uint64)) for (chunk, h, _), z in zip(asked, ends)]
+            ends = np.cumsum([len(h) for _, h, _ in asked_of])
+            rows = [row(chunk, at[1], each[z - len(h) : z].astype(np.uint32 if total.max() < 1 << 32 else np.uint64)) for (chunk, h, _), z in zip(asked_of, ends)]
             if at[1] == 1:
                 rows.append((-1 - at[0], 3, at[0], squeezed(np.array([total.sum(), (total > 0).sum()], np.uint64))))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=ANSWER)
-            asked.clear()
+            asked_of.clear()
 
         for batch in batches:
             for chunk, part, owner, h, c in zip(*(column(batch, x).to_pylist() for x in ("chunk", "part", "owner", "hashes", "counts"))):
                 if (owner, part) != at:
                     yield from answered()
                     at = (owner, part)
-                asked.append((chunk, restored_sorted(h), restored(c, np.uint32)))
+                asked_of.append((chunk, restored_sorted(h), restored(c, np.uint64)))
         yield from answered()
 
-    requests = docs.mapInArrow(ask, "chunk long, part int, owner int, hashes binary, counts binary")
-    routed = requests.repartition(owners, "owner").sortWithinPartitions("owner", "part")
+    routed = asked.repartition(owners, "owner").sortWithinPartitions("owner", "part")
     return routed.mapInArrow(answer, "chunk long, part int, owner int, counts binary")
 
 
@@ -242,7 +303,7 @@ def _counted(blob: bytes, n: int) -> np.ndarray:
     return restored(blob, np.uint32 if len(raw) == 4 * n else np.uint64).astype(np.int64)
 
 
-def counted(chunked: DataFrame, answered: DataFrame, owners: int, kind: str) -> DataFrame:
+def counted(chunked: DataFrame, answered: DataFrame, owners: int, tasks: int, kind: str) -> DataFrame:
     """Per chunk: its ids, training marks and lengths, by text the known tokens and the sum of log10(count + 1), by token the counts of the word and of the pair, and the histogram of deleted counts; and the owners' totals."""
     none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", f"array<{kind}>"), ("train", "array<boolean>"), ("lengths", "array<bigint>"), ("vocabulary", "binary"), ("tokens", "binary"))]
     both = chunked.select("chunk", F.lit(0).alias("part"), F.lit(0).alias("owner"), F.lit(None).cast("binary").alias("counts"), "ids", "train", "lengths", "vocabulary", "tokens").union(answered.select(*ANSWER, *none))
@@ -252,8 +313,6 @@ def counted(chunked: DataFrame, answered: DataFrame, owners: int, kind: str) ->
         chunk, row, got = None, None, {1: [], 2: []}
 
         def resolved() -> pa.RecordBatch:
-            if any(len(got[k]) != len(filled(x)) - 1 for k, x in ((1, chunk.vocabulary), (2, chunk.pairs))):
-                raise RuntimeError("a chunk was not answered: the input's rows came differently when they were read again")
             words, pairs = (np.concatenate([_counted(b, z - a) for b, a, z in zip(got[k], cut, cut[1:])]) for k, cut in ((1, filled(chunk.vocabulary)), (2, filled(chunk.pairs))))
             c2, c1, c12 = words[chunk.index], words[chunk.before], pairs[chunk.pair]
             begins = np.cumsum(chunk.lengths) - chunk.lengths
@@ -288,7 +347,7 @@ def counted(chunked: DataFrame, answered: DataFrame, owners: int, kind: str) ->
         if chunk is not None:
             yield resolved()
 
-    met = both.repartition(owners, "chunk").sortWithinPartitions("chunk", "part", "owner")
+    met = both.repartition(tasks, "chunk").sortWithinPartitions("chunk", "part", "owner")
     schema = f"ids array<{kind}>, train array<boolean>, lengths array<bigint>, known array<bigint>, logs array<double>, words binary, pairs binary, cells array<bigint>, sizes array<bigint>, totals array<bigint>"
     return met.mapInArrow(apply, schema)
 
@@ -325,7 +384,7 @@ def mixture_weights(cells: np.ndarray, sizes: np.ndarray, tokens: int, distinct:
         sums = np.stack([np.bincount(of, share[:, k], settings.buckets) for k in range(3)], 1) + 1 / 3
         weights = sums / sums.sum(1, keepdims=True)
     unseen = np.array([0.0, *weights[0, 1:]])
-    weights[0] = unseen / unseen.sum()  # bucket 0: contexts never seen
+    weights[0] = unseen / unseen.sum() if tokens else (0, 0, 1)  # bucket 0: contexts never seen
     return weights
 
 
@@ -335,7 +394,13 @@ def scores(docs: DataFrame, settings: Interpolation = Interpolation()) -> DataFr
     docs = docs.select("doc_id", "text", "train")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // settings.owner_bytes)
-    resolved = written(counted(chunks(docs, settings), answers(docs, owners, settings), owners, kind))
+    chunked = written(chunks(docs, settings))
+    if owners <= settings.fan:
+        resolved = counted(chunked, answers(requests(chunked, owners), owners), owners, owners, kind)
+    else:
+        wide = int(np.ceil(np.sqrt(owners)))
+        resolved = counted(chunked, grouped_answers(requests(chunked, wide), wide, -(-chunked.count() // wide)), wide, owners, kind)
+    resolved = written(resolved)
     tokens, distinct = (int(x or 0) for x in resolved.where("totals is not null").agg(F.sum(F.col("totals")[0]), F.sum(F.col("totals")[1])).first())
     histogram = _cells(resolved)
     weights = mixture_weights(np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], float), tokens, distinct, settings)

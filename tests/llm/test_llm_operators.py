@@ -370,13 +370,31 @@ def test_interpolation(docs, none):
         base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own)
         return i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(own), sum(counts[w] > 0 for w in own), n, round(base, 6)
 
-    for settings in (interpolation.Interpolation(), interpolation.Interpolation(chunk_tokens=50, owner_bytes=2000)):
+    scores = []
+    for settings in (interpolation.Interpolation(), interpolation.Interpolation(chunk_tokens=50, owner_bytes=2000), interpolation.Interpolation(chunk_tokens=50, owner_bytes=2000, fan=3)):
         found = interpolation.scored(docs, settings).collect()
+        scores.append(bag((r.doc_id, round(r.score, 6)) for r in found))
         assert bag((*r[:5], round(r.base_score, 6)) for r in found) == bag(row(*x) for x in tokens)
         assert all(r.score < 0 for r in found)
+    assert scores[1] == scores[2]
     assert interpolation.scored(none).count() == 0
 
 
+def test_interpolation_of_rows_that_come_in_another_order(spark, docs):
+    from pyspark.sql import functions as F
+
+    shuffled = docs.orderBy(F.rand())
+    settings = interpolation.Interpolation(chunk_tokens=50, owner_bytes=2000)
+    base = lambda found: bag((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in found)
+    assert base(interpolation.scored(shuffled, settings).collect()) == base(interpolation.scored(docs, settings).collect())
+
+
+def test_interpolation_without_training_rows(spark):
+    frame = spark.createDataFrame([(None, "a b c"), (None, None), (None, "x" * 3_000_000)], "doc_id long, text string")
+    found = interpolation.scored(frame).collect()
+    assert len(found) == 3 and all(r.score == r.base_score == r.train_tokens == r.n_known == 0 for r in found)
+
+
 def test_interpolation_scores_by_the_mixture(spark):
     made = [(i, t, None, None, 0) for i, t in enumerate(["a b a b a c", "a b", "b a b d", "", "a d a b a b"])]
     settings = interpolation.Interpolation()
