@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.sources.spread import spread
-from docweave.sources.store import written
+from docweave.sources.store import shared_folder, written
 
-__all__ = ["documents", "joined", "small", "written"]
+__all__ = ["documents", "joined", "shared_folder", "small", "written"]
 
 
 def small(table: DataFrame, rows: int = 20_000) -> DataFrame:

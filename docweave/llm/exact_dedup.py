@@ -1,4 +1,4 @@
-"""Exact duplicates by an extendible-hash index.
+"""Exact duplicates by an extendible-hash index on shared files.
 
 Texts are keyed by a 64-bit hash of their normalised bytes (A-Z lower-cased).
 A directory over the leading bits of the keys says which bucket owns which
@@ -8,11 +8,16 @@ as deep as the directory.  The directory is made from the counts of key
 prefixes and has at most 2**max_depth entries, so it is small whatever the
 data.
 
-Each bucket has one owner task.  Rows reach it sorted by key; rows of one key
-are chained and their bytes compared, so that two texts of one key stay
-apart.  Before that, each batch of a scan keeps one row per text and counts
-the others, so a text that a third of all rows share reaches its owner once
-per batch.
+The index lies in the shared folder: a file for each range of buckets, which
+rows are inserted into by bucket, sorted by key.  There are as many files as
+buckets, up to ``MOST_FILES``.  Each file has one owner task; it walks the
+rows by key, chains rows of one key and compares their bytes, so that two
+texts of one key stay apart.  Before that, each batch of a scan keeps one row
+per text and counts the others, so a text that a third of all rows share
+reaches its owner once per batch.
+
+``membership`` looks up each row's group by key, digest and length; groups of
+very many rows are broadcast and their rows spread over all tasks.
 
 Null texts are empty texts; all of them are one group.  Of equal texts the
 row with the largest id stays, null ids being the smallest.  Rows repeated
@@ -24,6 +29,7 @@ theirs is the id that stays.  Empty tables give empty results.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,9 +39,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.group import GroupedData
 
 from docweave.llm._arrow import Texts, column, slices
-from docweave.llm._spark import written
+from docweave.llm._spark import joined, shared_folder, written
 
 
 @dataclass(frozen=True)
@@ -76,21 +83,25 @@ class Directory:
         return np.asarray(self.buckets, np.int32)[keys >> np.uint64(64 - self.depth)]
 
 
+#: Files of an index; beyond them a file holds several buckets.
+MOST_FILES = 1 << 16
+
+
 def _key(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text, 20240917)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key, sha (of the normalised text) for docs of doc_id and text."""
+    """doc_id, key, sha and n (bytes) of the normalised text for docs of doc_id and text."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             texts = Texts(column(part, "text"))
             rows = [texts.text(i).lower() for i in range(texts.n)]
             keys = np.array([_key(x) for x in rows], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(keys), pa.array([hashlib.sha256(x).digest() for x in rows], pa.binary())], names=["doc_id", "key", "sha"])
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(keys), pa.array([hashlib.sha256(x).digest() for x in rows], pa.binary()), pa.array(np.diff(texts.offsets))], names=["doc_id", "key", "sha", "n"])
 
-    return docs.mapInArrow(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, sha binary")
+    return docs.mapInArrow(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, sha binary, n long")
 
 
 def directory(keys: DataFrame, rows: int, capacity: int, max_depth: int) -> Directory:
@@ -106,6 +117,20 @@ def _rank(value) -> tuple:
     return (value is not None, value)
 
 
+def indexed(entries: DataFrame, index: Directory) -> GroupedData:
+    """entries (_key, _bucket, ...) in files of the shared folder, one for each bucket or several of them, and read from there: by file, the rows by bucket and key."""
+    buckets = len(set(index.buckets))
+    files = min(buckets, MOST_FILES)
+    name = f"docweave_{uuid.uuid4().hex}"
+    spark = entries.sparkSession
+    of = entries.withColumn("_file", F.pmod("_bucket", F.lit(files)))
+    made = of.repartition(files, "_file").write.format("parquet").option("path", shared_folder(spark))
+    made.bucketBy(files, "_file").sortBy("_bucket", "_key").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return found.sortWithinPartitions("_file", "_bucket", "_key").groupBy("_file")
+
+
 def winners(docs: DataFrame, index: Directory, id_col: str, text_col: str) -> DataFrame:
     """One row per distinct text: the columns of docs of the row that stays, and _key, _sha and _size of its group."""
     names = docs.columns
@@ -169,23 +194,23 @@ def winners(docs: DataFrame, index: Directory, id_col: str, text_col: str) -> Da
 
     schema = T.StructType([*docs.schema.fields, *state])
     partial = docs.mapInArrow(combine, T.StructType([*schema.fields, T.StructField("_bucket", T.IntegerType())]))
-    owned = partial.repartition("_bucket").sortWithinPartitions("_bucket", "_key")
-    return owned.drop("_bucket").mapInArrow(own, schema)
+    return indexed(partial, index).applyInArrow(own, schema)
 
 
 def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 16_384, max_depth: int = 18) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     keys = written(keyed(chosen))
-    groups = winners(chosen, directory(keys, keys.count(), capacity, max_depth), "doc_id", "text").where("_size > 1").select(F.col("doc_id").alias("_keep"), "_key", "_sha", "_size")
-    joined = keys.join(groups, (keys.key == groups._key) & (keys.sha == groups._sha), "left")
+    groups = winners(chosen, directory(keys, keys.count(), capacity, max_depth), "doc_id", "text").where("_size > 1")
+    groups = written(groups.select(F.col("doc_id").alias("_keep"), "_key", "_sha", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("_n"), "_size"))
+    found = joined(keys, groups, {"key": "_key", "sha": "_sha", "n": "_n"}, "_size", "doc_id")
     keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 16_384, max_depth: int = 18) -> DataFrame:
     """The rows of docs that stay, one of each group of equal texts, with all their columns."""
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     own, text = (f"c{docs.columns.index(x)}" for x in (id_col, text_col))
-    index = directory(keyed(plain.select(F.col(own).alias("doc_id"), F.col(text).alias("text"))), docs.count(), capacity, max_depth)
-    return winners(plain, index, own, text).select(*(F.col(c).alias(x) for c, x in zip(plain.columns, docs.columns)))
+    keys = written(keyed(plain.select(F.col(own).alias("doc_id"), F.col(text).alias("text"))).select("key"))
+    return winners(plain, directory(keys, keys.count(), capacity, max_depth), own, text).select(*(F.col(c).alias(x) for c, x in zip(plain.columns, docs.columns)))
