@@ -20,12 +20,14 @@ of the script's languages, by their texts, to which the width of the script's
 band is added as if it were that of one more text.  So no band is switched on or off at any number of
 rows, and a language that is hardly seen is not held to where others lie.
 
-The texts are scanned once; what is shuffled is a quantile summary for each
-language, script and task.  The bands are broadcast if they are few, as languages
-are; else the join on them shuffles.
+The texts are scanned once; what is shuffled is, for each language, script and
+task, the number of texts by characters per token in steps of 1 / ``STEPS``.
+Quartiles are read off these counts, so they are exact to a step and the same
+however the rows are partitioned.  The bands are broadcast if they are few, as
+languages are; else the join on them shuffles.
 
 Null and empty texts have no words, zero measures and fail the base rule.  A
-null language is a language of its own.  Repeated rows are each judged; other
+null language counts as the empty one.  Repeated rows are each judged; other
 columns are neither read nor needed.
 """
 
@@ -36,13 +38,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm._arrow import SPACE, Texts, WordMemo, Words, column, pair, ranges, slices, span_hashes
 from docweave.llm._spark import small, written
 
+STEPS = 4096
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -231,16 +234,24 @@ def measure(batch: pa.RecordBatch, text: str, rules: Rules) -> list[pa.Array]:
     return [pa.array(v, f.type) for v, f in zip(values, MEASURES)]
 
 
-def _quartiles(measured: DataFrame, *by: str) -> DataFrame:
-    """Low and high quartile of characters per token, and number, of the texts that may be learned from."""
-    summary = measured.where("_kept").groupBy(*by).agg(F.percentile_approx("_chars_per_token", [0.25, 0.75], 1000).alias("_q"), F.count("*").alias("_rows"))
-    return summary.select(*by, F.col("_q")[0].alias("_low"), F.col("_q")[1].alias("_high"), "_rows")
+def _steps(measured: DataFrame) -> DataFrame:
+    """_lang, _script, _step (of characters per token) and _n, how many of the texts that may be learned from are there."""
+    return measured.where("_kept").groupBy("_lang", "_script", F.round(F.col("_chars_per_token") * STEPS).cast("long").alias("_step")).agg(F.count("*").alias("_n"))
 
 
-def _script_distances(measured: DataFrame, rules: Rules) -> DataFrame:
+def _quartiles(steps: DataFrame, *by: str) -> DataFrame:
+    """Low and high quartile of characters per token (nearest rank), and number, of the texts behind steps."""
+    each = steps.groupBy(*by, "_step").agg(F.sum("_n").alias("_n"))
+    upto = Window.partitionBy(*by).orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = each.withColumns({"_upto": F.sum("_n").over(upto), "_rows": F.sum("_n").over(Window.partitionBy(*by))})
+    first = lambda share: F.min(F.when(F.col("_upto") >= F.col("_rows") * share, F.col("_step"))) / F.lit(float(STEPS))
+    return ranked.groupBy(*by).agg(first(0.25).alias("_low"), first(0.75).alias("_high"), F.first("_rows").alias("_rows"))
+
+
+def _script_distances(steps: DataFrame, rules: Rules) -> DataFrame:
     """By script: the mean distance of quartiles within a language, the script's band being one more text."""
     width = F.create_map(*(F.lit(x) for name in _names for x in (name, float(rules.bands[name].most_chars - rules.bands[name].least_chars))))
-    sums = _quartiles(measured, "_script", "_lang").groupBy("_script").agg(F.sum((F.col("_high") - F.col("_low")) * F.col("_rows")).alias("_sum"), F.sum("_rows").alias("_n"))
+    sums = _quartiles(steps, "_script", "_lang").groupBy("_script").agg(F.sum((F.col("_high") - F.col("_low")) * F.col("_rows")).alias("_sum"), F.sum("_rows").alias("_n"))
     return sums.select(F.col("_script").alias("_by"), ((F.col("_sum") + width[F.col("_script")]) / (F.col("_n") + 1)).alias("_distance"))
 
 
@@ -255,8 +266,9 @@ def _judged(docs: DataFrame, rules: Rules, text_col: str, lang_col: str, dropped
 
     schema = T.StructType([f for f in docs.schema if f.name not in dropped] + [T.StructField(f"_{f.name}", f.dataType) for f in T._parse_datatype_string(DDL)])
     measured = written(docs.mapInArrow(apply, schema).withColumn("_lang", F.coalesce(F.col(lang_col), F.lit(""))))
-    joined = measured.join(small(written(_quartiles(measured, "_lang").withColumnRenamed("_lang", "_of"))), F.col("_lang") == F.col("_of"), "left")
-    joined = joined.join(F.broadcast(written(_script_distances(measured, rules))), F.col("_script") == F.col("_by"), "left")  # as many rows as scripts
+    steps = written(_steps(measured))
+    joined = measured.join(small(written(_quartiles(steps, "_lang").withColumnRenamed("_lang", "_of"))), F.col("_lang") == F.col("_of"), "left")
+    joined = joined.join(F.broadcast(written(_script_distances(steps, rules))), F.col("_script") == F.col("_by"), "left")  # as many rows as scripts
     own = F.least(F.col("_rows") / F.lit(max(1, rules.least_rows)), F.lit(1.0))
     reach = rules.spread * (own * (F.col("_high") - F.col("_low")) + (1 - own) * F.col("_distance"))
     ordinary = F.coalesce(F.col("_chars_per_token").between(F.col("_low") - reach, F.col("_high") + reach), F.lit(True))

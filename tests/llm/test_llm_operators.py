@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from corpus import SCHEMA, clashing, lower, rows, words
 
-from docweave.llm import _spark, exact_dedup, fertility, interpolation, line_dedup, mixing, packing, pii, queries, simhash, token_counts, toxicity
+from docweave.llm import _spark, components, exact_dedup, fertility, interpolation, line_dedup, mixing, packing, pii, queries, simhash, token_counts, toxicity
 from docweave.llm.queries import vocabulary
 
 MADE = rows()
@@ -277,6 +277,22 @@ def test_simhash(docs, none, spark):
     assert simhash.near_duplicates(none).count() == simhash.representatives(none).count() == 0
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2)) if a != b] + [(1000, 1000 + k) for k in range(1, 300)] + [(k, k + 1) for k in range(2000, 2060)]
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        before = dict(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    frame = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    assert {r.node: r.root for r in components.components(frame).collect()} == label
+
+
 @pytest.mark.parametrize("hot", [1 << 20, 20])
 def test_simhash_search_finds_every_link(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)
@@ -349,6 +365,41 @@ def test_fertility_learns_a_band_by_language(spark):
     assert not found.pop(99) and found[98] and sum(found.values()) > 75
 
 
+def test_fertility_keeps_what_its_bands_say(spark):
+    rng = np.random.default_rng(7)
+    plain = "people town market bread children because good day house water morning little great country always between".split()
+    odd = ["bleonti", "thanere", "ndatwhsh", "erhean", "ouonha"]
+    text = lambda share: " ".join("".join(rng.choice(odd, 2)) if rng.random() < share else rng.choice(plain) for _ in range(70))
+    made = [(i, text(rng.random() ** 4), ("en", "en", "de", None, "")[i % 5], "s", 0) for i in range(150)]
+    made += [(200, None, "en", "s", 0), (201, "", None, "s", 0), (202, "short", "de", "s", 0), (203, "ж" * 40, None, "s", 0)]
+    rules = fertility.Rules(vocabulary("piece_bpe_32k.model"), least_rows=40, spread=0.7)
+    frame = spark.createDataFrame(made, SCHEMA)
+    found = {r.doc_id: r for r in fertility.quality_measures(frame.repartition(5), rules).collect()}
+    lang = {i: code or "" for i, _, code, *_ in made}
+    passed = {}
+    for i, r in found.items():
+        band = rules.bands[r.script]
+        ceiling = math.log2(max(min(r.n_tokens, 32_000), 2))
+        if not r.base_failed and band.least_chars <= r.chars_per_token <= band.most_chars and r.byte_share <= band.most_bytes and r.token_entropy >= band.least_entropy * ceiling:
+            passed.setdefault(lang[i], []).append(round(r.chars_per_token * fertility.STEPS) / fertility.STEPS)
+    quartile = lambda own, q: sorted(own)[math.ceil(q * len(own)) - 1]
+    apart = {code: quartile(own, 0.75) - quartile(own, 0.25) for code, own in passed.items()}
+    n = sum(map(len, passed.values()))
+    width = rules.bands["latin"].most_chars - rules.bands["latin"].least_chars
+    mean = (sum(apart[code] * len(own) for code, own in passed.items()) + width) / (n + 1)
+    kept = 0
+    for i, r in found.items():
+        own = passed.get(lang[i], [])
+        share = min(1, len(own) / 40)
+        reach = 0.7 * (share * apart[lang[i]] + (1 - share) * mean)
+        band = rules.bands[r.script]
+        ordinary = not r.base_failed and band.least_chars <= r.chars_per_token <= band.most_chars and r.byte_share <= band.most_bytes and r.token_entropy >= band.least_entropy * math.log2(max(min(r.n_tokens, 32_000), 2))
+        assert r.kept == (ordinary and quartile(own, 0.25) - reach <= r.chars_per_token <= quartile(own, 0.75) + reach), r
+        kept += r.kept
+    assert 30 < kept < 150  # some pass all but the learned band
+    assert bag(fertility.quality_measures(frame.coalesce(1), rules).select("doc_id", "kept").collect()) == bag((i, r.kept) for i, r in found.items())
+
+
 def test_fertility_does_not_switch_at_a_number_of_rows(spark):
     rng = np.random.default_rng(1)
     plain = "people town market bread children because good day house water morning little great country always between".split()
