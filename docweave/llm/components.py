@@ -1,23 +1,30 @@
 """Connected components of a graph given by its links.
 
 Links are first contracted within each task by union-find, which leaves a
-star per component and task.  Then large-star and small-star steps alternate
-over the whole graph until nothing changes: the first ties every larger
-neighbour of a node to the least of its neighbours, the second ties the
-smaller ones.  Minima are aggregated before they are joined back, so no task
-ever holds the neighbours of a node together.
+star per component and task.  If at most ``FEW`` links are left by then, one
+task contracts these as well.  Otherwise large-star and small-star steps
+alternate over the whole graph until nothing changes: the first ties every
+larger neighbour of a node to the least of its neighbours, the second ties
+the smaller ones.  Minima are aggregated before they are joined back; nodes
+of very many links are broadcast there and their links spread over all tasks,
+so no task holds the neighbours of a node together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm._arrow import column
-from docweave.llm._spark import written
+from docweave.llm._spark import joined, written
+
+
+#: Links that one task can contract in memory.
+FEW = 1_000_000
 
 
 def _stars(batches: Iterator[pa.RecordBatch], limit: int = 500_000) -> Iterator[pa.RecordBatch]:
@@ -57,12 +64,15 @@ def components(links: DataFrame) -> DataFrame:
     """node, root for every node of the links (a, b of type long); root is the least node of its component."""
     edges = written(links.select("a", "b").mapInArrow(_stars, "a long, b long"))
     before = _state(edges)
+    if before[0] <= FEW:
+        edges = written(edges.coalesce(1).mapInArrow(partial(_stars, limit=2 * FEW), "a long, b long"))
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("m", "a").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        tops = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(tops, F.col("a") == F.col("u")).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("u"), F.least("m", "a").alias("m"), "n"))
+        large = joined(both.where("b > a"), least, {"a": "u"}, "n", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        tops = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("u"), "m", "n"))
+        small = joined(large, tops, {"a": "u"}, "n", "b").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.union(tops.select("u", "m")).distinct())
         now = _state(edges)
         if now == before:

@@ -17,6 +17,9 @@ downwards, adds up the bits in which their own patterns differ, and drops a
 pair of nodes with everything below as soon as the sum exceeds the limit.  A
 link is reported by the first arrangement in which its ends meet.
 
+Each text gets its class's result by a join on the fingerprint; classes of
+very many texts are broadcast there and their texts spread over all tasks.
+
 Texts without a word have fingerprint zero and link like any other; null
 texts are empty.  Repeated rows count as texts of their class.  A null id is
 never a component's id unless all its ids are null.
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm._arrow import Texts, column, ranges, slices
-from docweave.llm._spark import small, written
+from docweave.llm._spark import joined, small, written
 from docweave.llm.components import components
 
 RADIUS = 2
@@ -227,8 +230,8 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     least = member.groupBy("root").agg(F.min("least").alias("component"))
     linked = member.join(least, "root").select(F.col("node").alias("fp_linked"), "component")
     known = classes.join(near, F.col("fp") == F.col("fp_near"), "left").join(linked, F.col("fp") == F.col("fp_linked"), "left")
-    known = known.select(F.col("fp").alias("fp_known"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), F.coalesce("component", "least").alias("component_id"))
-    return marked.join(known, F.col("fp") == F.col("fp_known")).select("doc_id", "tie", "fp", F.col("n_near").cast("long").alias("n_near"), "component_id")
+    known = written(known.select(F.col("fp").alias("fp_known"), "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), F.coalesce("component", "least").alias("component_id")))
+    return joined(marked, known, {"fp": "fp_known"}, "n", "doc_id").select("doc_id", "tie", "fp", F.col("n_near").cast("long").alias("n_near"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
