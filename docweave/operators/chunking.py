@@ -624,8 +624,12 @@ def chunk_from(row: dict) -> dict:
     return {"id": row["id"], "source": {"kind": "chunk", "text": row["source_text"]}, "evidence": json.loads(row["evidence"]), "summary": row["summary"], "keywords": list(row["keywords"]), "questions": list(row["questions"]), "metadata": json.loads(row["metadata"])}
 
 
-def chunks(units: DataFrame, limits: Limits = Limits(), plan: Plan | None = None, decide: Merge | None = None) -> DataFrame:
-    """One row per chunk.  A task holds one document's units at a time."""
+def chunks(units: DataFrame, limits: Limits = Limits(), plan: Plan | None = None, decide: Merge | None = None, together: bool = False) -> DataFrame:
+    """One row per chunk.  A task holds one document's units at a time.
+
+    together says that each document's units already lie one after the other,
+    as ``evidence.read`` yields them; nothing is shuffled then.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -650,7 +654,7 @@ def chunks(units: DataFrame, limits: Limits = Limits(), plan: Plan | None = None
         if out:
             yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
-    return by_document(units, "ord").mapInArrow(apply, CHUNK)
+    return (units if together else by_document(units, "ord")).mapInArrow(apply, CHUNK)
 
 
 def fallback_chunks(units: DataFrame) -> DataFrame:

@@ -75,14 +75,17 @@ def outliers(profiles: DataFrame, per_document: int = 10) -> DataFrame:
     return profiles.where("flags <> ''").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_document)
 
 
-def document_summaries(units: DataFrame, assets: DataFrame, warnings: DataFrame) -> DataFrame:
-    """One row per document that has units: counts by type, table and diagram totals, assets, kinds of warnings."""
+def document_summaries(units: DataFrame, assets: DataFrame, warnings: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """One row per document: counts by type, table and diagram totals, assets, kinds of warnings.
+
+    documents (doc_id) says which were read; without it only those with units are known.
+    """
     kinds = units.groupBy("doc_id").agg(F.count("*").alias("n_units"), *(F.count_if(F.col("type") == k).alias(f"n_{k}") for k in ("text", "table", "image", "diagram")), F.sum(F.length("source_text")).alias("source_text_chars"))
     tables = table_profiles(units).groupBy("doc_id").agg(F.sum("cells").alias("total_cells"), F.max("columns").alias("max_columns"), F.max("cells").alias("max_cells"), F.sum("blank_cells").alias("blank_cells"), F.sum("rows").alias("total_rows"))
     drawn = diagram_profiles(units).groupBy("doc_id").agg(F.sum("nodes").alias("total_nodes"), F.sum("connectors").alias("total_connectors"), F.sum("edges").alias("total_edges"))
     held = assets.groupBy("doc_id").agg(F.count("*").alias("asset_count"), F.sum(F.length("data")).alias("asset_bytes"))
     said = warnings.groupBy("doc_id").agg(F.count("*").alias("n_warnings"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("warning_types"))
-    joined = kinds
+    joined = kinds if documents is None else documents.select("doc_id").distinct().join(kinds, "doc_id", "left")
     for other in (tables, drawn, held, said):
         joined = joined.join(other, "doc_id", "left")
     return joined.fillna(0).fillna("", ["warning_types"])

@@ -232,8 +232,8 @@ def chunks_page(chunks: list[dict], assets: dict[str, dict] | None = None, title
     return _page(title, [chunk_section(c, assets or {}) for c in chunks])
 
 
-def _pages(rows: DataFrame, read: Callable[[dict], dict], page: Callable[[list[dict]], str]) -> DataFrame:
-    """doc_id, html; a task holds one document at a time."""
+def _pages(rows: DataFrame, read: Callable[[dict], dict], page: Callable[[list[dict]], str], together: bool) -> DataFrame:
+    """doc_id, html; a task holds one document at a time.  together: rows of a document lie one after the other, so nothing is shuffled."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, held = None, []
@@ -261,18 +261,18 @@ def _pages(rows: DataFrame, read: Callable[[dict], dict], page: Callable[[list[d
         if out:
             yield batch_of()
 
-    return by_document(rows, "ord").mapInArrow(apply, "doc_id long, html string")
+    return (rows if together else by_document(rows, "ord")).mapInArrow(apply, "doc_id long, html string")
 
 
-def unit_pages(units: DataFrame) -> DataFrame:
-    return _pages(units, evidence.unit_of, units_page)
+def unit_pages(units: DataFrame, together: bool = False) -> DataFrame:
+    return _pages(units, evidence.unit_of, units_page, together)
 
 
-def chunk_pages(chunks: DataFrame) -> DataFrame:
-    return _pages(chunks, chunk_from, chunks_page)
+def chunk_pages(chunks: DataFrame, together: bool = False) -> DataFrame:
+    return _pages(chunks, chunk_from, chunks_page, together)
 
 
-def evidence_json(units: DataFrame) -> DataFrame:
+def evidence_json(units: DataFrame, together: bool = False) -> DataFrame:
     """doc_id, json: a document's units as one JSON array; null and empty optional fields of tables and diagrams left out."""
 
     def bare(value: Any) -> Any:
@@ -283,4 +283,4 @@ def evidence_json(units: DataFrame) -> DataFrame:
             return {k: bare(v) for k, v in value.items() if k not in skip}
         return [bare(x) for x in value] if isinstance(value, list) else value
 
-    return _pages(units, evidence.unit_of, lambda us: evidence.dumped(bare(us))).withColumnRenamed("html", "json")
+    return _pages(units, evidence.unit_of, lambda us: evidence.dumped(bare(us)), together).withColumnRenamed("html", "json")

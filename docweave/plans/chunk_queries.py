@@ -47,7 +47,7 @@ def _odd_even(window: list[dict], most: int) -> list[dict]:
 
 
 def plan_row_repairs(spark, sf_dir):
-    rows = chunking.chunks(_tables(spark, sf_dir), plan=_odd_even)
+    rows = chunking.chunks(_tables(spark, sf_dir), plan=_odd_even, together=True)
     operation = F.from_json(F.get_json_object("metadata", "$.operations[0].row_ranges"), "array<array<bigint>>")
     return rows.select("doc_id", "ord", ranges.label(operation).alias("rows"), F.get_json_object("metadata", "$._fallback_reason").isNotNull().cast("int").alias("repaired"))
 
@@ -101,7 +101,7 @@ def contiguous_rows(spark, sf_dir):
 def table_splits(spark, sf_dir):
     """Tables of nations and parts cut by a small token budget: every row once."""
     limits = chunking.Limits(target_tokens=60, most_tokens=80)
-    rows = chunking.chunks(_tables(spark, sf_dir), limits)
+    rows = chunking.chunks(_tables(spark, sf_dir), limits, together=True)
     cut = F.from_json(F.get_json_object("metadata", "$.operations[0].row_ranges"), "array<array<bigint>>")
     each = rows.select("doc_id", F.explode_outer(cut).alias("r")).select("doc_id", F.coalesce(F.col("r")[0], F.lit(0)).alias("a"), F.coalesce(F.col("r")[1], F.lit(0)).alias("z"))
     return each.groupBy("doc_id").agg(F.sum(F.when(F.col("a") > 0, F.col("z") - F.col("a") + 1).otherwise(0)).alias("rows_cut"), F.count("*").alias("n_chunks")).where("rows_cut > 0").select("doc_id", "rows_cut")
@@ -115,17 +115,17 @@ def text_enrichment(spark, sf_dir):
 
 def chunk_enrichment(spark, sf_dir):
     """Parsed, chunked and enriched: what a search index takes."""
-    rows = enrichment.enrich(chunking.chunks(_tables(spark, sf_dir)))
+    rows = enrichment.enrich(chunking.chunks(_tables(spark, sf_dir), together=True))
     return rows.select("doc_id", "id", "summary", F.get("questions", F.lit(0)).alias("question"), F.get_json_object("metadata", "$._enrichment.method").alias("method"))
 
 
 def question_tables(spark, sf_dir):
     """A table of questions and answers per region."""
 
-    pages = synthetic.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(synthetic.joined("concat('<tr><td>', n_nationkey, '</td><td>Where is ', n_name, '.</td><td>here</td></tr>')", "n_nationkey").alias("rows"))
+    pages = synthetic.members(spark, sf_dir).groupBy("n_regionkey").agg(synthetic.joined("concat('<tr><td>', n_nationkey, '</td><td>Where is ', n_name, '.</td><td>here</td></tr>')", "n_nationkey").alias("rows"))
     docs = pages.select(F.col("n_regionkey").cast("long").alias("doc_id"), F.lit(".html").alias("suffix"), F.concat(F.lit("<table><caption>FAQ</caption><tr><th>연번</th><th>질의</th><th>답변</th></tr>"), "rows", F.lit("</table>")).alias("content"))
     units = evidence.units(evidence.read(docs, default_readers()))
-    return enrichment.enrich(chunking.chunks(units)).select("doc_id", "summary", F.array_join("questions", " ").alias("questions"))
+    return enrichment.enrich(chunking.chunks(units, together=True)).select("doc_id", "summary", F.array_join("questions", " ").alias("questions"))
 
 
 def _misnamed(window: list[dict], most: int) -> list[dict]:
@@ -182,3 +182,4 @@ ORACLES["chunk_enrichment"] = """WITH r AS (SELECT l_orderkey AS doc_id, row_num
 ORACLES["text_enrichment"] = """WITH f AS (SELECT doc_id, text, trim(regexp_replace(text, '[\\t-\\r ]+', ' ', 'g')) AS flat, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\\t-\\r ]+', ' ', 'g'))), lambda x: x <> '')[1] AS top FROM documents),
     s AS (SELECT *, CASE WHEN regexp_matches(flat, '[.!?。！？] ') THEN regexp_extract(flat, '^(.*?[.!?。！？]) ', 1) ELSE flat END AS s, CASE WHEN top IS NULL THEN '이 내용' WHEN length(top) <= 80 THEN top ELSE rtrim(left(top, 79)) || '…' END AS topic, regexp_extract_all(text, '[0-9A-Za-z가-힣]{2,}') AS w FROM f)
     SELECT doc_id, CASE WHEN length(s) <= 300 THEN s ELSE rtrim(left(s, 299)) || '…' END AS summary, array_to_string(list_slice(list_filter(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: lower(x) NOT IN ('table', 'rows', 'columns', 'context', 'row', 'col', 'chunk')), 1, 8), ' ') AS keywords, topic || '의 핵심 내용은 무엇인가요?' AS question FROM s"""
+ORACLES["question_tables"] = synthetic.grouped_sql(ORACLES["question_tables"])

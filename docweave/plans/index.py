@@ -24,7 +24,11 @@ class Indexed:
     chunks: DataFrame
 
     def pages(self) -> DataFrame:
-        return rendering.chunk_pages(self.chunks)
+        return rendering.chunk_pages(self.chunks, together=True)
+
+
+def _as_it_is(df: DataFrame) -> DataFrame:
+    return df
 
 
 def index(
@@ -35,7 +39,7 @@ def index(
     plan: chunking.Plan | None = None,
     decide: chunking.Merge | None = None,
     enrich: enrichment.Enrich | None = None,
-    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    keep: Callable[[DataFrame], DataFrame] = _as_it_is,
 ) -> Indexed:
     """Reads docs (doc_id, suffix, content), puts their assets where put says, chunks and enriches their units.
 
@@ -48,7 +52,7 @@ def index(
         hashes = docs.select("doc_id", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
         stored = keep(assets.stored(evidence.assets(found), hashes, put))
         units = assets.resolved(units, stored)
-    made = enrichment.enrich(chunking.chunks(units, limits, plan, decide), enrich)
+    made = enrichment.enrich(chunking.chunks(units, limits, plan, decide, together=put is None and keep is _as_it_is), enrich)
     return Indexed(found, units, stored, evidence.warnings(found), made)
 
 

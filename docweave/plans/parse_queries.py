@@ -81,12 +81,12 @@ def asset_orphans(spark, sf_dir):
 
 
 def text_units(spark, sf_dir):
-    return markdown.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "ord", "type", "section", "n_lines", F.md5("content").alias("content_md5"))
+    return markdown.scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "ord", "type", "section", "n_lines", F.md5("content").alias("content_md5"))
 
 
 def _markdown(spark, sf_dir) -> DataFrame:
-    nations = synthetic.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(synthetic.joined("concat('| ', n_nationkey, ' | ', n_name, ' |\n')", "n_nationkey").alias("rows"))
-    both = nations.join(synthetic.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nations = synthetic.members(spark, sf_dir).groupBy("n_regionkey").agg(synthetic.joined("concat('| ', n_nationkey, ' | ', n_name, ' |\n')", "n_nationkey").alias("rows"))
+    both = nations.join(synthetic.groups(spark, sf_dir), F.col("n_regionkey") == F.col("r_regionkey"))
     return both.select(F.col("r_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("# "), "r_name", F.lit("\nabout it\n\n| key | name |\n|---|---|\n"), "rows", F.lit("\nend\n")).alias("text"))
 
 
@@ -115,9 +115,9 @@ def mixed_formats(spark, sf_dir):
     docs = None
     for n, made in enumerate((synthetic.nested_pages, synthetic.hwpx_regions, synthetic.hwp5_regions, synthetic.layout_regions)):
         own = made(spark, sf_dir)
-        own = own.select((F.col("doc_id") + 100 * n).alias("doc_id"), "suffix", F.col("content").cast("binary").alias("content"))
+        own = own.select((F.col("doc_id") + 10_000_000 * n).alias("doc_id"), "suffix", F.col("content").cast("binary").alias("content"))
         docs = own if docs is None else docs.union(own)
-    return evidence.units(_read(docs)).groupBy((F.col("doc_id") / 100).cast("int").alias("format_no"), "type").agg(F.count("*").alias("n"))
+    return evidence.units(_read(docs)).groupBy((F.col("doc_id") / 10_000_000).cast("int").alias("format_no"), "type").agg(F.count("*").alias("n"))
 
 
 def table_profiles(spark, sf_dir):
@@ -137,10 +137,11 @@ def corpus_summary(spark, sf_dir):
 
 
 def review_rollup(spark, sf_dir):
-    found = written(_read(synthetic.image_pages(spark, sf_dir)))
-    flags = profiles.review_flags(profiles.document_summaries(evidence.units(found), evidence.assets(found), evidence.warnings(found)))
+    docs = synthetic.image_pages(spark, sf_dir)
+    found = written(_read(docs))
+    flags = profiles.review_flags(profiles.document_summaries(evidence.units(found), evidence.assets(found), evidence.warnings(found), docs))
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("size"), F.col("p_size") % 3).alias("band"))
-    results = parts.join(flags, "doc_id", "left").select("doc_id", "band", F.when(F.col("flags").isNull(), "parse_error").otherwise("ok").alias("status"), F.coalesce("flags", F.lit("")).alias("flags"))
+    results = parts.join(flags, "doc_id").select("doc_id", "band", F.lit("ok").alias("status"), "flags")
     return profiles.band_rollup(results).select(F.coalesce("band", F.lit("all")).alias("band"), "measure", "n")
 
 
@@ -153,8 +154,8 @@ ORACLES = {
     "html_table_cells": f"""WITH r AS ({_ORDER_ROWS}) SELECT doc_id, row_index, column_id, text, 1 AS rowspan FROM (
         SELECT doc_id, row_index, 'c1' AS column_id, l_linenumber::VARCHAR AS text FROM r UNION ALL SELECT doc_id, row_index, 'c2', l_partkey::VARCHAR FROM r
         UNION ALL SELECT doc_id, row_index, 'c3', l_quantity::INT::VARCHAR FROM r UNION ALL SELECT doc_id, row_index, 'c4', l_returnflag FROM r)""",
-    "html_rowspans": """WITH r AS (SELECT row_number() OVER (ORDER BY r_regionkey, n_nationkey)::INT AS row_index, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS k, (count(*) OVER (PARTITION BY r_regionkey))::INT AS n, * FROM nation JOIN region ON n_regionkey = r_regionkey)
-        SELECT 1::BIGINT AS doc_id, row_index, 'c1' AS column_id, r_name AS text, n AS rowspan FROM r WHERE k = 1 UNION ALL SELECT 1, row_index, 'c2', n_name, 1 FROM r""",
+    "html_rowspans": """WITH r AS (SELECT row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey)::INT AS row_index, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS k, (count(*) OVER (PARTITION BY r_regionkey))::INT AS n, * FROM nation JOIN region ON n_regionkey = r_regionkey)
+        SELECT r_regionkey::BIGINT AS doc_id, row_index, 'c1' AS column_id, r_name AS text, n AS rowspan FROM r WHERE k = 1 UNION ALL SELECT r_regionkey, row_index, 'c2', n_name, 1 FROM r""",
     "html_table_source": f"""WITH r AS ({_ORDER_ROWS}) SELECT doc_id, 'b1' AS id, 'table' AS type, 'section: Order ' || doc_id || chr(10) || 'caption: Lines' || chr(10) || 'columns: line | part | quantity | flag' || chr(10) ||
         string_agg('row ' || row_index || ': line=' || l_linenumber || '; part=' || l_partkey || '; quantity=' || l_quantity::INT || '; flag=' || l_returnflag, chr(10) ORDER BY row_index) AS source_text FROM r GROUP BY doc_id""",
     "html_nested_tables": """SELECT r_regionkey::BIGINT AS doc_id, 'b1' AS node, '' AS parent, 0 AS depth, 'table' AS type, 1 AS n_rows, 2 AS n_columns FROM region
@@ -183,5 +184,7 @@ ORACLES = {
         UNION ALL SELECT p_partkey + 100000000, 1, 0, 1, 0, 0, 1, strlen(p_name), 0, '' FROM part WHERE p_partkey % 4 = 0""",
     "corpus_summary": """WITH d AS (SELECT count(DISTINCT l_orderkey) AS docs, count(*) AS n FROM lineitem) SELECT m AS measure, v::BIGINT AS total FROM d, LATERAL (VALUES ('documents', docs), ('n_text', 0), ('n_table', docs), ('n_image', 0), ('n_diagram', 0), ('total_cells', n * 4), ('total_nodes', 0), ('total_connectors', 0), ('total_edges', 0), ('asset_count', 0)) AS x(m, v)""",
     "review_rollup": """WITH r AS (SELECT 'size' || p_size % 3 AS band, p_partkey % 4 = 0 AS ok FROM part), g AS (SELECT band, count(*) AS n, count(*) FILTER (NOT ok) AS f, count(*) FILTER (ok) AS k FROM r GROUP BY ROLLUP (band))
-        SELECT coalesce(band, 'all') AS band, m AS measure, v AS n FROM g, LATERAL (VALUES ('documents', n), ('failed', f), ('flag:low_text_with_assets', k)) AS x(m, v)""",
+        SELECT coalesce(band, 'all') AS band, m AS measure, v AS n FROM g, LATERAL (VALUES ('documents', n), ('failed', 0), ('flag:low_text_with_assets', k), ('flag:no_units', f)) AS x(m, v)""",
 }
+for _name in ("html_rowspans", "html_nested_tables", "markdown_units", "markdown_cells", "hwpx_cells", "hwp5_cells", "layout_cells", "mixed_formats"):
+    ORACLES[_name] = synthetic.grouped_sql(ORACLES[_name])

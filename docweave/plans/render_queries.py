@@ -17,23 +17,23 @@ def _units(spark, sf_dir) -> DataFrame:
 
 def unit_pages(spark, sf_dir):
     html = F.col("html")
-    return rendering.unit_pages(_units(spark, sf_dir)).select("doc_id", F.regexp_count(html, F.lit("<tr>")).cast("long").alias("rows"), F.regexp_count(html, F.lit("<td>")).cast("long").alias("cells"))
+    return rendering.unit_pages(_units(spark, sf_dir), together=True).select("doc_id", F.regexp_count(html, F.lit("<tr>")).cast("long").alias("rows"), F.regexp_count(html, F.lit("<td>")).cast("long").alias("cells"))
 
 
 def chunk_pages(spark, sf_dir):
-    pages = rendering.chunk_pages(enrichment.enrich(chunking.chunks(_units(spark, sf_dir))))
+    pages = rendering.chunk_pages(enrichment.enrich(chunking.chunks(_units(spark, sf_dir), together=True)), together=True)
     return pages.select("doc_id", F.regexp_count("html", F.lit('class="chunk"')).cast("long").alias("chunks"), F.regexp_count("html", F.lit("<td>")).cast("long").alias("cells"))
 
 
 def evidence_json(spark, sf_dir):
-    made = rendering.evidence_json(_units(spark, sf_dir)).select("doc_id", F.from_json("json", "array<struct<id:string,type:string,content:struct<rows:array<struct<index:int>>>>>").alias("j"))
+    made = rendering.evidence_json(_units(spark, sf_dir), together=True).select("doc_id", F.from_json("json", "array<struct<id:string,type:string,content:struct<rows:array<struct<index:int>>>>>").alias("j"))
     return made.select("doc_id", F.size("j").alias("units"), F.size(F.col("j")[0]["content"]["rows"]).alias("rows"))
 
 
 def scan_status(spark, sf_dir):
     """Good and broken documents side by side: each has its status, and the job goes on."""
-    made = synthetic.hwpx_regions(spark, sf_dir).union(synthetic.hwp5_regions(spark, sf_dir).selectExpr("doc_id + 100", "suffix", "content"))
-    broken = made.select((F.col("doc_id") + 1000).alias("doc_id"), "suffix", F.substring("content", 10, 100).alias("content"))
+    made = synthetic.hwpx_regions(spark, sf_dir).union(synthetic.hwp5_regions(spark, sf_dir).selectExpr("doc_id + 100000000", "suffix", "content"))
+    broken = made.select((F.col("doc_id") + 1000000000).alias("doc_id"), "suffix", F.substring("content", 10, 100).alias("content"))
     return scan.scan(made.union(broken), default_readers()).select("doc_id", "status", "n_units", "unit_types")
 
 
@@ -74,9 +74,11 @@ ORACLES = {
     "unit_pages": "SELECT l_orderkey AS doc_id, count(*) + 1 AS \"rows\", 4 * count(*) AS cells FROM lineitem GROUP BY 1",
     "chunk_pages": "SELECT l_orderkey AS doc_id, 1::BIGINT AS chunks, 4 * count(*) AS cells FROM lineitem GROUP BY 1",
     "evidence_json": "SELECT l_orderkey AS doc_id, 1 AS units, count(*)::INT AS \"rows\" FROM lineitem GROUP BY 1",
-    "scan_status": """SELECT DISTINCT n_regionkey + k AS doc_id, s AS status, u AS n_units, t AS unit_types FROM nation, (VALUES (0::BIGINT, 'ok', 2, 'table,text'), (100, 'ok', 2, 'table,text'), (1000, 'parse_error', 0, ''), (1100, 'skipped', 0, '')) AS v(k, s, u, t)""",
+    "scan_status": """SELECT DISTINCT n_regionkey + k AS doc_id, s AS status, u AS n_units, t AS unit_types FROM nation, (VALUES (0::BIGINT, 'ok', 2, 'table,text'), (100000000, 'ok', 2, 'table,text'), (1000000000, 'parse_error', 0, ''), (1100000000, 'skipped', 0, '')) AS v(k, s, u, t)""",
     "diagram_profiles": """WITH g AS (SELECT n_regionkey::BIGINT AS doc_id, count(*) AS n FROM nation GROUP BY 1)
-        SELECT doc_id, n AS nodes, n AS bbox_nodes, n - 1 AS connectors, n - 1 AS edges, 0::BIGINT AS labeled_edges, n - 1 AS source_relation_lines, 1.0::DOUBLE AS bbox_node_ratio, (n - 1) * 11 AS score, 'diagram_connectors,inferred_edges,unlabeled_edges' AS flags FROM g""",
+        SELECT doc_id, n AS nodes, n AS bbox_nodes, n - 1 AS connectors, n - 1 AS edges, 0::BIGINT AS labeled_edges, n - 1 AS source_relation_lines, 1.0::DOUBLE AS bbox_node_ratio, (n - 1) * 11 AS score, 'diagram_connectors,inferred_edges,unlabeled_edges' || CASE WHEN n > 10 THEN ',many_connectors,many_inferred_edges' ELSE '' END AS flags FROM g""",
     "table_outliers": """WITH r AS (SELECT o_orderkey % 20 AS doc_id, c_mktsegment, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), g AS (SELECT doc_id, count(*) AS n FROM r GROUP BY 1)
         SELECT doc_id, 1 AS rank, 60::BIGINT AS columns, n * 60 AS cells, n * 57 AS blank_cells, 60 + n * 3 AS score, 'wide_table' || CASE WHEN n * 60 >= 1000 THEN ',large_table' ELSE '' END || CASE WHEN n * 60 >= 50 THEN ',sparse_table' ELSE '' END AS flags FROM g""",
 }
+for _name in ("scan_status", "diagram_profiles"):
+    ORACLES[_name] = synthetic.grouped_sql(ORACLES[_name])

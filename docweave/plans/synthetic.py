@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import zipfile
 import zlib
@@ -21,6 +22,25 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def members(spark, sf_dir: str) -> DataFrame:
+    """Sixteen parts or fewer to a group: n_regionkey (of the group), n_nationkey, n_name."""
+    return table(spark, sf_dir, "part").selectExpr("cast(p_partkey div 16 as int) AS n_regionkey", "p_partkey AS n_nationkey", "concat(p_name, ' ', p_brand) AS n_name")
+
+
+def groups(spark, sf_dir: str) -> DataFrame:
+    return members(spark, sf_dir).select(F.col("n_regionkey").alias("r_regionkey"), F.concat(F.lit("Group "), "n_regionkey").alias("r_name")).distinct()
+
+
+#: The same for SQL.
+MEMBERS = "(SELECT (p_partkey // 16)::INT AS n_regionkey, p_partkey AS n_nationkey, p_name || ' ' || p_brand AS n_name FROM part)"
+GROUPS = "(SELECT DISTINCT (p_partkey // 16)::INT AS r_regionkey, 'Group ' || p_partkey // 16 AS r_name FROM part)"
+
+
+def grouped_sql(sql: str) -> str:
+    """sql about nation and region, put to members and groups."""
+    return re.sub(r"\bregion\b(?! AS)", GROUPS, re.sub(r"\bnation\b(?! AS)", MEMBERS, sql))
+
+
 def joined(c: str, order: str):
     """The values of a group in order, one after the other."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.expr(c).alias("v")))), lambda x: x["v"]), "")
@@ -35,18 +55,18 @@ def order_pages(spark, sf_dir: str) -> DataFrame:
 
 
 def region_page(spark, sf_dir: str) -> DataFrame:
-    """One page: each region's cell spans the rows of its nations."""
-    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    """A page per group: its cell spans the rows of its members."""
+    both = members(spark, sf_dir).join(groups(spark, sf_dir), F.col("n_regionkey") == F.col("r_regionkey"))
     ranked = both.selectExpr("*", "row_number() over (partition by r_regionkey order by n_nationkey) as k", "count(*) over (partition by r_regionkey) as n")
     row = "concat('<tr>', case when k = 1 then concat('<td rowspan=\"', n, '\">', r_name, '</td>') else '' end, '<td>', n_name, '</td></tr>')"
-    html = ranked.withColumn("at", F.expr("r_regionkey * 1000 + k")).groupBy(F.lit(1).cast("long").alias("doc_id")).agg(joined(row, "at").alias("rows"))
+    html = ranked.groupBy(F.col("r_regionkey").cast("long").alias("doc_id")).agg(joined(row, "k").alias("rows"))
     return html.select("doc_id", F.lit(".html").alias("suffix"), F.concat(F.lit("<table><tr><th>region</th><th>nation</th></tr>"), "rows", F.lit("</table>")).alias("content"))
 
 
 def nested_pages(spark, sf_dir: str) -> DataFrame:
     """A page per region: a cell that holds a table of its nations."""
-    inner = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(joined("concat('<tr><td>', n_nationkey, '</td><td>', n_name, '</td></tr>')", "n_nationkey").alias("rows"))
-    both = table(spark, sf_dir, "region").join(inner, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    inner = members(spark, sf_dir).groupBy("n_regionkey").agg(joined("concat('<tr><td>', n_nationkey, '</td><td>', n_name, '</td></tr>')", "n_nationkey").alias("rows"))
+    both = groups(spark, sf_dir).join(inner, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     html = F.concat(F.lit("<table><tr><th>region</th><th>nations</th></tr><tr><td>"), "r_name", F.lit("</td><td>in it<table><tr><th>key</th><th>name</th></tr>"), F.coalesce("rows", F.lit("")), F.lit("</table></td></tr></table>"))
     return both.select(F.col("r_regionkey").cast("long").alias("doc_id"), F.lit(".htm").alias("suffix"), html.alias("content"))
 
@@ -70,8 +90,8 @@ def _made(rows: DataFrame, suffix: str, build: Callable[[dict], bytes]) -> DataF
 
 def _nations(spark, sf_dir: str) -> DataFrame:
     each = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
-    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(each.alias("nations"))
-    return rows.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_regionkey").cast("long").alias("doc_id"), "r_name", "nations")
+    rows = members(spark, sf_dir).groupBy("n_regionkey").agg(each.alias("nations"))
+    return rows.join(groups(spark, sf_dir), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_regionkey").cast("long").alias("doc_id"), "r_name", "nations")
 
 
 def hwpx_regions(spark, sf_dir: str) -> DataFrame:

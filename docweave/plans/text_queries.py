@@ -33,7 +33,7 @@ def text_previews(spark, sf_dir):
 
 def fallback_questions(spark, sf_dir):
     text = F.col("text")
-    return _documents(spark, sf_dir).select("doc_id", t.question_about(F.left(text, F.lit(80))).alias("question"), t.clean_question(F.left(text, F.lit(70))).alias("cleaned"))
+    return _documents(spark, sf_dir).select("doc_id", t.question_about(F.left(text, F.lit(80))).alias("question"), t.clean_question(text).alias("cleaned"))
 
 
 _NAMES = "concat('group', p_size, '/', p_name, '(', p_brand, ') [x] 제 2020 - ', p_partkey, ' 호_', p_type, '+2021-03-1', p_partkey % 10, '.hwpx')"
@@ -83,8 +83,12 @@ _FORM = r"[\[(][^\])]*별지\s*(제\s*)?[0-9]{1,9}([‐‑–—-][0-9]{1,9})?\s
 
 ORACLES = {
     "token_estimate": r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]{1,4}|[^\s\x0bA-Za-z0-9_]'))::BIGINT AS tokens FROM documents",
-    "keywords": f"""SELECT doc_id, array_to_string(list_slice({_DISTINCT.format(_WORDS)}, 1, 8), ' ') AS keywords,
-        array_to_string(list_slice(list_filter({_DISTINCT.format(_WORDS)}, lambda x: lower(x) NOT IN ('table', 'rows', 'columns', 'context', 'row', 'col', 'chunk')), 1, 8), ' ') AS keywords_kept FROM documents""",
+    "keywords": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w), f AS (SELECT doc_id, word, min(i) AS i FROM u GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f),
+        s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f WHERE lower(word) NOT IN ('table', 'rows', 'columns', 'context', 'row', 'col', 'chunk'))
+        SELECT doc_id, coalesce((SELECT string_agg(word, ' ' ORDER BY k) FROM r WHERE r.doc_id = w.doc_id AND k <= 8), '') AS keywords,
+        coalesce((SELECT string_agg(word, ' ' ORDER BY k) FROM s WHERE s.doc_id = w.doc_id AND k <= 8), '') AS keywords_kept FROM w""",
     "first_sentence": f"""WITH f AS (SELECT doc_id, {_flat('text')} AS flat FROM documents),
         s AS (SELECT doc_id, CASE WHEN regexp_matches(flat, '[.!?。！？] ') THEN regexp_extract(flat, '^(.*?[.!?。！？]) ', 1) ELSE flat END AS s FROM f)
         SELECT doc_id, CASE WHEN length(s) <= 300 THEN s ELSE rtrim(left(s, 299)) || '…' END AS summary FROM s""",
@@ -95,7 +99,7 @@ ORACLES = {
         CASE WHEN length(text) <= 60 THEN text ELSE regexp_replace(left(text, 59), '{_WS}+$', '') || '…' END AS clean_preview,
         left(replace(bare, chr(10), ' '), 500) AS summary, coalesce(left(ls[1], 100), '') AS title,
         coalesce(CASE WHEN length(top) <= 80 THEN top ELSE rtrim(left(top, 79)) || '…' END, '') AS topic FROM m""",
-    "fallback_questions": f"""WITH b AS (SELECT doc_id, {_stripped('left(text, 80)')} AS base, {_flat('left(text, 70)')} AS flat FROM documents)
+    "fallback_questions": f"""WITH b AS (SELECT doc_id, {_stripped('left(text, 80)')} AS base, {_flat('text')} AS flat FROM documents)
         SELECT doc_id, CASE WHEN base = '' THEN '이 청크' ELSE base END || '에 대해 무엇을 알 수 있나요?' AS question,
         CASE WHEN flat = '' OR right(flat, 1) IN ('?', '？') THEN flat ELSE rtrim(flat, '.。') || '?' END AS cleaned FROM b""",
     "file_families": f"""WITH k AS (SELECT p_partkey, {_NAMES} AS key FROM part),

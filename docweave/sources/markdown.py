@@ -1,14 +1,18 @@
-"""Plain text and Markdown, as one SQL plan.
+"""Plain text and Markdown.
 
-Lines are numbered, a heading line ends the block before it and names the
-section of all that follows, lines that begin with a bar make a table, other
-lines that aren't blank make a paragraph.  Blocks are runs of one kind, found
-by summing the places where a new one begins.
+A heading line ends the block before it and names the section of all that
+follows, lines that begin with a bar make a table, other lines that aren't
+blank make a paragraph.  Blocks are runs of one kind.  A text is folded line
+by line where it lies, so nothing is shuffled and rows of one id keep apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import text as t
@@ -26,17 +30,44 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     A line is classed by what is left of it after stripping, but a heading's
     marks only go where the line begins with them.
     """
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(t.lines(F.coalesce(F.col(text_col), F.lit("")))).alias("n", "line"))
-    bare = t.strip(F.col("line"))
-    kind = F.when(bare == "", "blank").when(F.startswith(bare, F.lit("#")), "heading").when(F.startswith(bare, F.lit("|")), "table").otherwise("text")
-    w = Window.partitionBy("doc_id").orderBy("n")
-    marked = lines.withColumns({"bare": bare, "kind": kind})
-    section = F.last(F.when(F.col("kind") == "heading", t.strip(F.regexp_replace("line", "^#+", ""))), ignorenulls=True).over(w)
-    begins = (F.col("kind") != F.lag("kind").over(w)) | F.lag("kind").over(w).isNull()
-    blocks = marked.withColumns({"section": section, "begins": begins.cast("int")}).withColumn("block", F.sum("begins").over(w)).where("kind in ('table', 'text')")
-    body = F.expr("listagg(bare, '\n') within group (order by n)")
-    made = blocks.groupBy("doc_id", "block", "kind").agg(F.first("section").alias("section"), body.alias("content"), F.count("*").alias("n_lines"))
-    return made.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("block")).alias("ord"), F.col("kind").alias("type"), F.coalesce("section", F.lit("")).alias("section"), "content", "n_lines")
+    kind = docs.schema[id_col].dataType
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for row in blocks(text or ""):
+                    at.append(i)
+                    rows.append(row)
+                if len(rows) >= 10_000:
+                    yield _batch(batch, at, rows)
+                    at, rows = [], []
+            if rows:
+                yield _batch(batch, at, rows)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(apply, f"doc_id {kind.simpleString()}, ord int, type string, section string, content string, n_lines long")
+
+
+def _batch(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], names=["doc_id", "ord", "type", "section", "content", "n_lines"])
+
+
+def blocks(text: str) -> Iterator[tuple[int, str, str, str, int]]:
+    """ord, type, section, content and number of lines of each unit of a text."""
+    section, kind, held, n = "", None, [], 0
+    for line in [*text.splitlines(), ""]:
+        bare = line.strip()
+        own = "heading" if bare.startswith("#") else "table" if bare.startswith("|") else "text" if bare else None
+        if own != kind and held:
+            n += 1
+            yield n, kind, section, "\n".join(held), len(held)
+            held = []
+        kind = own
+        if own == "heading":
+            section = re.sub("^#+", "", line).strip()
+        elif own:
+            held.append(bare)
 
 
 def table_cells(scanned: DataFrame) -> DataFrame:

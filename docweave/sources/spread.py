@@ -16,6 +16,6 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def by_document(df: DataFrame, *order: str, key: str = "doc_id") -> DataFrame:
-    """Each document's rows together and in order, in spark.sql.shuffle.partitions tasks: few bytes can be much work, so they are not merged."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Each document's rows together and in order, in as many tasks as df has partitions and spark.sql.shuffle.partitions at least: few bytes can be much work, so they are not merged."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     return df.repartition(n, key).sortWithinPartitions(key, *order)
