@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("text_queries", "corpus_queries", "parse_queries", "chunk_queries", "geometry_queries", "render_queries")
+_MODULES = ("text_queries", "corpus_queries", "parse_queries", "chunk_queries", "geometry_queries", "render_queries", "repair_queries")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
