@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.operators import chunking, enrichment, profiles, rendering, scan
+from docweave.operators import assets, chunking, enrichment, profiles, rendering, scan
 from docweave.plans import synthetic
+from docweave.plans.parse_queries import _ORDER_ROWS
 from docweave.sources import evidence
 from docweave.sources.registry import default_readers
 
@@ -17,12 +18,32 @@ def _units(spark, sf_dir) -> DataFrame:
 
 def unit_pages(spark, sf_dir):
     html = F.col("html")
-    return rendering.unit_pages(_units(spark, sf_dir), together=True).select("doc_id", F.regexp_count(html, F.lit("<tr>")).cast("long").alias("rows"), F.regexp_count(html, F.lit("<td>")).cast("long").alias("cells"))
+    return rendering.unit_pages(_units(spark, sf_dir), together=True).select("doc_id", F.regexp_count(html, F.lit("<tr>")).cast("long").alias("rows"), F.regexp_count(html, F.lit("<td>")).cast("long").alias("cells"), _body(html))
+
+
+def _body(html) -> Column:
+    """The MD5 of what a page shows."""
+    return F.md5(F.regexp_extract(html, "(?s)<main>(.*)</main>", 1)).alias("body_md5")
+
+
+def span_pages(spark, sf_dir):
+    """Cells that span rows, as HTML."""
+    pages = rendering.unit_pages(evidence.units(evidence.read(synthetic.region_page(spark, sf_dir), default_readers())), together=True)
+    return pages.select("doc_id", _body(F.col("html")))
+
+
+def figure_pages(spark, sf_dir):
+    """Resolved images, as HTML."""
+    docs = synthetic.image_pages(spark, sf_dir)
+    found = evidence.read(docs, default_readers())
+    named = docs.select("doc_id", F.sha2(F.encode("content", "UTF-8"), 256).alias("sha256"))
+    kept = assets.stored(evidence.assets(found), named, lambda key, data, mime: f"s3://evidence/{key[65:]}")
+    return rendering.unit_pages(assets.resolved(evidence.units(found), kept)).select("doc_id", _body(F.col("html")))
 
 
 def chunk_pages(spark, sf_dir):
     pages = rendering.chunk_pages(enrichment.enrich(chunking.chunks(_units(spark, sf_dir), together=True)), together=True)
-    return pages.select("doc_id", F.regexp_count("html", F.lit('class="chunk"')).cast("long").alias("chunks"), F.regexp_count("html", F.lit("<td>")).cast("long").alias("cells"))
+    return pages.select("doc_id", F.regexp_count("html", F.lit('class="chunk"')).cast("long").alias("chunks"), F.regexp_count("html", F.lit("<td>")).cast("long").alias("cells"), F.md5(F.regexp_extract("html", "(?s)</details>(.*)</section></main>", 1)).alias("body_md5"))
 
 
 def evidence_json(spark, sf_dir):
@@ -68,11 +89,20 @@ def table_outliers(spark, sf_dir):
     return found.select("doc_id", "rank", "columns", "cells", "blank_cells", "score", "flags")
 
 
-QUERIES = {f.__name__: f for f in (unit_pages, chunk_pages, evidence_json, scan_status, diagram_profiles, table_outliers)}
+QUERIES = {f.__name__: f for f in (unit_pages, chunk_pages, span_pages, figure_pages, evidence_json, scan_status, diagram_profiles, table_outliers)}
 
+_ORDER_PAGES = f"""WITH r AS ({_ORDER_ROWS}), o AS (SELECT doc_id, count(*) AS n, 'section: Order ' || doc_id || chr(10) || 'caption: Lines' || chr(10) || 'columns: line | part | quantity | flag' || chr(10) ||
+        string_agg('row ' || row_index || ': line=' || l_linenumber || '; part=' || l_partkey || '; quantity=' || l_quantity::INT || '; flag=' || l_returnflag, chr(10) ORDER BY row_index) AS said,
+        '<table class="evidence-table"><caption>Lines</caption><thead><tr><th>line</th><th>part</th><th>quantity</th><th>flag</th></tr></thead><tbody>' ||
+        string_agg('<tr><td>' || l_linenumber || '</td><td>' || l_partkey || '</td><td>' || l_quantity::INT || '</td><td>' || l_returnflag || '</td></tr>', '' ORDER BY row_index) || '</tbody></table>' AS html FROM r GROUP BY doc_id)"""
 ORACLES = {
-    "unit_pages": "SELECT l_orderkey AS doc_id, count(*) + 1 AS \"rows\", 4 * count(*) AS cells FROM lineitem GROUP BY 1",
-    "chunk_pages": "SELECT l_orderkey AS doc_id, 1::BIGINT AS chunks, 4 * count(*) AS cells FROM lineitem GROUP BY 1",
+    "unit_pages": f"""{_ORDER_PAGES} SELECT doc_id, n + 1 AS "rows", 4 * n AS cells, md5('<h1>Evidence units</h1><section class="unit"><header><code>b1</code> table</header><pre>' || said || '</pre>' || html || '</section>') AS body_md5 FROM o""",
+    "chunk_pages": f"""{_ORDER_PAGES} SELECT doc_id, 1::BIGINT AS chunks, 4 * n AS cells, md5('<p class="diagnostic">fallback: chunk plan must be a list</p><pre>' || said || '</pre><div class="evidence-item">' || html || '</div>') AS body_md5 FROM o""",
+    "span_pages": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, count(*) OVER (PARTITION BY n_regionkey) AS n FROM {synthetic.MEMBERS} JOIN {synthetic.GROUPS} ON n_regionkey = r_regionkey)
+        SELECT n_regionkey::BIGINT AS doc_id, md5('<h1>Evidence units</h1><section class="unit"><header><code>b1</code> table</header><pre>columns: region | nation' || chr(10) || string_agg('row ' || k || ': ' || CASE WHEN k = 1 THEN 'region=' || r_name || '; ' ELSE '' END || 'nation=' || n_name, chr(10) ORDER BY k)
+        || '</pre><table class="evidence-table"><thead><tr><th>region</th><th>nation</th></tr></thead><tbody>' || string_agg('<tr>' || CASE WHEN k > 1 THEN '' WHEN n > 1 THEN '<td rowspan="' || n || '">' || r_name || '</td>' ELSE '<td>' || r_name || '</td>' END || '<td>' || n_name || '</td></tr>', '' ORDER BY k) || '</tbody></table></section>') AS body_md5 FROM r GROUP BY 1""",
+    "figure_pages": """SELECT p_partkey AS doc_id, md5('<h1>Evidence units</h1><section class="unit"><header><code>b1</code> image</header><pre>image: img-0001' || chr(10) || 'caption: ' || p_type || chr(10) || 'alt: part</pre><figure><img src="s3://evidence/assets/img-0001.png" alt="' || p_type || '"><figcaption>' || p_type || '</figcaption><a href="s3://evidence/assets/img-0001.png">s3://evidence/assets/img-0001.png</a><p class="asset-meta">image/png · '
+        || strlen(p_name) || ' bytes · ' || sha256(p_name) || '</p></figure></section>') AS body_md5 FROM part WHERE p_partkey % 4 = 0""",
     "evidence_json": "SELECT l_orderkey AS doc_id, 1 AS units, count(*)::INT AS \"rows\" FROM lineitem GROUP BY 1",
     "scan_status": """SELECT DISTINCT n_regionkey + k AS doc_id, s AS status, u AS n_units, t AS unit_types FROM nation, (VALUES (0::BIGINT, 'ok', 2, 'table,text'), (100000000, 'ok', 2, 'table,text'), (1000000000, 'parse_error', 0, ''), (1100000000, 'skipped', 0, '')) AS v(k, s, u, t)""",
     "diagram_profiles": """WITH g AS (SELECT n_regionkey::BIGINT AS doc_id, count(*) AS n FROM nation GROUP BY 1)

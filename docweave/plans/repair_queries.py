@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 
 from pyspark.sql import DataFrame
@@ -141,6 +142,44 @@ def page_pictures(spark, sf_dir):
     return units.union(evidence.warnings(found).select("doc_id", F.col("ord") + 100, F.lit("warning"), F.col("type")))
 
 
+def _drawn(r: dict) -> list[dict]:
+    """Boxes in a row with lines between neighbours, every other one an arrow; every third document has no lines and so no diagram."""
+    n = 2 + r["doc_id"] % 3
+    chars, rects, lines = [], [], []
+    for i in range(n):
+        x = 40 + 140 * i
+        rects.append({"x0": x, "top": 300, "x1": x + 100, "bottom": 340})
+        chars += [{**c, "x0": c["x0"] - 45 + x, "x1": c["x1"] - 45 + x} for c in said([f"{'abcd'[i]} {r['p_size']}"], 315)]
+        if i:
+            lines.append({"x0": x - 40, "top": 320, "x1": x, "bottom": 320, "arrow": i % 2 == 1})
+    return [page() | {"chars": chars, "rects": rects, "lines": lines if r["doc_id"] % 3 else []}]
+
+
+def page_diagrams(spark, sf_dir):
+    found = _read(spark, sf_dir, _drawn)
+    edges = F.from_json("content", "edges array<struct<from: string, to: string, type: string, confidence: string>>")["edges"]
+    told = F.array_join(F.transform(edges, lambda e: F.concat_ws(" ", e["from"], e["to"], e["type"], e["confidence"])), ",")
+    units = evidence.units(found).select("doc_id", F.col("type").alias("kind"), "source_text", F.coalesce(told, F.lit("")).alias("edges"))
+    return units.union(evidence.warnings(found).select("doc_id", F.lit("warning"), "type", F.lit("")))
+
+
+def _illustrated(r: dict) -> list[dict]:
+    """An image beside a table or within one of its cells, or one too small to count."""
+    where = [[50, 500, 200, 600], [155, 325, 245, 385], [50, 500, 80, 530]][r["doc_id"] % 3]
+    image = dict(zip(("x0", "top", "x1", "bottom"), where)) | {"data": base64.b64encode(PNG + r["p_name"].encode()).decode()}
+    return [page([grid([["key", "picture"], [r["p_brand"], "shown"]], tall=100)], images=[image])]
+
+
+PNG = b"\x89PNG\r\n\x1a\n"
+
+
+def page_images(spark, sf_dir):
+    found = _read(spark, sf_dir, _illustrated)
+    nodes = evidence.nodes(evidence.units(found)).select("doc_id", "node", "type", F.coalesce("asset_id", F.lit("")).alias("detail"))
+    held = evidence.assets(found).select("doc_id", "id", F.concat(F.lit("asset "), "mime"), F.sha2("data", 256))
+    return nodes.union(held).union(evidence.warnings(found).select("doc_id", F.lit("warning"), "type", "severity"))
+
+
 # Chunks of groups of sixteen parts
 
 
@@ -209,7 +248,7 @@ def table_pieces(spark, sf_dir):
     return rows.select("doc_id", "ord", "source_text", F.get_json_object("metadata", "$.operations[0].row_ranges").alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (page_table_repairs, page_table_labels, page_nested_tables, page_text_parts, page_pictures, chunk_cases, chunk_forms, chunk_unit_limits, chunk_headings, chunk_merges, table_pieces)}
+QUERIES = {f.__name__: f for f in (page_table_repairs, page_table_labels, page_nested_tables, page_text_parts, page_pictures, page_diagrams, page_images, chunk_cases, chunk_forms, chunk_unit_limits, chunk_headings, chunk_merges, table_pieces)}
 
 _P = "p AS (SELECT p_partkey AS d, p_partkey::VARCHAR AS key, p_partkey % 8 AS c, p_name AS name, p_brand AS brand, p_type AS kind, p_size, lpad(p_size::VARCHAR, 2, '0') AS code FROM part)"
 
@@ -270,6 +309,14 @@ ORACLES = {
         SELECT doc_id, ord, kind, said FROM p JOIN v ON v.c = 0 AND p.c < 2 AND second <= two
         UNION ALL SELECT doc_id, 1 + s, 'text', own FROM p, (VALUES (0), (1)) AS x(s) WHERE c = 2 AND s <= two
         UNION ALL SELECT doc_id, (100 + row_number() OVER (PARTITION BY doc_id ORDER BY a))::INT, 'warning', w FROM p, (VALUES (1, 1, 0, 'pdf_native_text_ocr_fallback'), (2, 0, 0, 'pdf_ocr_table_inferred'), (3, 1, 1, 'pdf_native_text_ocr_fallback'), (4, 0, 1, 'pdf_ocr_table_inferred')) AS y(a, damaged, s, w) WHERE c < 2 AND s <= two AND damaged <= c""",
+    "page_diagrams": """WITH p AS (SELECT p_partkey AS doc_id, p_size, 2 + p_partkey % 3 AS n FROM part WHERE p_partkey % 3 > 0), b AS (SELECT *, unnest(range(1, n + 1)) AS i FROM p),
+        w AS (SELECT doc_id, string_agg(substr('abcd', i::INT, 1) || ' ' || p_size, chr(10) ORDER BY i) AS names, string_agg('n' || (i - 1) || ' -> n' || i, chr(10) ORDER BY i) FILTER (i > 1) AS ties,
+        string_agg('n' || (i - 1) || ' n' || i || CASE WHEN i % 2 = 0 THEN ' arrow' ELSE ' line' END || ' inferred_geometry', ',' ORDER BY i) FILTER (i > 1) AS edges FROM b GROUP BY doc_id)
+        SELECT doc_id, 'diagram' AS kind, names || chr(10) || 'relations:' || chr(10) || ties AS source_text, edges FROM w UNION ALL SELECT doc_id, 'warning', 'pdf_diagram_inferred', '' FROM w
+        UNION ALL SELECT p_partkey, 'text', 'a ' || p_size || ' b ' || p_size, '' FROM part WHERE p_partkey % 3 = 0""",
+    "page_images": """WITH p AS (SELECT p_partkey AS doc_id, p_partkey % 3 AS c, sha256(from_hex('89504E470D0A1A0A') || encode(p_name)) AS sha FROM part)
+        SELECT doc_id, 'b1' AS node, 'table' AS type, '' AS detail FROM p UNION ALL SELECT doc_id, CASE c WHEN 0 THEN 'b2' ELSE 'b1.1' END, 'image', 'img-0001' FROM p WHERE c < 2
+        UNION ALL SELECT doc_id, 'img-0001', 'asset image/png', sha FROM p WHERE c < 2 UNION ALL SELECT doc_id, 'warning', 'pdf_table_cell_image_inferred', 'low' FROM p WHERE c = 1""",
     "chunk_cases": _chunked("CASE WHEN k % 4 = 1 THEN '사례 ' || k || ': ' || n_name ELSE n_name END", "(k - 1) // 4", "agentic_case_boundary_split"),
     "chunk_forms": _chunked("CASE WHEN k % 5 = 1 THEN '[별지 제' || k || '호 서식] ' || n_name WHEN k % 5 = 4 THEN '210mm×297mm(일반용지 60g/㎡)' ELSE n_name END", "2 * ((k - 1) // 5) + (k % 5 = 0)::INT", "agentic_independent_form_boundary_split"),
     "chunk_unit_limits": _chunked("n_name", "(k - 1) // 6", "agentic_chunk_split_by_max_units"),
