@@ -7,11 +7,11 @@ again.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as t
+from docweave.sources.store import written
 
 KIB = 1024
 BANDS = (("small", 0, 100 * KIB), ("medium", 100 * KIB, 512 * KIB), ("large", 512 * KIB, 2048 * KIB), ("xlarge", 2048 * KIB, 20480 * KIB))
@@ -105,29 +105,39 @@ def diversified(docs: DataFrame, order: list[Column], key: str = "key", extensio
     """key, pass (1 to 3), pos: the listing in an order of variety.
 
     First the keys whose folder and family are both new, then those whose
-    family is, then the rest; each in the given order.  Only the first key of
-    a folder and family can be in the first pass, so those alone are gone
-    through one by one.
+    family is, then the rest; each in the given order.  Going through the keys
+    one by one takes a key if no earlier one with its folder or family was
+    taken; the same are found in rounds, which take every key that comes first
+    in both its folder and its family and drop what shares either.  Only the
+    first key of each folder and family takes part.
     """
-    rows = docs.select(F.col(key).alias("key"), F.split(key, "/")[0].alias("folder"), t.file_family(F.col(key), extension).alias("family"), F.struct(*order, F.col(key)).alias("o"))
-    first = rows.groupBy("folder", "family").agg(F.min_by("key", "o").alias("key"), F.min("o").alias("o"))
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        folders, families, out = set(), set(), []
-        for row in group.sort_values("place").itertuples():
-            fresh = row.folder not in folders and row.family not in families
-            if fresh:
-                folders.add(row.folder)
-                families.add(row.family)
-            out.append((row.key, row.folder, row.family, fresh))
-        return pd.DataFrame(out, columns=["key", "folder", "family", "fresh"])
-
-    ordered = first.withColumn("place", F.row_number().over(Window.orderBy("o"))).select("key", "folder", "family", "place", F.lit(1).alias("one"))
-    taken = ordered.groupBy("one").applyInPandas(lambda g: pick(g), "key string, folder string, family string, fresh boolean").where("fresh").select("key", F.col("family").alias("seen"))
-    left = rows.join(taken.select("key"), "key", "left_anti").join(taken.select(F.col("seen").alias("family")).distinct(), "family", "left_anti")
-    second = left.groupBy("family").agg(F.min_by("key", "o").alias("key")).select("key", F.lit(2).alias("p"))
+    spark = docs.sparkSession
+    rows = written(docs.select(F.col(key).alias("key"), F.split(key, "/")[0].alias("folder"), t.file_family(F.col(key), extension).alias("family"), F.struct(*order, F.col(key)).alias("o")))
+    left = written(rows.groupBy("folder", "family").agg(F.min_by("key", "o").alias("key"), F.min("o").alias("o")))
+    taken = spark.createDataFrame([], left.schema)
+    while not left.isEmpty():
+        ahead = left.join(left.groupBy("folder").agg(F.min("o").alias("of")), "folder").join(left.groupBy("family").agg(F.min("o").alias("oy")), "family")
+        now = written(ahead.where("o = of and o = oy").select(*left.columns))
+        left = written(left.join(now.select("folder"), "folder", "left_anti").join(now.select("family"), "family", "left_anti"))
+        taken = taken.unionByName(now)
+    taken = taken.select("key", F.col("family").alias("seen"))
+    rest = rows.join(taken.select("key"), "key", "left_anti").join(taken.select(F.col("seen").alias("family")).distinct(), "family", "left_anti")
+    second = rest.groupBy("family").agg(F.min_by("key", "o").alias("key")).select("key", F.lit(2).alias("p"))
     passes = rows.join(taken.select("key", F.lit(1).alias("p")).union(second), "key", "left").withColumn("pass", F.coalesce("p", F.lit(3)))
-    return passes.select("key", "pass", F.row_number().over(Window.partitionBy("pass").orderBy("o")).alias("pos"))
+    return numbered(passes.select("key", "pass", "o"), "pass", "o").select("key", "pass", "pos")
+
+
+def numbered(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    """rows with pos, their place from 1 among those of the same ``by`` (of few values), found without bringing these together."""
+    placed = written(rows.orderBy(by, *order).withColumn("_at", F.monotonically_increasing_id()))
+    begins = sorted(placed.groupBy(by, F.shiftright("_at", 33).alias("part")).agg(F.min("_at").alias("first"), F.count("*").alias("n")).collect(), key=lambda r: (r[0], r["part"]))
+    offsets, seen = [], {}
+    for r in begins:  # a row for each task of the sort and value
+        offsets.append((r[0], r["part"], r["first"] - seen.get(r[0], 0) - 1))
+        seen[r[0]] = seen.get(r[0], 0) + r["n"]
+    kind = placed.schema[by].dataType.simpleString()
+    table = rows.sparkSession.createDataFrame(offsets, f"{by} {kind}, _part long, _base long")
+    return placed.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(table), [by, "_part"]).withColumn("pos", (F.col("_at") - F.col("_base")).cast("int")).drop("_at", "_part", "_base")
 
 
 def unique_content(samples: DataFrame, per_bucket: int) -> DataFrame:

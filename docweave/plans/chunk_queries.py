@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docweave.functions import ranges, text as t
 from docweave.operators import chunking, enrichment
 from docweave.plans import synthetic
+from docweave.plans.parse_queries import _ORDER_ROWS
 from docweave.sources import evidence
 from docweave.sources.registry import default_readers
 from docweave.sources.spread import spread
@@ -182,4 +183,8 @@ ORACLES["chunk_enrichment"] = """WITH r AS (SELECT l_orderkey AS doc_id, row_num
 ORACLES["text_enrichment"] = """WITH f AS (SELECT doc_id, text, trim(regexp_replace(text, '[\\t-\\r ]+', ' ', 'g')) AS flat, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\\t-\\r ]+', ' ', 'g'))), lambda x: x <> '')[1] AS top FROM documents),
     s AS (SELECT *, CASE WHEN regexp_matches(flat, '[.!?。！？] ') THEN regexp_extract(flat, '^(.*?[.!?。！？]) ', 1) ELSE flat END AS s, CASE WHEN top IS NULL THEN '이 내용' WHEN length(top) <= 80 THEN top ELSE rtrim(left(top, 79)) || '…' END AS topic, regexp_extract_all(text, '[0-9A-Za-z가-힣]{2,}') AS w FROM f)
     SELECT doc_id, CASE WHEN length(s) <= 300 THEN s ELSE rtrim(left(s, 299)) || '…' END AS summary, array_to_string(list_slice(list_filter(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: lower(x) NOT IN ('table', 'rows', 'columns', 'context', 'row', 'col', 'chunk')), 1, 8), ' ') AS keywords, topic || '의 핵심 내용은 무엇인가요?' AS question FROM s"""
+#: Every table above the budget is cut, and every row of it is in one piece.
+ORACLES["table_splits"] = f"""WITH r AS ({_ORDER_ROWS}), t AS (SELECT doc_id, count(*) AS n, 'section: Order ' || doc_id || ' caption: Lines columns: line | part | quantity | flag ' ||
+    string_agg('row ' || row_index || ': line=' || l_linenumber || '; part=' || l_partkey || '; quantity=' || l_quantity::INT || '; flag=' || l_returnflag, ' ' ORDER BY row_index) AS line FROM r GROUP BY 1)
+    SELECT doc_id, n AS rows_cut FROM t WHERE {_TOKENS} > 80 AND n > 1"""
 ORACLES["question_tables"] = synthetic.grouped_sql(ORACLES["question_tables"])

@@ -60,6 +60,12 @@ ORACLES = {
     "size_distribution": f"""WITH l AS ({_L}), r AS (SELECT size, row_number() OVER (ORDER BY size) - 1 AS i, count(*) OVER () AS n FROM l),
         m(name, q) AS (VALUES ('min', 0.0), ('p25', 0.25), ('p50', 0.5), ('p75', 0.75), ('p90', 0.9), ('max', 1.0))
         SELECT name, size FROM m JOIN r ON i = round_even((n - 1) * q, 0)""",
+    "diversified": """WITH RECURSIVE r AS (SELECT 'g' || p_size || '/' || p_name || '_' || p_partkey || '.hwpx' AS key, 'g' || p_size AS folder, lower(p_name) AS family, row_number() OVER (ORDER BY p_partkey) AS i FROM part),
+        g AS (SELECT 0::BIGINT AS i, ['']::VARCHAR[] AS folders, ['']::VARCHAR[] AS families, false AS fresh
+        UNION ALL SELECT r.i, CASE WHEN list_contains(folders, folder) OR list_contains(families, family) THEN folders ELSE list_append(folders, folder) END, CASE WHEN list_contains(folders, folder) OR list_contains(families, family) THEN families ELSE list_append(families, family) END,
+        NOT (list_contains(folders, folder) OR list_contains(families, family)) FROM g JOIN r ON r.i = g.i + 1),
+        f AS (SELECT r.*, g.fresh FROM r JOIN g ON r.i = g.i), n AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY i) AS k, bool_or(fresh) OVER (PARTITION BY family) AS seen FROM f),
+        p AS (SELECT *, CASE WHEN fresh THEN 1 WHEN NOT seen AND k = 1 THEN 2 ELSE 3 END AS pass FROM n) SELECT key, pass, (row_number() OVER (PARTITION BY pass ORDER BY i))::INT AS pos FROM p""",
     "size_bands": f"WITH l AS ({_L}) SELECT {_BAND} AS band, count(*) AS n, sum(size)::BIGINT AS bytes FROM l GROUP BY 1",
     "near_quantiles": f"""WITH l AS (SELECT *, {_BAND} AS band FROM ({_L})), r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY size, key) - 1 AS i, count(*) OVER (PARTITION BY band) AS n FROM l WHERE band <> 'outlier'),
         m(q, v) AS (VALUES (1, 0.1), (2, 0.3), (3, 0.5), (4, 0.7), (5, 0.9)),
