@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import time
 import urllib.error
@@ -50,15 +51,33 @@ def persistent(call: Callable[[], str], chat: Chat, sleep: Callable[[float], Non
     raise AssertionError
 
 
-def ask(prompt: str, chat: Chat) -> Any:
-    body = {"model": chat.model, "temperature": chat.temperature, "messages": [{"role": "system", "content": "Answer with JSON and nothing else."}, {"role": "user", "content": prompt}], **chat.options}
+def ask(prompt: str | list[dict], chat: Chat) -> Any:
+    """What a service answers, as JSON; a prompt may be a list of texts and pictures."""
+    return plain.loose_json(answer(prompt, chat, "Answer with JSON and nothing else."))
+
+
+def answer(prompt: str | list[dict], chat: Chat, rule: str) -> str:
+    body = {"model": chat.model, "temperature": chat.temperature, "messages": [{"role": "system", "content": rule}, {"role": "user", "content": prompt}], **chat.options}
     request = urllib.request.Request(chat.endpoint, json.dumps(body, ensure_ascii=False).encode(), {"Authorization": f"Bearer {chat.api_key}", "Content-Type": "application/json"}, method="POST")
 
     def read() -> str:
         with urllib.request.urlopen(request, timeout=chat.timeout) as response:
             return response.read().decode()
 
-    return plain.loose_json(json.loads(persistent(read, chat))["choices"][0]["message"]["content"])
+    return json.loads(persistent(read, chat))["choices"][0]["message"]["content"]
+
+
+def picture_reader(chat: Chat) -> Callable[[bytes, int], str]:
+    """Reads the text of a page's picture (PNG), for ``layout.parse_with``; a page without a picture has none."""
+
+    def read(picture: bytes, number: int) -> str:
+        if not picture:
+            return ""
+        shown = {"type": "image_url", "image_url": {"url": f"data:image/png;base64,{base64.b64encode(picture).decode()}"}}
+        told = {"type": "text", "text": f"Write down all text of page {number + 1} in reading order; tables as lines of cells between bars."}
+        return answer([told, shown], chat, "Answer with the text of the picture and nothing else.")
+
+    return read
 
 
 def _unit(n: int, u: dict) -> dict:

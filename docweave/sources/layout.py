@@ -3,7 +3,8 @@
 ``{"pages": [{"width", "height", "chars": [{"text", "x0", "top", "x1",
 "bottom"}], "images", "rects", "lines", "curves", "tables": [{"bbox", "rows":
 [{"cells": [box or null], "texts": [text or null]}]}]}]}``.  An image may
-carry its bytes in base64.  Reading PDF bytes themselves needs a library that
+carry its bytes in base64, and so may a page its ``picture`` as PNG, which is
+what a reader of pictures is given.  Reading PDF bytes themselves needs a library that
 yields these; ``parse_with`` takes one.
 """
 
@@ -244,7 +245,7 @@ class _Reader:
             text = ""
             if ocr:
                 try:
-                    text = page_texts.clean(ocr(b"", i))
+                    text = page_texts.clean(ocr(base64.b64decode(page.get("picture") or ""), i))
                 except Exception as error:  # a page that can't be read is a warning, not a failed document
                     failed.append((i + 1, str(error)))
             segments = []

@@ -299,3 +299,67 @@ def test_chunks_of_many_documents(spark):
     rows = chunking.chunks(units.repartition(5)).collect()
     assert sorted((r.doc_id, r.ord, r.id) for r in rows) == [(i, k, f"chunk-{k}") for i in range(40) for k in (1, 2)]
     assert evidence.units(evidence.read(docs.limit(0), default_readers())).count() == 0
+
+
+def test_signed_sink():
+    import hashlib
+    import hmac
+    from datetime import datetime, timezone
+
+    from docweave.operators import assets
+
+    sent = []
+    put = assets.signed_sink("https://store.example", "b", "id", "secret", prefix="/x/", region="eu", send=lambda r: sent.append(r) or 200, now=lambda: datetime(2020, 1, 31, 23, 59, 59, tzinfo=timezone.utc))
+    assert put("a b/c.png", b"data", "image/png") == "s3://b/x/a b/c.png"
+    (request,) = sent
+    digest = hashlib.sha256(b"data").hexdigest()
+    canonical = f"PUT\n/b/x/a%20b/c.png\n\ncontent-type:image/png\nhost:store.example\nx-amz-content-sha256:{digest}\nx-amz-date:20200131T235959Z\n\ncontent-type;host;x-amz-content-sha256;x-amz-date\n{digest}"
+    key = b"AWS4secret"
+    for part in ("20200131", "eu", "s3", "aws4_request", "AWS4-HMAC-SHA256\n20200131T235959Z\n20200131/eu/s3/aws4_request\n" + hashlib.sha256(canonical.encode()).hexdigest()):
+        key = hmac.new(key, part.encode(), hashlib.sha256).digest()
+    assert request.full_url == "https://store.example/b/x/a%20b/c.png" and request.get_method() == "PUT" and request.data == b"data"
+    assert request.get_header("Authorization").endswith(f"Signature={key.hex()}")
+    failing = assets.signed_sink("https://store.example", "b", "id", "secret", send=lambda r: 500)
+    with pytest.raises(OSError, match="status 500"):
+        failing("k", b"", "image/png")
+
+
+def test_signature_of_the_published_example():
+    """The example of the documentation of signature version 4 for GET Object."""
+    from docweave.operators.assets import signature
+
+    empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    request = f"GET\n/test.txt\n\nhost:examplebucket.s3.amazonaws.com\nrange:bytes=0-9\nx-amz-content-sha256:{empty}\nx-amz-date:20130524T000000Z\n\nhost;range;x-amz-content-sha256;x-amz-date\n{empty}"
+    scope, signed = signature("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "us-east-1", "20130524T000000Z", request)
+    assert scope == "20130524/us-east-1/s3/aws4_request"
+    assert signed == "f0e8bdb87c964420e857bd35b5d6ed310bd44f0170aba48dd91039c6036bdb41"
+
+
+def test_documents_without_units_are_summed_up(spark):
+    from docweave.operators import profiles
+    from docweave.sources import evidence
+    from docweave.sources.registry import default_readers
+
+    docs = spark.createDataFrame([(1, ".html", "<p>some text</p>"), (2, ".html", ""), (3, ".pdf", "%PDF-1.7"), (4, ".pdf", None)], "doc_id long, suffix string, content string")
+    found = evidence.read(docs, default_readers())
+    flags = profiles.review_flags(profiles.document_summaries(evidence.units(found), evidence.assets(found), evidence.warnings(found), docs))
+    assert {r.doc_id: r.flags for r in flags.collect()} == {1: "", 2: "no_units", 3: "no_units", 4: "no_units"}
+    assert [(r.doc_id, r.type) for r in evidence.warnings(found).collect()] == [(3, "pdf_page_source_missing")]
+
+
+def test_rows_of_one_id_keep_their_lines(spark):
+    from docweave.sources import markdown
+
+    docs = spark.createDataFrame([(1, "a1\na2\n# h\nb"), (1, "c1\n\nc2\n|x|y|\n|-|-|\n|1|2|"), (2, None), (None, "z")], "doc_id long, text string")
+    found = sorted((r.doc_id or 0, r.ord, r.type, r.section, r.content) for r in markdown.scan(docs).collect())
+    assert found == sorted([(1, 1, "text", "", "a1\na2"), (1, 2, "text", "h", "b"), (1, 1, "text", "", "c1"), (1, 2, "text", "", "c2"), (1, 3, "table", "", "|x|y|\n|-|-|\n|1|2|"), (0, 1, "text", "", "z")])
+
+
+def test_pages_read_from_their_pictures(spark):
+    import base64
+
+    from docweave.sources import layout
+
+    pages = [{"width": 10, "height": 10, "images": [{"x0": 0, "top": 0, "x1": 10, "bottom": 10}], "picture": base64.b64encode(b"png").decode()}]
+    found = layout.parse_with(lambda data: pages, lambda picture, n: f"{picture.decode()} of page {n}")(b"%PDF")
+    assert [u["content"] for u in found.units] == ["png of page 0"]
