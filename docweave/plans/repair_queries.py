@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.operators import chunking
+from docweave.operators import chunking, enrichment
 from docweave.plans import synthetic
 from docweave.plans.parse_queries import _ORDER_ROWS
 from docweave.sources import evidence, layout
@@ -248,7 +248,36 @@ def table_pieces(spark, sf_dir):
     return rows.select("doc_id", "ord", "source_text", F.get_json_object("metadata", "$.operations[0].row_ranges").alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (page_table_repairs, page_table_labels, page_nested_tables, page_text_parts, page_pictures, page_diagrams, page_images, chunk_cases, chunk_forms, chunk_unit_limits, chunk_headings, chunk_merges, table_pieces)}
+def _told_of(chunk: dict) -> tuple[int, dict]:
+    """What a service answers, from nothing but what it is told; every third answer has no question."""
+    told = enrichment.payload(chunk)
+    key, table = int(told["id"].split("/")[0]), told["evidence"][0]["table"]
+    summary = f"  {table['caption']} of {len(table['rows'])}:  {table['rows'][-1]['cells'][1]['text']} by {table['columns'][1]} "
+    return key, {"id": told["id"], "summary": summary, "keywords": ["a", "a", " ", f"k{key}"], "questions": [f"what is {key}", f"what is {key}?"] if key % 3 else []}
+
+
+def _answered(chunks: list[dict]) -> dict:
+    """All at once, but for some that are left out."""
+    return {"chunks": [said for key, said in map(_told_of, chunks) if key % 5]}
+
+
+def _answered_singly(chunk: dict) -> dict:
+    key, said = _told_of(chunk)
+    if key % 10 == 0:
+        raise RuntimeError(f"no answer for {key}")
+    return said
+
+
+def chunk_answers(spark, sf_dir):
+    """Chunks filled in by a service, in batches, singly where a batch leaves one out, and by rules where there is no answer."""
+    units = evidence.units(evidence.read(synthetic.order_pages(spark, sf_dir), default_readers()))
+    rows = enrichment.enrich(chunking.chunks(units, together=True), lambda c: _answered_singly(c), lambda cs: _answered(cs), budget=3_000)
+    said = F.from_json(F.get_json_object("metadata", "$._warnings"), "array<struct<type:string,reason:string>>")
+    failed = F.coalesce(F.get(said, F.lit(0))["reason"], F.lit(""))
+    return rows.select("doc_id", "id", failed.alias("failed"), *(F.when(failed == "", c).otherwise("").alias(n) for n, c in (("summary", F.col("summary")), ("keywords", F.array_join("keywords", " ")), ("questions", F.array_join("questions", " ")))))
+
+
+QUERIES = {f.__name__: f for f in (chunk_answers, page_table_repairs, page_table_labels, page_nested_tables, page_text_parts, page_pictures, page_diagrams, page_images, chunk_cases, chunk_forms, chunk_unit_limits, chunk_headings, chunk_merges, table_pieces)}
 
 _P = "p AS (SELECT p_partkey AS d, p_partkey::VARCHAR AS key, p_partkey % 8 AS c, p_name AS name, p_brand AS brand, p_type AS kind, p_size, lpad(p_size::VARCHAR, 2, '0') AS code FROM part)"
 
@@ -309,6 +338,10 @@ ORACLES = {
         SELECT doc_id, ord, kind, said FROM p JOIN v ON v.c = 0 AND p.c < 2 AND second <= two
         UNION ALL SELECT doc_id, 1 + s, 'text', own FROM p, (VALUES (0), (1)) AS x(s) WHERE c = 2 AND s <= two
         UNION ALL SELECT doc_id, (100 + row_number() OVER (PARTITION BY doc_id ORDER BY a))::INT, 'warning', w FROM p, (VALUES (1, 1, 0, 'pdf_native_text_ocr_fallback'), (2, 0, 0, 'pdf_ocr_table_inferred'), (3, 1, 1, 'pdf_native_text_ocr_fallback'), (4, 0, 1, 'pdf_ocr_table_inferred')) AS y(a, damaged, s, w) WHERE c < 2 AND s <= two AND damaged <= c""",
+    "chunk_answers": f"""WITH r AS ({_ORDER_ROWS}), o AS (SELECT doc_id, count(*) AS n, arg_max(l_partkey, row_index) AS part FROM r GROUP BY 1)
+        SELECT doc_id, 'chunk-1' AS id, CASE WHEN doc_id % 10 = 0 THEN 'no answer for ' || doc_id ELSE '' END AS failed, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'Lines of ' || n || ': ' || part || ' by part' END AS summary,
+        CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'a k' || doc_id END AS keywords,
+        CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'Lines 표에는 어떤 항목이 포함되어 있나요? Lines 표의 주요 기준이나 값은 무엇인가요?' ELSE 'what is ' || doc_id || '?' END AS questions FROM o""",
     "page_diagrams": """WITH p AS (SELECT p_partkey AS doc_id, p_size, 2 + p_partkey % 3 AS n FROM part WHERE p_partkey % 3 > 0), b AS (SELECT *, unnest(range(1, n + 1)) AS i FROM p),
         w AS (SELECT doc_id, string_agg(substr('abcd', i::INT, 1) || ' ' || p_size, chr(10) ORDER BY i) AS names, string_agg('n' || (i - 1) || ' -> n' || i, chr(10) ORDER BY i) FILTER (i > 1) AS ties,
         string_agg('n' || (i - 1) || ' n' || i || CASE WHEN i % 2 = 0 THEN ' arrow' ELSE ' line' END || ' inferred_geometry', ',' ORDER BY i) FILTER (i > 1) AS edges FROM b GROUP BY doc_id)
