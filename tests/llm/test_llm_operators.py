@@ -663,6 +663,60 @@ def test_field_finds_entities_side_by_side():
     assert pii.spans(text, field)[1] == [(0, 2, 16), (17, 2, 33)]
 
 
+def test_field_chooses_the_best_of_all_segmentations():
+    import random
+
+    field, rng = pii.trained(), random.Random(9)
+
+    def enumerated(text):
+        """The greatest sum over all ways to lay segments side by side."""
+        edges, segments = field.lattice(text, 0, len(text))
+        scores = field.scores(segments).max(1).tolist() if segments else []
+
+        def best(i):
+            if i == len(edges) - 1:
+                return 0.0
+            return max([best(i + 1), *(v + best(s[1]) for s, v in zip(segments, scores) if s[0] == i)])
+
+        return best(0)
+
+    tried = 0
+    for _ in range(150):
+        text = pii._example(rng)[0]
+        edges, segments = field.lattice(text, 0, len(text))
+        if not 0 < len(segments) <= 12:
+            continue
+        tried += 1
+        by_span = {(edges[i], edges[j]): v for (i, j, _), v in zip(segments, field.scores(segments))}
+        found = field.best(text, 0, len(text))
+        assert all(a[2] <= b[0] for a, b in zip(found, found[1:]))
+        assert abs(sum(by_span[a, z][kind] for a, kind, z in found) - enumerated(text)) < 1e-9
+    assert tried >= 50
+
+
+def test_field_on_texts_it_was_not_made_for():
+    field = pii.trained()
+    cases = {
+        "Reach Ms. Ng at (415) 555-0132 after five.": [("phone", "(415) 555-0132")],
+        "Fax: 020-7946-0958, or 212.555.0187 in New York": [("phone", "212.555.0187")],
+        "pay with 4012-8888-8888-1881 today": [("card", "4012-8888-8888-1881")],
+        "write to jane dot roe at example dot org please": [("email", "jane dot roe at example dot org")],
+        "contact: john [at] school [dot] edu": [("email", "john [at] school [dot] edu")],
+        "the years 1914-1918 and 1939-1945, some 2,500,000 people": [],
+        "ISBN 978-0-306-40615-7, pages 10-12": [],
+        "invoice 20230115 dated 15.01.2023 over 1.299,00": [],
+        "call 988-555-2485 / 988-555-2486 / 988-555-2487": [("phone", "988-555-2485"), ("phone", "988-555-2486"), ("phone", "988-555-2487")],
+        "(988) 555-2485 (988) 555-2486 (988) 555-2487": [("phone", "(988) 555-2485"), ("phone", "(988) 555-2486"), ("phone", "(988) 555-2487")],
+    }
+    hits = wanted = wrong = 0
+    for text, truth in cases.items():
+        found = [(pii.KINDS[k], text[a:z]) for a, k, z in pii.spans(text, field)[1]]
+        hits += len(set(found) & set(truth))
+        wanted += len(truth)
+        wrong += len(set(found) - set(truth))
+    assert hits >= wanted - 2 and wrong <= 2, (hits, wanted, wrong)
+
+
 def test_field_is_the_same_in_small_blocks(monkeypatch):
     import random
 
@@ -776,3 +830,30 @@ def test_permutations_are_permutations():
         order = mixing.Permutation(n, 12345)
         image = order(np.arange(n))
         assert sorted(image) == list(range(n)) and (order.inverse(image) == np.arange(n)).all()
+
+
+def test_further_columns_change_nothing(docs, spark):
+    more = clashing(spark, MADE).repartition(3)
+    labels = spark.createDataFrame([(i, i % 5 == 0) for i in range(60)], "doc_id long, toxic boolean").selectExpr("doc_id", "cast(toxic AS int) AS toxic", "'x' AS label", "'y' AS id")
+    rules, path = fertility.Rules(vocabulary("piece_bpe_32k.model")), vocabulary("word_bpe_49k.json")
+    made = {
+        "token_counts": lambda d: token_counts.token_counts(d, path),
+        "packing": lambda d: packing.pack(d, packing.Packing(path)).groupBy("doc_id", "doc_tokens").agg({"length": "sum"}),
+        "lines": line_dedup.removed_lines,
+        "exact": exact_dedup.membership,
+        "near": simhash.near_duplicates,
+        "fertility": lambda d: fertility.quality_measures(d, rules),
+        "model": lambda d: interpolation.scored(d).selectExpr("doc_id", "n_tokens", "n_known", "round(base_score, 6)"),
+        "toxicity": lambda d: toxicity.toxicity(d, labels, toxicity.Fit(least_rows=1)).select("doc_id", "held_out", "score"),
+        "personal": pii.personal_data,
+        "mixture": mixing.mixture,
+    }
+    for name, operator in made.items():
+        assert bag(operator(more).collect()) == bag(operator(docs).collect()), name
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_registered_query_has_a_row_for_each_document(spark, name):
+    found = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select("doc_id")
+    ids = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id")
+    assert (found.distinct() if name == "op3_pack_sequences" else found).exceptAll(ids).count() == 0 and ids.exceptAll(found).count() == 0

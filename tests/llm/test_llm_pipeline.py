@@ -4,7 +4,7 @@ import collections
 
 import corpus_pipeline
 import numpy as np
-from corpus import lower, words
+from corpus import clashing, lower, rows, words
 from test_llm_operators import plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +55,24 @@ def test_run_has_the_rows_of_its_stages(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert found.count() > 0
+
+
+def test_stages_over_hard_rows_and_none(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, further columns of clashing names; and a table without rows."""
+    made = rows()
+    frame = clashing(spark, made)
+    for name, docs in (("hard", frame), ("empty", frame.limit(0))):
+        columns = docs.columns
+        for at, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}{at}")
+            before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}{at}")
+            if at < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == columns, stage_name
+            if name == "empty":
+                assert docs.count() == 0
+            elif at < 3:  # nothing is made up, and what stays is unchanged
+                assert docs.exceptAll(before).count() == 0
+            if at == 0 and name == "hard":
+                docs = frame  # few of these pass the quality rules; the others are for the next stages
+        if name == "hard":
+            assert docs.count() > 0
