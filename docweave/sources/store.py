@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_noted: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,7 +22,28 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="docweave-"))
-    return f"{base.rstrip('/')}/docweave-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/docweave-{uuid.uuid4().hex}"
+    if _noted:
+        _noted[-1].append(folder)
+    return folder
+
+
+@contextmanager
+def noted(folders: list[str]) -> Iterator[None]:
+    """Adds the folders that are asked for meanwhile to folders, so that they can be dropped once their readers are done."""
+    _noted.append(folders)
+    try:
+        yield
+    finally:
+        _noted.pop()
+
+
+def drop(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders that shared_folder made, and forgets them."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folders.clear()
 
 
 def written(df: DataFrame) -> DataFrame:
