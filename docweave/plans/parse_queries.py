@@ -187,7 +187,7 @@ ORACLES = {
         SELECT coalesce(band, 'all') AS band, m AS measure, v AS n FROM g, LATERAL (VALUES ('documents', n), ('failed', 0), ('flag:low_text_with_assets', k), ('flag:no_units', f)) AS x(m, v)""",
 }
 #: The article of a page, without tags, under its heading.
-_ARTICLES = r"""SELECT page_id AS doc_id, trim(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS section,
+_ARTICLES = r"""SELECT page_id AS doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')) AS section,
     trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS content FROM pages"""
 ORACLES["html_units"] = f"SELECT doc_id, 1::INT AS ord, 'b1' AS id, 'text' AS type, CASE WHEN section = '' THEN content ELSE 'section: ' || section || chr(10) || content END AS source_text, content, section FROM ({_ARTICLES}) WHERE content <> ''"
 ORACLES["html_sections"] = f"SELECT section, 'text' AS type, count(*) AS n, count(DISTINCT doc_id) AS documents FROM ({_ARTICLES}) WHERE content <> '' GROUP BY section"
