@@ -36,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.group import GroupedData
@@ -117,14 +117,18 @@ def _rank(value) -> tuple:
     return (value is not None, value)
 
 
-def indexed(entries: DataFrame, index: Directory) -> GroupedData:
-    """entries (_key, _bucket, ...) in files of the shared folder, one for each bucket or several of them, and read from there: by file, the rows by bucket and key."""
-    buckets = len(set(index.buckets))
-    files = min(buckets, MOST_FILES)
+def file_marks(spark: SparkSession, files: int) -> np.ndarray:
+    """For each of so many files a number that Spark's bucketing puts there and nowhere else; at most MOST_FILES rows."""
+    tried = spark.range(int(files * (np.log(files) + 12))).select(F.col("id").cast("int").alias("mark"))
+    found = tried.groupBy(F.pmod(F.hash("mark"), F.lit(files)).alias("file")).agg(F.min("mark").alias("mark")).collect()
+    return np.array(sorted(r.mark for r in found), np.int32)
+
+
+def indexed(entries: DataFrame, files: int) -> GroupedData:
+    """entries (_key, _bucket, _file, ...) in files of the shared folder, one for each mark, and read from there: by file, the rows by bucket and key."""
     name = f"docweave_{uuid.uuid4().hex}"
     spark = entries.sparkSession
-    of = entries.withColumn("_file", F.pmod("_bucket", F.lit(files)))
-    made = of.repartition(files, "_file").write.format("parquet").option("path", shared_folder(spark))
+    made = entries.repartition(files, "_file").write.format("parquet").option("path", shared_folder(spark))
     made.bucketBy(files, "_file").sortBy("_bucket", "_key").saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay
@@ -134,6 +138,8 @@ def indexed(entries: DataFrame, index: Directory) -> GroupedData:
 def winners(docs: DataFrame, index: Directory, id_col: str, text_col: str) -> DataFrame:
     """One row per distinct text: the columns of docs of the row that stays, and _key, _sha and _size of its group."""
     names = docs.columns
+    files = min(len(set(index.buckets)), MOST_FILES)
+    marks = file_marks(docs.sparkSession, files)
     state = [T.StructField("_key", T.LongType()), T.StructField("_sha", T.BinaryType()), T.StructField("_size", T.LongType())]
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +155,8 @@ def winners(docs: DataFrame, index: Directory, id_col: str, text_col: str) -> Da
                 sizes[j] += 1
             at = np.fromiter(best.values(), np.int64, len(best))
             keys = np.fromiter(map(_key, best), np.uint64, len(best))
-            rows = part.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys.view(np.int64)), pa.nulls(len(at), pa.binary()), pa.array(sizes[at]), pa.array(index.of(keys))], names=[*names, "_key", "_sha", "_size", "_bucket"])
+            rows, bucket = part.take(pa.array(at)), index.of(keys)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys.view(np.int64)), pa.nulls(len(at), pa.binary()), pa.array(sizes[at]), pa.array(bucket), pa.array(marks[bucket % len(marks)])], names=[*names, "_key", "_sha", "_size", "_bucket", "_file"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key: int | None = None
@@ -193,8 +199,8 @@ def winners(docs: DataFrame, index: Directory, id_col: str, text_col: str) -> Da
         yield from closed()
 
     schema = T.StructType([*docs.schema.fields, *state])
-    partial = docs.mapInArrow(combine, T.StructType([*schema.fields, T.StructField("_bucket", T.IntegerType())]))
-    return indexed(partial, index).applyInArrow(own, schema)
+    partial = docs.mapInArrow(combine, T.StructType([*schema.fields, T.StructField("_bucket", T.IntegerType()), T.StructField("_file", T.IntegerType())]))
+    return indexed(partial, files).applyInArrow(own, schema)
 
 
 def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 16_384, max_depth: int = 18) -> DataFrame:
