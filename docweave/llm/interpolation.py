@@ -53,6 +53,8 @@ from docweave.llm._arrow import Texts, Words, column, pair, slices
 from docweave.llm._spark import written
 
 END_HASH = np.uint64(0x5EED0FE2D0C5A11D)
+#: Pairs are known by 56 bits of their hash, words by 64.
+PAIR_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 
 
 @dataclass(frozen=True)
@@ -109,7 +111,7 @@ class _Chunk:
 
     @cached_property
     def _paired(self) -> tuple[np.ndarray, np.ndarray]:
-        codes, distinct = pd.factorize(pair(self.vocabulary[self.before], self.vocabulary[self.index]))
+        codes, distinct = pd.factorize(pair(self.vocabulary[self.before], self.vocabulary[self.index]) & PAIR_BITS)
         order = np.argsort(distinct)
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order))
