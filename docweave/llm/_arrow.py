@@ -8,7 +8,10 @@ words can be found, lower-cased and hashed without decoding a text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -244,5 +247,25 @@ class WordMemo:
         return out
 
 
+_held: dict[tuple[str, str], Any] = {}
+
+
+def held(kind: str, path: str, make: Callable[[str], Any]) -> Any:
+    """What make makes of path, kept in this worker until another is asked for, or let_go is called: one vocabulary and memo at a time."""
+    if (kind, path) not in _held:
+        let_go()
+        _held[kind, path] = make(path)
+    return _held[kind, path]
+
+
+def let_go() -> None:
+    """Drops what held keeps; for tasks without a vocabulary, as workers live on from stage to stage."""
+    if _held:
+        _held.clear()
+        gc.collect()  # a tokeniser and its memo refer to each other
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # else the C library keeps most of it
+            trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.group import GroupedData
 
-from docweave.llm._arrow import Texts, column, slices
+from docweave.llm._arrow import Texts, column, let_go, slices
 from docweave.llm._spark import joined, shared_folder, written
 
 
@@ -95,6 +95,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key, sha and n (bytes) of the normalised text for docs of doc_id and text."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in slices(batches, "text"):
             texts = Texts(column(part, "text"))
             rows = [texts.text(i).lower() for i in range(texts.n)]

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm._arrow import SPACE, Texts, WordMemo, Words, column, pair, ranges, slices, span_hashes
+from docweave.llm._arrow import SPACE, Texts, WordMemo, Words, column, held, pair, ranges, slices, span_hashes
 from docweave.llm._spark import small, written
 
 STEPS = 4096
@@ -113,17 +113,16 @@ MEASURES = pa.schema(
 DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string"
 
 _names = list(SCRIPTS) + ["other"]
-_memos: dict[str, tuple[WordMemo, np.ndarray]] = {}
+def _made(path: str) -> tuple[WordMemo, np.ndarray]:
+    from sentencepiece import SentencePieceProcessor
 
+    model = SentencePieceProcessor(model_file=path)
+    raw = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+    return WordMemo(lambda words: model.encode(words, num_threads=1)), raw
 
-def _memo(path: str) -> tuple[WordMemo, np.ndarray]:
-    if path not in _memos:
-        from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
-        raw = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-        _memos[path] = WordMemo(lambda words: model.encode(words, num_threads=1)), raw
-    return _memos[path]
+def _memo(path: str) -> tuple[WordMemo, np.ndarray]:
+    return held("pieces", path, _made)
 
 
 def _sums(values: np.ndarray, of: np.ndarray) -> np.ndarray:

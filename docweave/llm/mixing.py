@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm._arrow import Texts, Words, column, ranges, slices
+from docweave.llm._arrow import Texts, Words, column, let_go, ranges, slices
 from docweave.llm._arrow import mix as scrambled
 from docweave.llm._spark import joined, written
 
@@ -164,6 +164,7 @@ def sized(docs: DataFrame, text_col: str, carried: bool) -> DataFrame:
     """docs with _size, the words of a row, and _tie, a hash of its text; the text itself goes on if carried."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in slices(batches, text_col):
             texts = Texts(column(part, text_col))
             counts = Words(texts).counts

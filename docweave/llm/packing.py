@@ -26,7 +26,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._arrow import LOWER, SPACE, Texts, WordMemo, Words, column, ranges, slices, span_hashes
+from docweave.llm._arrow import LOWER, SPACE, Texts, WordMemo, Words, column, held, ranges, slices, span_hashes
 from docweave.llm._spark import written
 
 
@@ -124,9 +123,8 @@ class Tokenizer:
         return self.memo.ids[ranges(self.memo.start[slots], lengths)], np.concatenate([[0], np.cumsum(lengths)])[of]
 
 
-@cache
 def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+    return held("tokenizer", path, Tokenizer)
 
 
 class _Windows:

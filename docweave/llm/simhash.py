@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._arrow import Texts, column, ranges, slices
+from docweave.llm._arrow import Texts, column, let_go, ranges, slices
 from docweave.llm._spark import joined, small, written
 from docweave.llm.components import components
 
@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, tie, fp for docs of doc_id, tie and text."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in slices(batches, "text"):
             texts = Texts(column(part, "text"))
             yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "tie"), pa.array([fingerprint(texts.text(i)) for i in range(texts.n)], pa.int64())], names=["doc_id", "tie", "fp"])

@@ -4,12 +4,15 @@ import collections
 import hashlib
 import math
 import re
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from corpus import SCHEMA, clashing, lower, rows, words
+from pyspark.sql import types as T
 
 from docweave.llm import _spark, components, exact_dedup, fertility, interpolation, line_dedup, mixing, packing, pii, queries, simhash, token_counts, toxicity
 from docweave.llm.queries import vocabulary
@@ -154,6 +157,25 @@ def test_word_memo_compares_bytes():
         assert got == own
 
 
+class _Applied:
+    """A table whose mapInArrow runs here, over one batch."""
+
+    def __init__(self, batch):
+        self.batch, self.schema = batch, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("text", T.StringType())])
+
+    def mapInArrow(self, apply, schema):
+        return list(apply(iter([self.batch])))
+
+
+@pytest.mark.parametrize("later", [exact_dedup.keyed, simhash.fingerprints, lambda docs: mixing.sized(docs, "text", True), lambda docs: fertility.measure(docs.batch, "text", fertility.Rules(vocabulary("piece_bpe_32k.model")))], ids=["exact_dedup", "simhash", "mixing", "fertility"])
+def test_stages_let_go_of_the_vocabulary_before(later):
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 4]), pa.array(["one two three four", None])], names=["doc_id", "tie", "text"])
+    model = packing.tokenizer(vocabulary("word_bpe_49k.json"))
+    assert model is packing.tokenizer(vocabulary("word_bpe_49k.json"))
+    model, kept = None, weakref.ref(model)
+    assert later(_Applied(batch)) and kept() is None
+
+
 def test_words_of_two_letters_keep_apart():
     from docweave.llm import _arrow
 
