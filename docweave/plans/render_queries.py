@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docweave.operators import assets, chunking, enrichment, profiles, rendering, scan
+from docweave.operators import assets, enrichment, passes, profiles, rendering, scan
 from docweave.plans import synthetic
 from docweave.plans.parse_queries import _ORDER_ROWS
 from docweave.sources import evidence
 from docweave.sources.registry import default_readers
 
 
-def _units(spark, sf_dir) -> DataFrame:
-    return evidence.units(evidence.read(synthetic.order_pages(spark, sf_dir), default_readers()))
-
-
 def unit_pages(spark, sf_dir):
     html = F.col("html")
-    return rendering.unit_pages(_units(spark, sf_dir), together=True).select("doc_id", F.regexp_count(html, F.lit("<tr>")).cast("long").alias("rows"), F.regexp_count(html, F.lit("<td>")).cast("long").alias("cells"), _body(html))
+    return passes.unit_pages(synthetic.order_pages(spark, sf_dir), default_readers()).select("doc_id", F.regexp_count(html, F.lit("<tr>")).cast("long").alias("rows"), F.regexp_count(html, F.lit("<td>")).cast("long").alias("cells"), _body(html))
 
 
 def _body(html) -> Column:
@@ -42,12 +38,12 @@ def figure_pages(spark, sf_dir):
 
 
 def chunk_pages(spark, sf_dir):
-    pages = rendering.chunk_pages(enrichment.enrich(chunking.chunks(_units(spark, sf_dir), together=True)), together=True)
+    pages = passes.chunk_pages(synthetic.order_pages(spark, sf_dir), default_readers(), enrich=enrichment.enriched)
     return pages.select("doc_id", F.regexp_count("html", F.lit('class="chunk"')).cast("long").alias("chunks"), F.regexp_count("html", F.lit("<td>")).cast("long").alias("cells"), F.md5(F.regexp_extract("html", "(?s)</details>(.*)</section></main>", 1)).alias("body_md5"))
 
 
 def evidence_json(spark, sf_dir):
-    made = rendering.evidence_json(_units(spark, sf_dir), together=True).select("doc_id", F.from_json("json", "array<struct<id:string,type:string,content:struct<rows:array<struct<index:int>>>>>").alias("j"))
+    made = passes.evidence_json(synthetic.order_pages(spark, sf_dir), default_readers()).select("doc_id", F.from_json("json", "array<struct<id:string,type:string,content:struct<rows:array<struct<index:int>>>>>").alias("j"))
     return made.select("doc_id", F.size("j").alias("units"), F.size(F.col("j")[0]["content"]["rows"]).alias("rows"))
 
 
