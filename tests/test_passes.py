@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from docweave.functions import plain
-from docweave.operators import chunking, enrichment, passes, rendering
+from docweave.operators import chunking, diagrams, enrichment, passes, rendering
 from docweave.plans import synthetic
 from docweave.sources import evidence, html
 from docweave.sources.registry import default_readers
@@ -91,3 +91,14 @@ def test_rows_are_counted_once_where_a_table_is_cut(monkeypatch):
     assert 1 < len(pieces) < 20 and sum(len(x["content"]["rows"]) for x, _ in pieces) == 200
     assert all(plain.tokens(text) <= 400 for _, text in pieces)
     assert sum(seen) < 60_000
+
+
+def test_boxes_meet_connectors_in_blocks(spark):
+    r = random.Random(3)
+    boxes = [(k % 2, f"n{k}", k, r.randrange(40), r.randrange(40), r.randrange(3), 2) for k in range(1_200)]
+    ends = [(k % 2, k, *(r.randrange(60) for _ in range(4))) for k in range(50)]
+    edges = diagrams.inferred_edges(spark.createDataFrame(boxes, "diagram long, node string, ord long, x long, y long, w long, h long"), spark.createDataFrame(ends, "diagram long, connector long, x1 long, y1 long, x2 long, y2 long"))
+    of = [[(n, (x, y, w, h)) for at, n, _, x, y, w, h in boxes if at == d and w > 0] for d in (0, 1)]
+    expected = [(d, c, diagrams.nearest({"x": x1, "y": y1}, of[d]), diagrams.nearest({"x": x2, "y": y2}, of[d])) for d, c, x1, y1, x2, y2 in ends]
+    assert sorted(map(tuple, edges.collect())) == [e for e in sorted(expected) if e[2] != e[3]]
+    assert "min_by(" not in edges._jdf.queryExecution().executedPlan().toString()  # which sorts every pair
