@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.sources.evidence import dumped, sliced
+
 Put = Callable[[str, bytes, str], str]
 
 
@@ -85,7 +87,7 @@ def stored(assets: DataFrame, documents: DataFrame, put: Put) -> DataFrame:
     names = [x.split()[0] for x in STORED.split(", ")]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for r in batch.to_pylist():
                 ext = (r["ext"] or "").lstrip(".") or "bin"
@@ -127,7 +129,7 @@ def resolved(units: DataFrame, stored_assets: DataFrame) -> DataFrame:
     names, schema = units.columns, units.schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for r in batch.select(["type", "format", "content", "known"]).to_pylist():
                 if r["format"] == "plain":
@@ -135,7 +137,7 @@ def resolved(units: DataFrame, stored_assets: DataFrame) -> DataFrame:
                     continue
                 known = {x.pop("id"): x for x in r["known"] or []}
                 whole = resolve({"type": r["type"], "format": r["format"], "content": json.loads(r["content"])}, known)
-                out.append(json.dumps(whole["content"], ensure_ascii=False, separators=(",", ":")))
+                out.append(dumped(whole["content"]))
             arrays = [pa.array(out, pa.string()) if n == "content" else batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 

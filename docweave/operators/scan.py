@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docweave.sources.compound import MAGIC
-from docweave.sources.evidence import Parsed, Reader
+from docweave.sources.evidence import Parsed, Reader, sliced
 
 STATUS = "doc_id long, status string, error string, bytes long, elapsed_seconds double, n_units int, n_assets int, n_warnings int, asset_refs int, unit_types string"
 
@@ -54,7 +54,7 @@ def scan(docs: DataFrame, readers: Mapping[str, Reader], seconds: float = 240.0)
     schema = pa.schema([(n, types[x.split()[1]]) for n, x in zip(names, STATUS.split(", "))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for doc_id, suffix, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data = content.encode() if isinstance(content, str) else content or b""

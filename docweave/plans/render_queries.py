@@ -24,7 +24,7 @@ def _body(html) -> Column:
 
 def span_pages(spark, sf_dir):
     """Cells that span rows, as HTML."""
-    pages = rendering.unit_pages(evidence.units(evidence.read(synthetic.region_page(spark, sf_dir), default_readers())), together=True)
+    pages = passes.unit_pages(synthetic.region_page(spark, sf_dir), default_readers())
     return pages.select("doc_id", _body(F.col("html")))
 
 
@@ -69,8 +69,7 @@ def diagram_profiles(spark, sf_dir):
             z.writestr("Contents/section0.xml", f'<sec xmlns="http://www.hancom.co.kr/hwpml/2011/paragraph"><p><run>{boxes}{lines}</run></p></sec>')
         return out.getvalue()
 
-    docs = synthetic._made(synthetic._nations(spark, sf_dir), ".hwpx", build)
-    found = profiles.diagram_profiles(evidence.units(evidence.read(docs, default_readers())))
+    found = profiles.diagram_profiles(evidence.units(evidence.read(synthetic._nations(spark, sf_dir), default_readers(), (".hwpx", build))))
     return found.select("doc_id", "nodes", "bbox_nodes", "connectors", "edges", "labeled_edges", "source_relation_lines", "bbox_node_ratio", "score", "flags")
 
 

@@ -46,8 +46,7 @@ def _parts(spark, sf_dir: str) -> DataFrame:
 
 
 def _read(spark, sf_dir: str, build, readers: dict | None = None) -> DataFrame:
-    made = synthetic._made(_parts(spark, sf_dir), ".pages.json", lambda r: json.dumps({"pages": build(r)}).encode())
-    return evidence.read(made, readers or default_readers())
+    return evidence.read(_parts(spark, sf_dir), readers or default_readers(), (".pages.json", lambda r: json.dumps({"pages": build(r)}).encode()))
 
 
 def _tables(r: dict) -> list[dict]:

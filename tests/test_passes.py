@@ -102,3 +102,25 @@ def test_boxes_meet_connectors_in_blocks(spark):
     expected = [(d, c, diagrams.nearest({"x": x1, "y": y1}, of[d]), diagrams.nearest({"x": x2, "y": y2}, of[d])) for d, c, x1, y1, x2, y2 in ends]
     assert sorted(map(tuple, edges.collect())) == [e for e in sorted(expected) if e[2] != e[3]]
     assert "min_by(" not in edges._jdf.queryExecution().executedPlan().toString()  # which sorts every pair
+
+
+def test_documents_are_read_where_they_are_made():
+    alive, most = 0, []
+
+    class Content(bytes):
+        def __new__(cls, *args):
+            nonlocal alive
+            alive += 1
+            return super().__new__(cls, *args)
+
+        def __del__(self):
+            nonlocal alive
+            alive -= 1
+
+    def reader(data):
+        most.append(alive)
+        return evidence.Parsed()
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": k} for k in range(3_000)])
+    assert len(list(evidence.parsed({".x": reader}, (".x", lambda row: Content(b"c")))(iter([batch])))) == 3_000 == len(most)
+    assert max(most) <= 2
