@@ -6,6 +6,8 @@ with a row-at-a-time reading of the same rules; Java's ``\\s`` is narrower.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,17 +19,22 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 STOP_KEYWORDS = tuple("table rows columns context row col chunk".split())
 
 
+#: Every white space character, and those of them that break lines.
+SPACES = "".join(x for x in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", x))
+BREAKS = "".join(x for x in SPACES if re.match(LINE_BREAK, x))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{SPACE}]+$", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def normalize_space(c: Column) -> Column:
-    """Runs of white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    """Runs of white space become one blank; none at the ends.  A lone blank, as most are, is no match and so is not replaced; plain letters fail at the first test."""
+    return F.trim(F.regexp_replace(c, f"(?![!-~])(?: [{SPACE}]+|[{SPACE}&&[^ ]][{SPACE}]*)", " "))
 
 
 def lines(c: Column) -> Column:
@@ -66,14 +73,18 @@ def keywords_without_stops(c: Column, limit: int = 8) -> Column:
     return F.slice(F.filter(found, lambda x: ~F.lower(x).isin(*STOP_KEYWORDS)), 1, limit)
 
 
+def _top(c: Column) -> Column:
+    """The first line that isn't blank, without white space before it; nothing after it is looked at."""
+    return F.regexp_extract(c, f"^[{SPACE}]*+([^{BREAKS}]*+)", 1)
+
+
 def first_line(c: Column, limit: int) -> Column:
     """The first line that isn't blank, stripped and cut; empty if there is none."""
-    filled = F.filter(F.transform(lines(c), strip), lambda x: x != "")
-    return F.coalesce(F.left(F.get(filled, F.lit(0)), F.lit(limit)), F.lit(""))
+    return F.coalesce(F.left(strip(_top(c)), F.lit(limit)), F.lit(""))
 
 
 def flat_summary(c: Column, limit: int = 500) -> Column:
-    return F.left(F.replace(strip(c), F.lit("\n"), F.lit(" ")), F.lit(limit))
+    return F.replace(F.left(strip(c), F.lit(limit)), F.lit("\n"), F.lit(" "))
 
 
 def first_sentence(c: Column, limit: int = 300) -> Column:
@@ -83,8 +94,8 @@ def first_sentence(c: Column, limit: int = 300) -> Column:
 
 def topic(c: Column) -> Column:
     """The first line that isn't blank, normalised, at most 80 characters."""
-    filled = F.filter(F.transform(lines(c), normalize_space), lambda x: x != "")
-    return F.coalesce(clipped_clean(F.get(filled, F.lit(0)), 80), F.lit(""))
+    once = F.transform(F.array(normalize_space(_top(c))), lambda x: clipped_clean(x, 80))
+    return F.coalesce(F.get(once, F.lit(0)), F.lit(""))
 
 
 def question_about(c: Column) -> Column:

@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from docweave.functions import plain
+from docweave.functions import plain, text as columns
 from docweave.operators import chunking, diagrams, enrichment, passes, rendering
 from docweave.plans import synthetic
 from docweave.sources import evidence, html
@@ -124,3 +124,15 @@ def test_documents_are_read_where_they_are_made():
     batch = pa.RecordBatch.from_pylist([{"doc_id": k} for k in range(3_000)])
     assert len(list(evidence.parsed({".x": reader}, (".x", lambda row: Content(b"c")))(iter([batch])))) == 3_000 == len(most)
     assert max(most) <= 2
+
+
+def test_scalar_rules_look_no_further_than_they_need(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", "\n\x1c 　", "   \x85first  line \x0bsecond", "a\r\nb", "\x1fx\x1f y", "one  two\t three\n", "x" * 600 + "\n  ", " " * 600 + "y\n" * 300, "é   ü", "~!  ~"]
+    df, c = spark.createDataFrame([(x,) for x in texts], "x string"), F.col("x")
+    found = df.select(columns.strip(c), columns.normalize_space(c), columns.first_line(c, 100), columns.topic(c), columns.flat_summary(c), columns.clipped(c, 90)).collect()
+    assert [tuple(r) for r in found] == [(x.strip(), plain.flat(x), plain.first_line(x), plain.topic(x), plain.flat_summary(x), plain.clipped(x, 90)) for x in texts]
+    assert columns.SPACES == "".join(x for x in map(chr, range(0x110000)) if x.isspace())
+    plan = df.select(columns.strip(c), columns.first_line(c, 100), columns.topic(c))._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan  # into all lines, for the first
