@@ -136,3 +136,12 @@ def test_scalar_rules_look_no_further_than_they_need(spark):
     assert columns.SPACES == "".join(x for x in map(chr, range(0x110000)) if x.isspace())
     plan = df.select(columns.strip(c), columns.first_line(c, 100), columns.topic(c))._jdf.queryExecution().executedPlan().toString()
     assert "split(" not in plan  # into all lines, for the first
+
+
+def test_documents_of_parts_are_spread_over_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert cores > 1 == spark.read.parquet(f"{SF}/part.parquet").rdd.getNumPartitions()
+    assert synthetic.image_pages(spark, SF).rdd.getNumPartitions() >= cores
+    for made in (synthetic.nested_pages, synthetic.hwpx_regions, synthetic.layout_regions):
+        plan = made(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, plan  # which is not merged
